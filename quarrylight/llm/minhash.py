@@ -11,8 +11,11 @@ Jaccard similarity of 0.75 a pair shares no band with probability (1 - 0.75**5)*
 Equal sets are one class before anything is paired. Candidate links between classes go through hubs: each
 bucket names one hub, members are verified against it, and components are joined; the next round takes
 another hub for buckets that still hold several components; the last round pairs what is left across
-components, so that no link is lost to the hubs. Every link is confirmed on the full sets. No pairs within
-an already joined group are made, and nothing of all documents goes to the driver.
+components, so that no link is lost to the hubs. A pair must also be alike in the lowest bits of its T
+coordinates: at a similarity of 0.75 the number of unequal bits has the mean T / 8, and DIFFER is over five
+standard deviations above it, while pairs that only share a passage differ in more. Every link is confirmed
+on the full sets. No pairs within an already joined group are made, and nothing of all documents goes to the
+driver.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing. A null
 doc_id takes part in its class but is never a component_id; a document in a component without any doc_id
@@ -34,6 +37,9 @@ from quarrylight.llm.common import byte_texts, materialize
 U = np.uint64
 WIDTH, ROWS, BANDS, SHARE = 5, 5, 50, 75
 T = ROWS * BANDS
+#: Unequal lowest bits that a candidate pair may have: T / 8 and 5.5 standard deviations.
+DIFFER = int(T / 8 + 5.5 * (T * 7 / 64) ** 0.5)
+_BITS = ("b0", "b1", "b2", "b3")
 #: Rounds that take one hub for each bucket before the rest is paired.
 HUB_ROUNDS = 2
 #: Class ids (8 bytes) are sent to all executors up to this count; beyond it the join shuffles.
@@ -84,17 +90,27 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def low_bits(coordinates: np.ndarray) -> list[int]:
+    """The lowest bit of each coordinate, in four signed longs."""
+    bits = np.zeros(256, dtype=np.uint8)
+    bits[:T] = coordinates & U(1)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def set_class(members: np.ndarray) -> int:
     """Signed 64-bit id of a set; equal sets have equal ids."""
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+_EMPTY = (None, 0, None, [None] * 4)
+
+
 def _sketched(batches):
     """(row columns, text) -> class, n, bands; texts equal to a recent one are not done again."""
     recent: dict[bytes, tuple] = {}
     for batch in batches:
         ids, keys = batch.column("doc_id"), batch.column("text_key")
-        cls, n, bands = [], [], []
+        cls, n, bands, bits = [], [], [], []
         for t in byte_texts(batch.column("text")):
             got = None
             if t:
@@ -102,16 +118,21 @@ def _sketched(batches):
                 got = recent.get(digest)
                 if got is None:
                     members = shingle_set(t)
-                    got = (set_class(members), len(members), band_keys(sketch(members)).tobytes()) if len(members) else (None, 0, None)
+                    if len(members):
+                        found = sketch(members)
+                        got = (set_class(members), len(members), band_keys(found).tobytes(), low_bits(found))
+                    else:
+                        got = _EMPTY
                     if len(recent) >= 2000:
                         recent.clear()
                     recent[digest] = got
             else:
-                got = (None, 0, None)
+                got = _EMPTY
             cls.append(got[0])
             n.append(got[1])
             bands.append(got[2])
-        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.binary())], names=["doc_id", "text_key", "cls", "n", "bands"])
+            bits.append(got[3])
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.binary()), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(4))], names=["doc_id", "text_key", "cls", "n", "bands", *_BITS])
 
 
 def _unpacked(batches):
@@ -171,7 +192,11 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, cls, n of every document and the bands, as a written table."""
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    return materialize(source.mapInArrow(_sketched, "doc_id long, text_key long, cls long, n long, bands binary"), "sketches")
+    return materialize(source.mapInArrow(_sketched, "doc_id long, text_key long, cls long, n long, bands binary, b0 long, b1 long, b2 long, b3 long"), "sketches")
+
+
+def _alike(one: str, other: str):
+    return F.expr(" + ".join(f"bit_count({one.format(b)} ^ {other.format(b)})" for b in _BITS) + f" <= {DIFFER}")
 
 
 def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None, DataFrame]:
@@ -180,7 +205,8 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None,
     single = sketches.filter("cls is not null").select("cls", "n", "bands").dropDuplicates(["cls"])
     rows = materialize(single.mapInArrow(_unpacked, "bucket long, cls long, n long"), "bands")
     shared = rows.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("bucket")
-    members = materialize(rows.join(shared, "bucket"), "members")
+    bits = sketches.filter("cls is not null").groupBy("cls").agg(*(F.min(b).alias(b) for b in _BITS))
+    members = materialize(rows.join(shared, "bucket").join(bits, "cls"), "members")
     wanted = sketches.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("text_key").alias("text_key"))
     wanted = materialize(wanted, "wanted")
     count = wanted.count()
@@ -196,7 +222,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None,
     for k in range(HUB_ROUNDS + 1):
         now = members
         if labels is not None:
-            now = members.join(labels, "cls", "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("root"))
+            now = members.join(labels, "cls", "left").select("bucket", "cls", "n", *_BITS, F.coalesce("root", "cls").alias("root"))
             open_ = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
             now = materialize(now.join(open_, "bucket"), "open")
         else:
@@ -204,17 +230,17 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None,
         if k < HUB_ROUNDS:
             mask = F.lit(int(_SEEDS[k].view(np.int64)))
             hubs = now.groupBy("bucket").agg(F.min(F.col("cls").bitwiseXOR(mask)).bitwiseXOR(mask).alias("hub"))
-            pairs = now.join(hubs, "bucket").filter("cls <> hub").groupBy("cls", "hub").agg(F.min("root").alias("root"), F.min("n").alias("n"))
-            other = members.groupBy(F.col("cls").alias("hub")).agg(F.min("n").alias("n_hub"))
+            pairs = now.join(hubs, "bucket").filter("cls <> hub").select("cls", "hub", "root", "n", *_BITS).distinct()
+            other = members.groupBy(F.col("cls").alias("hub")).agg(F.min("n").alias("n_hub"), *(F.min(b).alias(f"h{b}") for b in _BITS))
             if labels is not None:
                 other = other.join(labels.select(F.col("cls").alias("hub"), F.col("root").alias("root_hub")), "hub", "left")
             else:
                 other = other.withColumn("root_hub", F.col("hub"))
             pairs = pairs.join(other, "hub").filter(F.col("root") != F.coalesce("root_hub", "hub"))
-            pairs = pairs.filter("100 * least(n, n_hub) >= 75 * greatest(n, n_hub)").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+            pairs = pairs.filter("100 * least(n, n_hub) >= 75 * greatest(n, n_hub)").filter(_alike("{}", "h{}")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
         else:
             x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & F.expr("100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)"))
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & F.expr("100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)") & _alike("x.{}", "y.{}"))
             pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
