@@ -87,14 +87,20 @@ def lines(text):
 
 
 def tokens(text):
-    """Lower-cased parts of identifiers, and after the parts of a compound one the identifier itself."""
-    runs = F.regexp_extract_all(text, F.lit(f"({RUN})"), F.lit(1))
+    """Lower-cased parts of identifiers, and after the parts of a compound one the identifier itself.
 
-    def parts(run):
-        split = F.regexp_replace(F.regexp_replace(run, CAMEL, "$1 $2"), ACRONYM, "$1 $2")
-        return F.filter(F.split(F.translate(F.lower(split), "_", " "), " "), lambda p: p != "")
+    The places where an identifier splits are marked in the whole text first, so that single words, nearly
+    all of them, need no work of their own."""
+    marked = F.regexp_replace(F.translate(text, "\x01", " "), CAMEL, "$1\x01$2")
+    marked = F.lower(F.regexp_replace(marked, ACRONYM, "$1\x01$2"))
+    runs = F.regexp_extract_all(marked, F.lit(r"([\p{L}\p{N}_\x01]+)"), F.lit(1))
 
-    return F.flatten(F.transform(runs, lambda r: bound(parts(r), lambda p: F.when(F.size(p) > 1, F.concat(p, F.array(F.lower(r)))).otherwise(p))))
+    def compound(run):
+        parts = F.filter(F.split(run, r"[_\x01]"), lambda p: p != "")
+        return bound(parts, lambda p: F.when(F.size(p) > 1, F.concat(p, F.array(F.translate(run, "\x01", "")))).otherwise(p))
+
+    simple = lambda r: ~(F.contains(r, F.lit("_")) | F.contains(r, F.lit("\x01")))
+    return F.flatten(F.transform(runs, lambda r: F.when(simple(r), F.array(r)).otherwise(compound(r))))
 
 
 def bound(value, use):
