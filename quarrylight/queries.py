@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark, sf_dir):
-    return tables.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tables.from_documents(tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")))
 
 
 def units(spark, sf_dir):

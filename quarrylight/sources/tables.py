@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quarrylight.functions import expressions as E
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores (one small file) is dealt to all of them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
     """source_id, path, source_class, content, text."""
     ext = F.when(F.col("doc_id") % 5 == 0, "md").otherwise("txt")
