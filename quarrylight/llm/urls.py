@@ -50,7 +50,8 @@ def buckets(host: str, path: str) -> str:
 
 def fit(spark: SparkSession) -> list[float]:
     """The weights, the bias last."""
-    table = spark.createDataFrame([(i, h, p, float(y)) for i, (h, p, y) in enumerate(EXAMPLES)], "i int, host string, path string, y double")
+    values = ", ".join(f"({i}, '{h}', '{p}', {y}D)" for i, (h, p, y) in enumerate(EXAMPLES))
+    table = spark.sql(f"select * from values {values} as t(i, host, path, y)")
     rows = table.selectExpr("i", "y", f"{buckets('host', 'path')} as xs").groupBy().agg(F.sort_array(F.collect_list(F.struct("i", "y", "xs"))).alias("rows"))
     # One step: the error under the current weights, then the weights it changes. The error is bound by a one-element transform.
     error = f"(1 / (1 + exp(-(w[{BUCKETS}] + aggregate(r.xs, 0D, (s, x) -> s + w[x - 1])))) - r.y) * {RATE} / sqrt(size(r.xs) + 1)"
