@@ -11,7 +11,8 @@ Jaccard similarity of 0.75 a pair shares no band with probability (1 - 0.75**5)*
 Equal sets are one class before anything is paired. Candidate links between classes go through hubs: each
 bucket names one hub, members are verified against it, and components are joined; the next round takes
 another hub for buckets that still hold several components; the last round pairs what is left across
-components, so that no link is lost to the hubs. A pair must also be alike in the lowest bits of its T
+components, so that no link is lost to the hubs. The first hub is the most central member, as a rule the text
+that the others were copied from. A pair must also be alike in the lowest bits of its T
 coordinates: at a similarity of 0.75 the number of unequal bits has the mean T / 8, and DIFFER is over five
 standard deviations above it, while pairs that only share a passage differ in more. Every link is confirmed
 on the full sets. No pairs within an already joined group are made, and nothing of all documents goes to the
@@ -199,6 +200,20 @@ def _alike(one: str, other: str):
     return F.expr(" + ".join(f"bit_count({one.format(b)} ^ {other.format(b)})" for b in _BITS) + f" <= {DIFFER}")
 
 
+def _central(members: DataFrame) -> DataFrame:
+    """bucket, hub: the member that shares most places in buckets with others. The text that copies were made
+    from is nearer to each of them than they are to one another, so it leads their buckets."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("held"))
+    weights = members.select("bucket", "cls").join(sizes, "bucket").groupBy("cls").agg(F.sum("held").alias("weight"))
+    return members.select("bucket", "cls").join(weights, "cls").groupBy("bucket").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
+
+
+def _drawn(members: DataFrame, k: int) -> DataFrame:
+    """bucket, hub: a member drawn by the round's own order."""
+    mask = F.lit(int(_SEEDS[k].view(np.int64)))
+    return members.groupBy("bucket").agg(F.min(F.col("cls").bitwiseXOR(mask)).bitwiseXOR(mask).alias("hub"))
+
+
 def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """(cls, root) of all classes with a confirmed link, or None; and the bucket members."""
     spark = docs.sparkSession
@@ -228,8 +243,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None,
         else:
             now = members.withColumn("root", F.col("cls"))
         if k < HUB_ROUNDS:
-            mask = F.lit(int(_SEEDS[k].view(np.int64)))
-            hubs = now.groupBy("bucket").agg(F.min(F.col("cls").bitwiseXOR(mask)).bitwiseXOR(mask).alias("hub"))
+            hubs = _central(now) if k == 0 else _drawn(now, k)
             pairs = now.join(hubs, "bucket").filter("cls <> hub").select("cls", "hub", "root", "n", *_BITS).distinct()
             other = members.groupBy(F.col("cls").alias("hub")).agg(F.min("n").alias("n_hub"), *(F.min(b).alias(f"h{b}") for b in _BITS))
             if labels is not None:
