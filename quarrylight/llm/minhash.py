@@ -13,9 +13,8 @@ bucket names one hub, members are verified against it, and components are joined
 another hub for buckets that still hold several components; the last round pairs what is left across
 components, so that no link is lost to the hubs. The first hub is the most central member, as a rule the text
 that the others were copied from. A pair must also be alike in the lowest bits of its T
-coordinates: at a similarity of 0.75 the number of unequal bits has the mean T / 8, and DIFFER is over five
-standard deviations above it, while pairs that only share a passage differ in more. Every link is confirmed
-on the full sets. No pairs within an already joined group are made, and nothing of all documents goes to the
+coordinates: DIFFER is five standard deviations above what a similarity of 0.75 gives, and is what one of about
+0.6 gives in the mean. Every link is confirmed on the full sets. No pairs within an already joined group are made, and nothing of all documents goes to the
 driver.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing. A null
@@ -38,9 +37,11 @@ from quarrylight.llm.common import byte_texts, materialize
 U = np.uint64
 WIDTH, ROWS, BANDS, SHARE = 5, 5, 50, 75
 T = ROWS * BANDS
-#: Unequal lowest bits that a candidate pair may have: T / 8 and 5.5 standard deviations.
-DIFFER = int(T / 8 + 5.5 * (T * 7 / 64) ** 0.5)
-_BITS = ("b0", "b1", "b2", "b3")
+#: A pair's coordinates are compared by their lowest PLANES bits, in four longs a plane. At a similarity of 0.75
+#: 15/64 of the T codes differ in the mean; a candidate may differ in 5 standard deviations more.
+PLANES = 4
+DIFFER = int(T * 15 / 64 + 5 * (T * 15 * 49) ** 0.5 / 64)
+_BITS = tuple(f"b{p}_{k}" for p in range(PLANES) for k in range(4))
 #: Rounds that take one hub for each bucket before the rest is paired.
 HUB_ROUNDS = 2
 #: Class ids (8 bytes) are sent to all executors up to this count; beyond it the join shuffles.
@@ -92,10 +93,11 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def low_bits(coordinates: np.ndarray) -> list[int]:
-    """The lowest bit of each coordinate, in four signed longs."""
-    bits = np.zeros(256, dtype=np.uint8)
-    bits[:T] = coordinates & U(1)
-    return np.packbits(bits).view(np.int64).tolist()
+    """The lowest bits of each coordinate, plane by plane in four signed longs."""
+    bits = np.zeros((PLANES, 256), dtype=np.uint8)
+    for p in range(PLANES):
+        bits[p, :T] = (coordinates >> U(p)) & U(1)
+    return np.packbits(bits, axis=1).view(np.int64).ravel().tolist()
 
 
 def set_class(members: np.ndarray) -> int:
@@ -103,7 +105,7 @@ def set_class(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_EMPTY = (None, 0, None, [None] * 4)
+_EMPTY = (None, 0, None, [None] * len(_BITS))
 
 
 def _sketched(batches):
@@ -133,7 +135,7 @@ def _sketched(batches):
             n.append(got[1])
             bands.append(got[2])
             bits.append(got[3])
-        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.binary()), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(4))], names=["doc_id", "text_key", "cls", "n", "bands", *_BITS])
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.binary()), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(len(_BITS)))], names=["doc_id", "text_key", "cls", "n", "bands", *_BITS])
 
 
 def _unpacked(batches):
@@ -193,11 +195,12 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, cls, n of every document and the bands, as a written table."""
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    return materialize(source.mapInArrow(_sketched, "doc_id long, text_key long, cls long, n long, bands binary, b0 long, b1 long, b2 long, b3 long"), "sketches")
+    return materialize(source.mapInArrow(_sketched, "doc_id long, text_key long, cls long, n long, bands binary, " + ", ".join(f"{b} long" for b in _BITS)), "sketches")
 
 
 def _alike(one: str, other: str):
-    return F.expr(" + ".join(f"bit_count({one.format(b)} ^ {other.format(b)})" for b in _BITS) + f" <= {DIFFER}")
+    words = ("(" + " | ".join(f"({one.format(b)} ^ {other.format(b)})" for b in _BITS[k::4]) + ")" for k in range(4))
+    return F.expr(" + ".join(f"bit_count({w})" for w in words) + f" <= {DIFFER}")
 
 
 def _central(members: DataFrame) -> DataFrame:
