@@ -12,9 +12,13 @@ Equal sets are one class before anything is paired. Candidate links between clas
 bucket names one hub, members are verified against it, and components are joined; the next round takes
 another hub for buckets that still hold several components; the last round pairs what is left across
 components, so that no link is lost to the hubs. The first hub is the most central member, as a rule the text
-that the others were copied from. A pair must also be alike in the lowest bits of its T
-coordinates: DIFFER is five standard deviations above what a similarity of 0.75 gives, and is what one of about
-0.6 gives in the mean. Every link is confirmed on the full sets. No pairs within an already joined group are made, and nothing of all documents goes to the
+that the others were copied from; of the first hubs that a class was compared with, the heaviest is its pivot.
+Let x and y have the pivot h, with overlaps of o_x and o_y. They share at most min(o_x, o_y) members of h, so if
+that is too little for a link, they must share members outside h. The last round finds such pairs by their
+members outside the pivot, which copies with edits of their own rarely share; all other pairs by their buckets.
+A pair must also be alike in the lowest bits of its T coordinates: DIFFER is five standard deviations above what
+a similarity of 0.75 gives, and is what one of about 0.6 gives in the mean; first hubs may differ in HUB_DIFFER,
+so that more classes get a pivot. Every link is confirmed on the full sets. No pairs within an already joined group are made, and nothing of all documents goes to the
 driver.
 
 Nulls: a null or empty text, or one without words, has an empty set and is linked with nothing. A null
@@ -41,6 +45,8 @@ T = ROWS * BANDS
 #: 15/64 of the T codes differ in the mean; a candidate may differ in 5 standard deviations more.
 PLANES = 4
 DIFFER = int(T * 15 / 64 + 5 * (T * 15 * 49) ** 0.5 / 64)
+#: The same for a similarity of 0.5, for the overlap with the first hubs.
+HUB_DIFFER = int(T * 15 / 32 + 5 * (T * 15 * 17) ** 0.5 / 32)
 _BITS = tuple(f"b{p}_{k}" for p in range(PLANES) for k in range(4))
 #: Rounds that take one hub for each bucket before the rest is paired.
 HUB_ROUNDS = 2
@@ -162,19 +168,35 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "members"])
 
 
-def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
-    """100 * intersection >= share * union, for sorted distinct members."""
+def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a's members b has; both sorted and distinct, b not empty."""
     where = np.searchsorted(b, a)
     where[where == len(b)] = 0
-    both = int(np.count_nonzero(b[where] == a))
-    return 100 * both >= share * (len(a) + len(b) - both)
+    return b[where] == a
 
 
-def _confirmed(batches):
+def linked(both: int, n_a: int, n_b: int, share: int = SHARE) -> bool:
+    """100 * intersection >= share * union."""
+    return 100 * both >= share * (n_a + n_b - both)
+
+
+def _compared(batches):
+    """a, b, weight, the size of the intersection and whether it links them."""
+    for batch in batches:
+        sets = [[np.frombuffer(x.as_buffer(), dtype=U) for x in batch.column(c)] for c in ("members_a", "members_b")]
+        both = [int(np.count_nonzero(_within(a, b))) for a, b in zip(*sets)]
+        link = [linked(k, len(a), len(b)) for k, a, b in zip(both, *sets)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "weight")), pa.array(both, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "weight", "both", "link"])
+
+
+def _outside(batches):
+    """pivot, cls and one member of cls that the pivot lacks."""
     for batch in batches:
-        a, b = batch.column("members_a"), batch.column("members_b")
-        keep = [linked(np.frombuffer(a[i].as_buffer(), dtype=U), np.frombuffer(b[i].as_buffer(), dtype=U)) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+        for i in range(batch.num_rows):
+            own = np.frombuffer(batch.column("members_a")[i].as_buffer(), dtype=U)
+            rest = own[~_within(own, np.frombuffer(batch.column("members_b")[i].as_buffer(), dtype=U))].view(np.int64)
+            same = [pa.array(np.full(len(rest), batch.column(c)[i].as_py(), dtype=np.int64)) for c in ("b", "a")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(rest)], names=["pivot", "cls", "member"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,23 +220,58 @@ def classes(docs: DataFrame) -> DataFrame:
     return materialize(source.mapInArrow(_sketched, "doc_id long, text_key long, cls long, n long, bands binary, " + ", ".join(f"{b} long" for b in _BITS)), "sketches")
 
 
-def _alike(one: str, other: str):
+def _alike(one: str, other: str, differ: int = DIFFER):
     words = ("(" + " | ".join(f"({one.format(b)} ^ {other.format(b)})" for b in _BITS[k::4]) + ")" for k in range(4))
-    return F.expr(" + ".join(f"bit_count({w})" for w in words) + f" <= {DIFFER}")
+    return F.expr(" + ".join(f"bit_count({w})" for w in words) + f" <= {differ}")
 
 
 def _central(members: DataFrame) -> DataFrame:
-    """bucket, hub: the member that shares most places in buckets with others. The text that copies were made
+    """bucket, hub, weight: the member that shares most places in buckets with others. The text that copies were made
     from is nearer to each of them than they are to one another, so it leads their buckets."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("held"))
     weights = members.select("bucket", "cls").join(sizes, "bucket").groupBy("cls").agg(F.sum("held").alias("weight"))
-    return members.select("bucket", "cls").join(weights, "cls").groupBy("bucket").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
+    return members.select("bucket", "cls").join(weights, "cls").groupBy("bucket").agg(F.max(F.struct("weight", "cls")).alias("top")).select("bucket", F.col("top.cls").alias("hub"), F.col("top.weight").alias("weight"))
 
 
 def _drawn(members: DataFrame, k: int) -> DataFrame:
-    """bucket, hub: a member drawn by the round's own order."""
+    """bucket, hub, weight (0): a member drawn by the round's own order."""
     mask = F.lit(int(_SEEDS[k].view(np.int64)))
-    return members.groupBy("bucket").agg(F.min(F.col("cls").bitwiseXOR(mask)).bitwiseXOR(mask).alias("hub"))
+    return members.groupBy("bucket").agg(F.min(F.col("cls").bitwiseXOR(mask)).bitwiseXOR(mask).alias("hub")).withColumn("weight", F.lit(0).cast("long"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("members_a")), "a")
+    return with_a.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("members_b")), "b")
+
+
+def _pivots(found: DataFrame) -> DataFrame:
+    """cls, pivot, overlap of the classes compared with first hubs; a hub that is its own pivot has a null overlap."""
+    own = found.select(F.col("b").alias("cls"), "weight", F.col("b").alias("pivot"), F.lit(None).cast("long").alias("overlap")).distinct()
+    near = found.select(F.col("a").alias("cls"), "weight", F.col("b").alias("pivot"), F.col("both").alias("overlap"))
+    top = near.union(own).groupBy("cls").agg(F.max(F.struct("weight", "pivot", "overlap")).alias("top"))
+    return materialize(top.select("cls", "top.pivot", "top.overlap"), "pivots")
+
+
+def _left(now: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the pairs across components that may be linked. Where 7 * min(overlaps) < 3 * (n_x + n_y), members
+    of the common pivot can't link a pair, so it is found by the members outside it; else by a bucket."""
+    now = now.join(pivots, "cls", "left").withColumn("overlap", F.when(F.col("pivot").isNotNull(), F.coalesce("overlap", "n")))
+    now = materialize(now.select("bucket", "cls", "n", "root", "pivot", "overlap", *_BITS), "open")
+    few = "7 * least(x.overlap, y.overlap) < 3 * (x.n + y.n)"
+    fits = F.expr("x.root < y.root and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)") & _alike("x.{}", "y.{}")
+    ends = (F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    x, y = now.alias("x"), now.alias("y")
+    by_bucket = x.join(y, F.expr(f"x.bucket = y.bucket and not coalesce(x.pivot = y.pivot and {few}, false)") & fits).select(*ends)
+    each = now.filter("pivot <> cls").drop("bucket").distinct()
+    rest = _with_sets(each.select(F.col("cls").alias("a"), F.col("pivot").alias("b")), sets)
+    rest = materialize(rest.select("a", "b", "members_a", "members_b").mapInArrow(_outside, "pivot long, cls long, member long"), "outside")
+    shared = rest.groupBy("pivot", "member").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("pivot", "member")
+    rest = materialize(rest.join(shared, ["pivot", "member"]).join(each.drop("pivot"), "cls"), "shared")
+    x, y = rest.alias("x"), rest.alias("y")
+    needed = F.expr("3 * (x.n + y.n) - 7 * least(x.overlap, y.overlap)").alias("needed")
+    outside = x.join(y, F.expr(f"x.pivot = y.pivot and x.member = y.member and {few}") & fits).select(*ends, needed)
+    outside = outside.groupBy("a", "b", "needed").agg(F.count("*").alias("more")).filter("7 * more >= needed").select("a", "b")
+    return by_bucket.union(outside)
 
 
 def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None, DataFrame]:
@@ -247,30 +304,28 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None,
             now = members.withColumn("root", F.col("cls"))
         if k < HUB_ROUNDS:
             hubs = _central(now) if k == 0 else _drawn(now, k)
-            pairs = now.join(hubs, "bucket").filter("cls <> hub").select("cls", "hub", "root", "n", *_BITS).distinct()
+            pairs = now.join(hubs, "bucket").filter("cls <> hub").select("cls", "hub", "weight", "root", "n", *_BITS).distinct()
             other = members.groupBy(F.col("cls").alias("hub")).agg(F.min("n").alias("n_hub"), *(F.min(b).alias(f"h{b}") for b in _BITS))
             if labels is not None:
                 other = other.join(labels.select(F.col("cls").alias("hub"), F.col("root").alias("root_hub")), "hub", "left")
             else:
                 other = other.withColumn("root_hub", F.col("hub"))
             pairs = pairs.join(other, "hub").filter(F.col("root") != F.coalesce("root_hub", "hub"))
-            pairs = pairs.filter("100 * least(n, n_hub) >= 75 * greatest(n, n_hub)").filter(_alike("{}", "h{}")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+            pairs = pairs.filter("100 * least(n, n_hub) >= 75 * greatest(n, n_hub)").filter(_alike("{}", "h{}", DIFFER if k else HUB_DIFFER))
+            pairs = pairs.select(F.col("cls").alias("a"), F.col("hub").alias("b"), "weight")
         else:
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & F.expr("100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)") & _alike("x.{}", "y.{}"))
-            pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+            pairs = _left(now, pivots, sets).withColumn("weight", F.lit(0).cast("long"))
         pairs = pairs.distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tested, ["low", "high"], "left_anti").select("a", "b", "weight")
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if k == 0 or k == HUB_ROUNDS:
-                break
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("members_a")), "a")
-        with_b = with_a.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("members_b")), "b")
-        found = materialize(with_b.mapInArrow(_confirmed, "a long, b long"), "found")
+        ends = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        tested = ends if tested is None else tested.union(ends)
+        compared = _with_sets(pairs, sets).select("a", "b", "weight", "members_a", "members_b")
+        compared = materialize(compared.mapInArrow(_compared, "a long, b long, weight long, both long, link boolean"), "compared")
+        if k == 0:
+            pivots = _pivots(compared)
+        found = compared.filter("link").select("a", "b")
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)

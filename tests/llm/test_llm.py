@@ -140,6 +140,31 @@ def test_near_duplicates(spark, documents, texts):
         assert got == expected
 
 
+def test_near_duplicates_that_no_hub_links(spark):
+    """Texts too far from the one they were edited from, some with a twin or a cut, beside near copies of it."""
+    r = random.Random(8)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(60):
+        w = list(base) if i % 3 else base[:128]
+        for at in r.sample(range(3, len(w), 9), 6):
+            w[at] = f"a{i}_{at}"
+        texts.append(w)
+        if i % 2:
+            twin = list(w)
+            twin[r.randrange(len(w))] = f"b{i}"
+            texts.append(twin)
+    for i in range(30):
+        w = list(base)
+        w[r.randrange(150)] = f"c{i}"
+        texts.append(w)
+    r.shuffle(texts)
+    of = {i: " ".join(w) for i, w in enumerate(texts)}
+    expected = brute_components(of)
+    assert len({c for _, c in expected.values()}) > 40
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(spark.createDataFrame(list(of.items()), "doc_id long, text string")).collect()}
+    assert got == expected
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows), key=str)
