@@ -7,7 +7,8 @@ sums of the clamped ones; that is one window over the table of sources (one row
 repeated target / size times: whole repetitions for every document, and one more for those whose seeded hash
 is below a cut. Sizes are summed for each source and hash bucket (GRAIN buckets), and the cut is the bucket
 edge nearest to the wanted words, so what is taken differs from the target by less than one bucket, or one
-document of a small source. No task gathers a source: sums are partial first, and only bucket sums are sorted.
+document of a small source. Sums are partial first. Where
+the join of documents to the cuts is not broadcast, it deals documents by source, unsalted: a hot source is one task.
 
 Weights go 5, 2, 1 in turn over the sources by code point, the null source last. Nulls: a null or empty text
 has size 0 and is taken 0 words; a null doc_id hashes as empty text. Repeated rows hash alike and are taken alike.
