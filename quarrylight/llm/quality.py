@@ -3,8 +3,7 @@
 Each document gives its word, symbol, repeated-line and repeated-window counts. Its lines are then
 normalised (A-Z lower-cased, digits to 0, runs of other characters than letters and digits to one space)
 and hashed; for each host the documents that hold a line are counted, over all documents. A line is above
-its limit if more than `max_docs` documents of the host hold it and they are over `max_share` of the host's
-documents. Such lines are removed; a document left with less than `min_left` of its words is depleted and
+its limit if more than `max_docs` documents of the host hold it, whatever the host's size. Such lines are removed; a document left with less than `min_left` of its words is depleted and
 rejected. The host of a document is its source.
 
 Nulls: a null text has no words and fails the base rule; a null source is a host of its own. Empty and very
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from quarrylight.llm import hashing
 from quarrylight.llm.common import byte_texts, materialize, sub_batches
 
-MAX_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.01, 0.3
+MAX_DOCS, MIN_LEFT = 20, 0.3
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _DIGIT = bytes(48 if 48 <= b <= 57 else b for b in range(256))
@@ -93,16 +92,14 @@ def _line_key(line: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """doc_id, the base measures, base_failed, n_common_words (words in removed lines) and kept."""
     # The host travels as its hash: Python hands row_id, doc_id and measures through, and nothing else.
     source = docs.select(F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = source.mapInArrow(_measured, SCHEMA).withColumnRenamed("row_id", "host")
     measured = materialize(measured.withColumn("row_id", F.monotonically_increasing_id()), "measured")
     lines = measured.select("host", "row_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "row_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    held = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
-    hosts = measured.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("host_docs"))
-    common = held.join(hosts, F.col("host") == F.col("h")).filter(F.col("docs") > max_share * F.col("host_docs")).select("host", "line")
+    common = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs).select("host", "line")
     gone = lines.join(common, ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("common"))
     out = measured.drop("lines", "line_words").join(gone, "row_id", "left").withColumn("n_common_words", F.coalesce("common", F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= min_left * F.col("n_words"))

@@ -571,6 +571,14 @@ def test_common_lines(spark):
         assert got[i].kept == (not (i < 60 and i % 10))
 
 
+def test_common_lines_of_a_large_host(spark):
+    words = lambda i, k, n: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + k)}{chr(97 + j)}" for j in range(n))
+    line = "This passage stands in some pages of a large host only"
+    rows = [(i, f"{line}\n{words(i, 0, 3)}" if i < 25 else words(i, 0, 20) if i >= 45 else f"{words(i, 0, 20)}\nThis other line stands in few enough of these pages", "en", "host", 0) for i in range(3000)]  # 20 documents hold the other line, at the limit
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all((x.n_common_words, x.kept) == ((11, False) if i < 25 else (0, True)) for i, x in got.items())
+
+
 # the pipeline
 
 
