@@ -579,6 +579,24 @@ def test_common_lines_of_a_large_host(spark):
     assert all((x.n_common_words, x.kept) == ((11, False) if i < 25 else (0, True)) for i, x in got.items())
 
 
+def test_common_lines_are_removed(spark, odd, none):
+    own = lambda i, k: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}{chr(97 + j)}" for j in range(12))
+    line = "All rights reserved by the owner of this page, {:02} é"
+    rows = [(i if i else None, f"{own(i, 0)}\n{line.format(i)}\n\n\t{own(i, 1)}\r\n {line.format(i).upper().replace('É', 'é')} \n{own(i, 2)}", "en", "host" if i < 30 else None, i) for i in range(40)]
+    rows += [(100 + i, f"{line.format(i)}\none two", "en", "host", 7) for i in range(3)] + [(200, "short", "en", "host", 7), (201, None, "en", "host", 7)]
+    docs = spark.createDataFrame(rows, DOCS)
+    clean = {i if i else None: f"{own(i, 0)}\n\n\t{own(i, 1)}\r\n{own(i, 2)}" if i < 30 else rows[i][1] for i in range(40)}
+    out = quality.apply(docs)
+    assert out.schema == docs.schema
+    got = out.collect()
+    assert {r.doc_id: r.text for r in got} == clean and len(got) == 40 and all(r.n_chars == (r.doc_id or 0) for r in got)
+    judged = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert {i for i, r in judged.items() if r.kept} == set(clean)
+    assert all(judged[r.doc_id].n_words - judged[r.doc_id].n_common_words == len(WORD.findall(r.text)) for r in got)
+    kept = [r.doc_id for r in quality.judge(odd).collect() if r.kept]
+    assert quality.apply(odd).schema == odd.schema and sorted(r.doc_id or 0 for r in quality.apply(odd).collect()) == sorted(i or 0 for i in kept) and quality.apply(none).collect() == []
+
+
 # the pipeline
 
 
