@@ -32,7 +32,8 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?:\.[A-Za-z0-9_-]+){0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?:\.[A-Za-z0-9_-]+){0,2}")
+_STARTS = re.compile(r"(?:\A|(?<=[/_-]))(?=M[A-P]|AAAA|b3Bl|30|0000|6[fF]70)")
 _HEXRUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}\Z")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
@@ -154,8 +155,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         if any(a <= m.start() < b for a, b in blocks):
             continue
         run = m[0].split(".")[0]
-        if (kind := structure(run)) in ("key", "ssh"):
-            out.append((m.start(), m.start() + len(run), kind))
+        for x in _STARTS.finditer(run):
+            if len(run) - x.start() >= 32 and (kind := structure(run[x.start() :])) in ("key", "ssh"):
+                out.append((m.start() + x.start(), m.start() + len(run), kind))
+                break
     return out
 
 

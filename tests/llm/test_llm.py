@@ -416,6 +416,16 @@ def test_secret_structure():
         assert secrets.confirmed_spans(f"see {s} here") == []
 
 
+def test_secrets_behind_signs():
+    real, other = planted()
+    for s, kind in real[:6]:
+        for lead in ("KEY=", "a=", "k=v&p=", "url/", "-", "_", "x-", "dir/sub_dir/"):
+            text = f"é {lead}{s}&b=1"
+            assert [(text[a:b], k) for a, b, k in secrets.confirmed_spans(text)] == [(s, kind)]
+    for s in other:
+        assert secrets.confirmed_spans(f"KEY={s} url/{s}") == []
+
+
 def test_secrets_query(spark, documents, texts, odd, none):
     r = random.Random(7)
     extra = {10**6 + i: "".join(r.choice(["token", "api_key", "Password", " ", "=", ":", '"', "'", "abcd1234", "AKIA", "ABCDEF123456", "0123456789abcdef", "ſecret", "é"]) for _ in range(r.randrange(25))) for i in range(3000)}
