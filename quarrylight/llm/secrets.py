@@ -8,7 +8,13 @@ random run has with negligible probability:
   version integer and further elements of PKCS#1, SEC1 or PKCS#8, or an algorithm identifier;
 - `ssh`: the openssh-key-v1 magic, or a length-prefixed key type followed by length-prefixed fields that
   fill the bytes exactly;
-- `pem`: an armoured private key block whose body decodes to one of these (or is encrypted).
+- `pem`: an armoured private key block whose body decodes to one of these (or is encrypted); line breaks,
+  slashes and characters of the body may be escaped as in JSON.
+
+A run may stand directly after `=` or another sign. It is tried from its start and from behind each of its
+`/`, `-` and `_`, and runs that a line break (or an escaped one) and indentation alone separate are joined: the
+lengths inside a key tell at which line's end it ends. The first bytes are decoded first, so that other starts
+cost nothing more.
 
 Nulls: a null text is taken as empty. Whole texts are scanned, in linear time. Repeated rows are returned as
 often as they came; extra columns are not read; an empty table gives an empty result. Spans are code points.
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -32,11 +39,16 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?:\.[A-Za-z0-9_-]+){0,2}")
+_BREAK = r"[\x20\t]*+(?:\r\n?|\n|(?:\\+r)?\\+n|\\+r)[\x20\t]*+"
+_GROUP = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{32,}}+(?:{_BREAK}[A-Za-z0-9+/_-]++)*+={{0,2}}")
+_FIRST = re.compile(rf"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{{2,31}}){_BREAK}\Z")
+_PIECE = re.compile(rf"([A-Za-z0-9+/_-]++)(={{0,2}})(?:{_BREAK})?+")
 _STARTS = re.compile(r"(?:\A|(?<=[/_-]))(?=M[A-P]|AAAA|b3Bl|30|0000|6[fF]70)")
 _HEXRUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}\Z")
-_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+_PART = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,}+)(?=(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\+(?:[nrt/]|u00[0-9a-fA-F]{2}))*+\Z")
+_ESCAPED = re.compile(r"\\+(?:u00([0-9a-fA-F]{2})|([nrt/]))")
 _KEY_TYPES = (b"ssh-", b"ecdsa-sha2-", b"sk-")
 
 
@@ -125,40 +137,136 @@ def _json(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def structure(run: str) -> str | None:
-    """The kind of credential that a candidate run decodes to."""
-    if run.startswith("eyJ") and run.count(".") == 2:
-        header, claims, _ = run.split(".")
-        if "alg" in (_json(header) or {}) and _json(claims) is not None:
-            return "jwt"
-    first = run.split(".")[0]
-    for data in (_decoded(first), bytes.fromhex(first) if _HEXRUN.match(first) else None):
-        if data and is_der_key(data):
-            return "key"
-        if data and is_ssh_key(data):
-            return "ssh"
+def _der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that starts so; 0 if none does."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    if head[1] < 0x80:
+        return 2 + head[1]
+    k = head[1] & 0x7F
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
+
+
+def _field_ends(data: bytes) -> list[int]:
+    """Where a credential of length-prefixed fields may end: behind each field from the second on, or behind an openssh key's last."""
+    at, out, left = 0, [], None
+    if data.startswith(b"openssh-key-v1\0"):
+        at, left = 15, 3  # cipher, function and its options, then the number of public keys
+    while at + 4 <= len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        if left == 0:  # the number of keys: so many fields follow, and the private one
+            return _skipped(data, at + 4, n + 1)
+        if at + 4 + n > len(data):
+            break
+        if left is None and data[at + 4 : at + 4 + n].startswith(_KEY_TYPES) != (not out):  # a second type starts another key
+            break
+        at += 4 + n
+        out.append(at)
+        left = left if left is None else left - 1
+    return out[1:] if left is None else []
+
+
+def _skipped(data: bytes, at: int, fields: int) -> list[int]:
+    while fields and at + 4 <= len(data):
+        at, fields = at + 4 + int.from_bytes(data[at : at + 4], "big"), fields - 1
+    return [] if fields or at > len(data) else [at]
+
+
+def _key_at(body: str, at: int, ends: list[int]) -> tuple[int, str] | None:
+    """End and kind of the key that starts at `at` of the joined runs and ends at one of the runs' ends."""
+    chars = {4: _decoded(body[at : at + 24])}
+    if _HEXRUN.match(body[at : at + 48]):
+        chars[2] = bytes.fromhex(body[at : at + 48])
+    for width, head in chars.items():  # characters of three bytes and one: 4 of 3, or 2 of 1
+        many = (lambda n: -(-4 * n // 3)) if width == 4 else (lambda n: 2 * n)
+        decode = _decoded if width == 4 else lambda x: bytes.fromhex(x) if _HEXRUN.match(x) else None
+        if not head:
+            continue
+        if size := _der_size(head):
+            end = at + many(size)
+            k = bisect.bisect_left(ends, end)
+            if end - at >= 32 and k < len(ends) and ends[k] == end and (data := decode(body[at:end])) and is_der_key(data):
+                return end, "key"
+        elif head.startswith(b"openssh-key-v1"[: len(head)]) or head[4:].startswith(_KEY_TYPES):
+            whole = body[at : ends[-1]]
+            if width == 2:
+                whole = re.match(r"(?:[0-9a-fA-F]{2})*", whole)[0]
+            data = _decoded(whole[: len(whole) - (len(whole) % 4 == 1)]) if width == 4 else bytes.fromhex(whole)
+            near = {at + many(n) for n in _field_ends(data or b"")}
+            last = [e for e in ends if e > at and e in near and e - at >= 32]
+            if last:
+                return last[-1], "ssh"
+            first = ends[bisect.bisect_right(ends, at)]  # an openssh key is one by its magic alone
+            if first - at >= 32 and (data := decode(body[at:first])) and is_ssh_key(data):
+                return first, "ssh"
     return None
 
 
+def _key_spans(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Keys in text[start:end], runs with nothing but line breaks between them."""
+    out, starts, ends, places, pads, size = [], [], [], [], [], 0
+    for m in _PIECE.finditer(text, start, end):
+        a, run = m.start(1), m[1]
+        starts += [size + x.start() for x in _STARTS.finditer(run)]
+        if not places and a and text[a - 1] == "\\" and run[0] in "nrt":  # the letter belongs to an escape
+            starts += [size + 1] * bool(_STARTS.match(run[1:]))
+        places.append((size, a, run))
+        size += len(run)
+        ends.append(size)
+        pads.append(m.end(2) - m.end(1))
+    if not starts:
+        return out
+    body, free, firsts = "".join(p[2] for p in places), 0, [p[0] for p in places]
+    for at in sorted(set(starts)):
+        if at < free or not (found := _key_at(body, at, ends)):
+            continue
+        free, kind = found
+        k, e = bisect.bisect_right(firsts, at) - 1, bisect.bisect_left(ends, free)
+        out.append((places[k][1] + at - places[k][0], places[e][1] + len(places[e][2]) + pads[e], kind))
+    return out
+
+
+def _token_spans(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens, decided by their decoded header; the header may follow a leading `-` or `_`."""
+    out, free = [], 0
+    for m in _PART.finditer(text):
+        claims = None
+        for k in (0, *(x.end() for x in re.finditer("[-_]", m[1]))):
+            if m.start() + k < free or (_decoded(m[1][k : k + 16]) or b" ").lstrip(b" \t\r\n")[:1] not in (b"{", b""):
+                continue
+            if "alg" not in (_json(m[1][k:]) or {}):
+                continue
+            claims = _json(m[2].split(".")[1]) if claims is None else claims
+            if claims is not None:
+                free = m.end(2)
+                out.append((m.start() + k, free, "jwt"))
+            break
+    return out
+
+
+def _blocks(text: str):
+    """Armoured private keys: label, start, end and body without escapes and white space."""
+    for m in _BEGIN.finditer(text):
+        stop, tail = text.find("-----", m.end()), f"-----END {m[1]}-----"
+        if stop >= 0 and text.startswith(tail, stop) and _BODY.match(raw := text[m.end() : stop]):
+            body = _ESCAPED.sub(lambda x: chr(int(x[1], 16)) if x[1] else x[2] if x[2] == "/" else "\n", raw)
+            yield m[1], m.start(), stop + len(tail), re.sub(r"\s", "", body)
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out, blocks = [], []
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            body = re.sub(r"\s", "", m[2])
+        for label, a, b, body in _blocks(text):
             data = _decoded(body)
-            if "ENCRYPTED" in m[1] or "ENCRYPTED" in body or data and (is_der_key(data) or is_ssh_key(data)):
-                out.append((m.start(), m.end(), "pem"))
-                blocks.append((m.start(), m.end()))
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if structure(m[0]) == "jwt"]
-    for m in _RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in blocks):
-            continue
-        run = m[0].split(".")[0]
-        for x in _STARTS.finditer(run):
-            if len(run) - x.start() >= 32 and (kind := structure(run[x.start() :])) in ("key", "ssh"):
-                out.append((m.start() + x.start(), m.start() + len(run), kind))
-                break
+            if "ENCRYPTED" in label or "ENCRYPTED" in body or data and (is_der_key(data) or is_ssh_key(data)):
+                out.append((a, b, "pem"))
+                blocks.append((a, b))
+    out += _token_spans(text)
+    for m in _GROUP.finditer(text):
+        start = m.start()
+        if first := _FIRST.search(text, max(0, start - 80), start):
+            start = first.start(1)
+        out += [s for s in _key_spans(text, start, m.end()) if not any(a <= s[0] < b for a, b in blocks)]
     return out
 
 

@@ -426,6 +426,29 @@ def test_secrets_behind_signs():
         assert secrets.confirmed_spans(f"KEY={s} url/{s}") == []
 
 
+def test_wrapped_secrets():
+    real, other = planted()
+    fold = lambda s, n, br: br.join(s[i : i + n] for i in range(0, len(s), n))
+    found = lambda text: [(text[a:b], k) for a, b, k in secrets.confirmed_spans(text)]
+    for s, kind in real[:5]:
+        for br in ("\n", "\r\n", "\n    ", "\\n", "\\\\n", "\\r\\n"):
+            for n in (36, 64, 76):
+                w = fold(s, n, br)
+                assert found(f"KEY={w} rest") == [(w, kind)]
+                assert found(f"key: |{br}{w}{br}next line of text") == [(w, kind)]
+        assert found(f"{s}\n{s}\n") == [(s, kind)] * 2
+    for s in other[:3]:
+        assert found(fold(s, 64, "\n")) == []
+    url = lambda d: base64.urlsafe_b64encode(d).decode().rstrip("=")
+    jwt = ".".join(map(url, (b'{ "alg": "HS256"}', b' {"sub": "1"}', b"x" * 32)))
+    assert not jwt.startswith("eyJ") and found(f"t={jwt} x") == found(f"t_-{jwt} x") == [(jwt, "jwt")]
+    assert found(f"www.{jwt}") == [(jwt, "jwt")] and found("one-long-name-here.another-name.org") == []
+    pem = real[-1][0]
+    for text in (json.dumps({"private_key": pem}), json.dumps(json.dumps({"private_key": pem})), json.dumps({"private_key": pem}).replace("/", "\\/").replace("=", "\\u003d")):
+        (a, b, kind), = secrets.confirmed_spans(text)
+        assert kind == "pem" and text[a:b].startswith("-----BEGIN") and text[a:b].endswith("KEY-----")
+
+
 def test_secrets_query(spark, documents, texts, odd, none):
     r = random.Random(7)
     extra = {10**6 + i: "".join(r.choice(["token", "api_key", "Password", " ", "=", ":", '"', "'", "abcd1234", "AKIA", "ABCDEF123456", "0123456789abcdef", "ſecret", "é"]) for _ in range(r.randrange(25))) for i in range(3000)}
