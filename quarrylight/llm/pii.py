@@ -1,8 +1,8 @@
 """Personal data by a semi-Markov conditional random field over candidate islands.
 
-Four base rules give spans that always stay. The model adds to them. An island is a stretch of up to
-ISLAND chunks (runs without white space) that hold a digit or an `@`, each next to the other; everything else
-is outside by construction, so a text costs one linear scan. A segment is one to SPAN chunks of an island,
+Four base rules give spans that always stay. The model adds to them. An island is a stretch
+of chunks (runs without white space) that hold a digit or an `@`, each next to the other, however many; everything
+else is outside by construction. Segments are scored as the programme reaches them, so a text costs one linear scan. A segment is one to SPAN chunks of an island,
 trimmed of punctuation at its ends. Features look at the whole segment: digits, groups, separators, the Luhn
 sum, a domain, a country code, brackets, the word before it. The bounded-entity dynamic programme chooses
 boundaries and types of all segments of an island at once: alpha[j] over segments of at most SPAN chunks
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 TYPES = ("O", *KINDS)
-SPAN, ISLAND, EXAMPLES, EPOCHS, SEED = 5, 64, 400, 60, 17
+SPAN, EXAMPLES, EPOCHS, SEED = 5, 400, 60, 17
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -104,7 +104,7 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
     """Neighbouring chunks with a digit or an @, as (start, end); at most one character between two of them."""
     out: list[list[tuple[int, int]]] = []
     for m in _CHUNK.finditer(text):
-        if out and m.start() - out[-1][-1][1] <= 1 and len(out[-1]) < ISLAND:
+        if out and m.start() - out[-1][-1][1] <= 1:
             out[-1].append(m.span())
         else:
             out.append([m.span()])
@@ -149,13 +149,18 @@ def features(text: str, start: int, end: int, n: int) -> list[str]:
     return out
 
 
+def segment(text: str, island: list[tuple[int, int]], i: int, j: int) -> tuple[int, int, list[str]]:
+    """Start, end and features of the chunks i to j."""
+    start, end = trimmed(text, island[i][0], island[j - 1][1])
+    return start, end, features(text, start, end, j - i)
+
+
 def segments(text: str, island: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int, list[str]]]:
     """(first chunk, end chunk) -> start, end, features."""
     out = {}
     for i in range(len(island)):
         for j in range(i + 1, min(len(island), i + SPAN) + 1):
-            start, end = trimmed(text, island[i][0], island[j - 1][1])
-            out[i, j] = (start, end, features(text, start, end, j - i))
+            out[i, j] = segment(text, island, i, j)
     return out
 
 
@@ -171,35 +176,42 @@ class SemiMarkov:
         return [self.index[f] for f in fs if f in self.index]
 
     def scores(self, segs: dict) -> dict[tuple[int, int], np.ndarray]:
-        out = {}
-        for (i, j), (_, _, fs) in segs.items():
-            s = self.w[self._rows(fs)].sum(axis=0)
-            if j - i > 1:
-                s = s.copy()
-                s[0] = -np.inf  # outside goes chunk by chunk
-            out[i, j] = s
-        return out
+        return {(i, j): self.score(fs, j - i) for (i, j), (_, _, fs) in segs.items()}
+
+    def score(self, fs: list[str], n: int) -> np.ndarray:
+        """Of a segment of n chunks, by type."""
+        s = self.w[self._rows(fs)].sum(axis=0)
+        if n > 1:
+            s[0] = -np.inf  # outside goes chunk by chunk
+        return s
 
     def best(self, n: int, scores: dict) -> list[tuple[int, int, int]]:
         """The best segmentation as (first, end, type)."""
-        value = [np.full(len(TYPES), -np.inf) for _ in range(n + 1)]
-        back: list[dict] = [{} for _ in range(n + 1)]
+        return self.segmented(n, lambda i, j: scores[i, j])
+
+    def segmented(self, n: int, score) -> list[tuple[int, int, int]]:
+        """best() by a function of (first, end); values of SPAN chunks are held, and two bytes a chunk and type."""
+        k = len(TYPES)
+        value: dict[int, np.ndarray] = {}
+        lengths, before = bytearray((n + 1) * k), bytearray((n + 1) * k)
         for j in range(1, n + 1):
+            value[j] = np.full(k, -np.inf)
             for i in range(max(0, j - SPAN), j):
                 if i == 0:
-                    reach, came = np.zeros(len(TYPES)), [-1] * len(TYPES)
+                    reach, came = np.zeros(k), [0] * k
                 else:
                     paths = value[i][:, None] + self.next
                     reach, came = paths.max(axis=0), paths.argmax(axis=0)
-                total = reach + scores[i, j]
+                total = reach + score(i, j)
                 for t in np.flatnonzero(total > value[j]):
                     value[j][t] = total[t]
-                    back[j][int(t)] = (i, int(came[t]))
+                    lengths[j * k + t], before[j * k + t] = j - i, came[t]
+            value.pop(j - SPAN, None)
         out, j, t = [], n, int(value[n].argmax())
         while j > 0:
-            i, before = back[j][t]
+            i = j - lengths[j * k + t]
             out.append((i, j, t))
-            j, t = i, before
+            j, t = i, before[j * k + t]
         return out[::-1]
 
     def gradient(self, n: int, scores: dict, gold: list[tuple[int, int, int]]):
@@ -320,9 +332,8 @@ def trained(n: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> SemiMa
 def model_spans(text: str, model: SemiMarkov) -> list[tuple[int, int, str]]:
     out = []
     for island in islands(text):
-        segs = segments(text, island)
-        for i, j, t in model.best(len(island), model.scores(segs)):
-            start, end, _ = segs[i, j]
+        for i, j, t in model.segmented(len(island), lambda i, j: model.score(segment(text, island, i, j)[2], j - i)):
+            start, end = trimmed(text, island[i][0], island[j - 1][1])
             if t and end > start:
                 out.append((start, end, TYPES[t]))
     return out

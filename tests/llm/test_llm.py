@@ -365,6 +365,18 @@ def test_segmentation_is_the_best_of_all():
             assert value(model.best(n, scores)) == pytest.approx(max(map(value, every(0))))
 
 
+def test_long_islands_are_whole():
+    model = pii.trained()
+    text = "1 " + "(415) 555-0100 " * 400
+    assert len(pii.islands(text)) == 1
+    found = pii.all_spans(text, model)[1]
+    assert {k for _, _, k in found} == {"phone"} and sum(b - a >= len("415) 555-0100") for a, b, _ in found) == 400
+    island = pii.islands("1 " + "(415) 555-0100 " * 40)[0]
+    segs = pii.segments(text, island)
+    got = [(*segs[i, j][:2], pii.TYPES[t]) for i, j, t in model.best(len(island), model.scores(segs)) if t]
+    assert got == pii.model_spans(text[: island[-1][1]], model)
+
+
 def test_personal_data_query(documents, texts, odd, none):
     rows = pii.scan(documents).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
