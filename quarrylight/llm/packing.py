@@ -40,7 +40,8 @@ class ByteBpe:
     """Token ids of a byte-level BPE file of the tokenizers library (ids in order of merges).
 
     Splitting before spaces never changes the ids, so chunks are encoded once and remembered; texts with
-    white space on both sides of a space are encoded as a whole. Texts that spell a special token are ordinary."""
+    white space on both sides of a space are encoded as a whole. Added tokens of the file are found first, get
+    their own ids, and the text on each side of them is encoded by itself."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -49,10 +50,14 @@ class ByteBpe:
             spec = json.load(f)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"added tokens that are not plain strings in {path}")
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = {c: i.to_bytes(4, "little") for c, i in special.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.known: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
@@ -62,6 +67,11 @@ class ByteBpe:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if any(c in text for c in self.special):
+            return b"".join(self.special.get(x) or self._ordinary(x) for x in self.split.split(text) if x)
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._encode(text)
         chunks = text.split(" ")

@@ -297,7 +297,7 @@ def test_token_ids_of_odd_texts():
 
     tokenizer, bpe = Tokenizer.from_file(queries.tokenizer_path()), packing.ByteBpe(queries.tokenizer_path())
     r = random.Random(2)
-    for text in ["", " ", "   ", "a  b   c \n d\n\n e \t", "x \u00a0 y", "don't 12 ab\u2003 c", *("".join(r.choice(" \n\tab1.é漢's") for _ in range(r.randrange(30))) for _ in range(3000))]:
+    for text in ["", " ", "   ", "a  b   c \n d\n\n e \t", "x \u00a0 y", "don't 12 ab\u2003 c", "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|><|endoftext|>\n y  <|endoftext|> ", "<|endoftext| >", "some <|endoftext|>", *("".join(r.choice(" \n\tab1.é漢's") for _ in range(r.randrange(30))) for _ in range(3000))]:
         assert np.frombuffer(bpe.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
