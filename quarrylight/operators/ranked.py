@@ -88,7 +88,7 @@ def excerpt(data: bytes, terms: list[str]) -> tuple[int, int]:
     for t in terms:
         k = low.find(t.encode())
         if k >= 0:
-            at = min(max(0, k + len(t.encode()) // 2 - EXCERPT_BYTES // 2), len(data) - EXCERPT_BYTES)
+            at = min(max(0, k - (EXCERPT_BYTES - len(t.encode())) // 2), len(data) - EXCERPT_BYTES)
             break
     at = ceil_char(data, at)
     return at, floor_char(data, min(len(data), at + EXCERPT_BYTES))

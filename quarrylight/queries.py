@@ -225,9 +225,11 @@ with {UNIT_BM25},
 bodied as (select source_id, unit, body, strlen(body) as n from best join bodies using (source_id, unit))
 select source_id, unit, 0::bigint as excerpt_start, n::bigint as excerpt_end from bodied where n <= 512""")
 def excerpts(spark, sf_dir):
-    """Spans shown for units of at most 512 bytes, all of them; longer ones are held against brute force in the tests."""
+    """Spans shown of all hits' units. The SQL has those of at most 512 bytes; longer ones are held against brute force in the tests."""
     best = ranked.ranked(unit_scores(spark, sf_dir), 64)
-    return best.select("source_id", "unit", F.lit(0).cast("long").alias("excerpt_start"), F.octet_length("body").cast("long").alias("excerpt_end")).filter("excerpt_end <= 512")
+    terms = E.excerpt_terms(QUERY)
+    span = F.udf(lambda body: ranked.excerpt(bytes(body), terms), "struct<excerpt_start:long,excerpt_end:long>")
+    return best.select("source_id", "unit", span("body").alias("span")).select("source_id", "unit", "span.*")
 
 
 @query(f"with recursive {UNITS} select source_id, unit, lower('0000000000000001' || lpad(hex(row_number() over (order by source_id, unit) - 1), 16, '0')) as point_id from units")

@@ -132,6 +132,22 @@ def test_ranked_excerpt():
     assert b - a <= 512 and "needle" in data[a:b].decode() and ranked.excerpt(b"short", []) == (0, 5) and ranked.excerpt(data, [])[0] == 0
 
 
+def test_excerpts_of_all_hits(spark, sf_dir):
+    rows = ranked.ranked(queries.unit_scores(spark, sf_dir), 64).select("source_id", "unit", "body").collect()
+    want = {}
+    for r in rows:
+        text = bytes(r["body"]).decode()
+        data, start = text.encode(), 0
+        places = [(data.lower().find(t), len(t)) for t in (b"worthless", b"token", b"trash", b"the") if t in data.lower()]
+        if len(data) > 512 and places:
+            start = min(max(0, places[0][0] - (512 - places[0][1]) // 2), len(data) - 512)
+        bounds = [len(text[:i].encode()) for i in range(len(text) + 1)]
+        start = min(b for b in bounds if b >= start)
+        want[r["source_id"], r["unit"]] = (start, max(b for b in bounds if b <= start + 512))
+    got = {(r["source_id"], r["unit"]): (r["excerpt_start"], r["excerpt_end"]) for r in queries.excerpts(spark, sf_dir).collect()}
+    assert got == want and len(got) == 64 and any(len(r["body"]) > 512 for r in rows)
+
+
 def test_objects(spark):
     store = objects.stored(spark.createDataFrame([(b"a",), (b"a",), (b"bb",)], "content binary"), "source")
     assert store.count() == 2
