@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import langid, minhash, mixing, packing, pii
-from quarrylight.llm.common import release, shared_dir, table
+from quarrylight.llm.common import materialize, release, shared_dir, table
 from quarrylight.llm.queries import tokenizer_path
 
 
@@ -23,12 +23,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Documents with a null
-    doc_id stay, since they can't be told apart; of rows with equal doc_id all stay or go together."""
+    """One row of each group of near copies: that with the smallest doc_id, null ids last. Rows are told apart by
+    a written row id, so repeated rows and copies with a null or an equal doc_id go like all others."""
     release(spark)
-    judged = minhash.near_duplicates(docs).select(F.col("doc_id").alias("judged"), "kept")
-    gone = judged.filter("judged is not null").groupBy("judged").agg(F.max("kept").alias("stays")).filter("not stays").select("judged")
-    return docs.join(gone, docs["doc_id"] == F.col("judged"), "left_anti").select(*docs.columns)
+    row, own = "__row", "__doc_id"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    judged = minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col("doc_id").cast("long").alias(own))
+    first = judged.join(ids, row).groupBy("component_id").agg(F.min(F.struct(F.col(own).isNull().alias("none"), own, row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    gone = judged.join(first, row, "left_anti").select(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -676,3 +676,15 @@ def test_pipeline_of_odd_rows(spark, tmp_path, odd, none):
             stage(spark, docs, "").write.parquet(f"{tmp_path}/{k}-{name}")
             docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
         assert (docs.count() > 0) == (k == 0)
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (3, text("d")), (7, text("d")), (9, text("c") + " more"), (None, text("e")), (5, "one"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.schema == docs.schema
+    want = [(1, text("a")), (None, text("b")), (7, text("c")), (3, text("d")), (None, text("e")), (5, "one"), (5, None)]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
