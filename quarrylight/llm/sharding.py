@@ -4,19 +4,20 @@ The tree is built over metadata alone: id, size, source and language ordinals (b
 scaled to its extent in the whole table. Every node is split along its widest dimension at the weighted
 median, where the weight of a row is its bytes, until there are `shards` leaves, that is until leaves reach
 total / shards bytes; nodes with an odd number of leaves are split in that proportion. Medians are
-distributed: a row's place along a dimension is one 62-bit number (the value, then a hash of the text, then
-one of the id, so that rows of equal value still have an order and equal texts stay next to each other), and
-the median's place is found digit by digit from sums of bytes in 4096 bins, of which the driver gets one row
+distributed: a row's place along a dimension is one 62-bit number (the value, then hashes of the text, of the
+id and of a written row id, so that rows of equal value still have an order), and the median's place is found
+digit by digit from sums of bytes in 4096 bins, of which the driver gets one row
 a bin and node. Refinement stops when the bin that holds the median weighs less than TOLERANCE of its node's
-bytes; the cut is then exact to that share. The law is `bytes`; a group of equal texts is kept in one shard
-unless it straddles a median, where it is split so that the law holds however large the group.
+bytes; the cut is then exact to that share. The law is `bytes`. Equal texts are next to each other only among
+rows of equal value in the dimension of a split: as ids, sources and languages are dimensions too, copies with
+other metadata may be in other shards, and a group that straddles a median is split, however large.
 
-Slots count the rows of a shard without gaps: rows are numbered within parts of a shard (a hash of the row;
+Slots count the rows of a shard without gaps: rows are numbered within parts of a shard (a hash of the row id;
 PART rows on average), and the parts' counts give the offsets.
 
 Nulls: a null text weighs 1 byte and has the checksum 0; null ids, sources and languages are values of their
-own. Rows equal in doc_id and text can't be told apart and share a shard. An empty table gives no rows.
-Extra columns are not read.
+own. Rows equal in all columns are told apart by the row id and dealt like all others. An empty table gives no
+rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ def metadata(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), F.xxhash64("source").alias("s"), F.xxhash64("lang").alias("l"))
     rows = rows.select("doc_id", (F.length("t") + 1).cast("long").alias("size"), F.crc32("t").alias("text_crc32"), F.xxhash64("t").alias("text_key"), F.xxhash64("doc_id").alias("id_key"), "s", "l")
-    return materialize(rows, "metadata")
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "metadata")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Adds d_*: 22 bits of the value, scaled, then 20 bits of the text's hash and 20 of the id's."""
+    """Adds d_*: 22 bits of the value, scaled, then 14 bits of the text's hash, 13 of the id's and 13 of the row's."""
     low = rows.agg(F.min("doc_id").alias("i0"), F.max("doc_id").alias("i1"), F.max("size").alias("z1")).first()
     first, span = low["i0"] or 0, max(1, (low["i1"] or 0) - (low["i0"] or 0))
     scaled = {
@@ -48,7 +49,7 @@ def _placed(rows: DataFrame) -> DataFrame:
         "d_source": F.pmod(F.col("s"), F.lit(1 << 22)).cast("double") / F.lit(float(1 << 22)),
         "d_lang": F.pmod(F.col("l"), F.lit(1 << 22)).cast("double") / F.lit(float(1 << 22)),
     }
-    tie = F.shiftleft(F.pmod("text_key", F.lit(1 << 20)), 20) + F.pmod("id_key", F.lit(1 << 20))
+    tie = F.shiftleft(F.pmod("text_key", F.lit(1 << 14)), 26) + F.shiftleft(F.pmod("id_key", F.lit(1 << 13)), 13) + F.pmod(F.xxhash64("row"), F.lit(1 << 13))
     return rows.withColumns({k: F.shiftleft(F.least(F.floor(v * ((1 << 22) - 1)), F.lit((1 << 22) - 1)).cast("long"), 40) + tie for k, v in scaled.items()})
 
 
@@ -126,9 +127,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     dealt = rows.withColumn("node", _node(tree)).withColumn("shard", number.cast("int"))
     total = rows.count()
     parts = max(64, min(PARTS, total // PART) // shards)
-    dealt = dealt.select("doc_id", "size", "text_crc32", "shard", "text_key", F.pmod(F.xxhash64("id_key", "text_key"), F.lit(parts)).alias("part"))
+    dealt = dealt.select("doc_id", "size", "text_crc32", "shard", "row", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"))
     held = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = held.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_key")) - 1
+    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")) - 1
     out = dealt.withColumn("own", own).join(before, ["shard", "part"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
