@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 #: Java and Python form of one word of the contracts: no ASCII white space in it.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: dict[str, list[str]] = {}
+#: Paths of the tables that materialize() wrote, by application and owner.
+_written: dict[tuple[str, str], list[str]] = {}
+_owner: list[str] = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,15 +39,57 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _written.setdefault((spark.sparkContext.applicationId, _owner[-1]), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that materialize() wrote; only once no result that reads them is still needed."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+@contextlib.contextmanager
+def owned(owner: str):
+    """Tables written inside belong to `owner`, so that release() can tell them from all others."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_paths(df: DataFrame) -> set[str]:
+    """The folders and files that the plan of df reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            out |= {paths.apply(k).toUri().getPath() for k in range(paths.size())}
+    return out
+
+
+def release(spark: SparkSession, owner: str = "", needed: DataFrame | None = None) -> None:
+    """Delete the tables that materialize() wrote for `owner` in this application, but for those that `needed` reads.
+    Results of the owner's operators that were not read yet need their tables: call this once they are."""
+    key = (spark.sparkContext.applicationId, owner)
+    keep = read_paths(needed) if needed is not None else set()
+    paths = _written.pop(key, [])
+    for path in paths:
+        if spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath() in keep:
+            _written.setdefault(key, []).append(path)
+        else:
+            delete(spark, path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def byte_texts(column: pa.Array) -> list[bytes | None]:
