@@ -1,19 +1,21 @@
-"""Vectorised 64-bit fingerprints of words, word windows and lines over raw UTF-8 bytes.
+"""64-bit fingerprints of words, word windows and lines over raw UTF-8 bytes.
 
-A word's fingerprint is a polynomial of its bytes modulo 2**64 over an odd base, put through a
-finaliser together with its length; a window's is a mix of its words' fingerprints in order.
+A word's fingerprint is the XXH3 hash of its bytes; a window's is a mix of its words' fingerprints in order.
+Two given words or windows share one with a probability of 2**-64. What must hold over a whole corpus, such as
+which texts are equal, is decided by digests of 128 bits instead.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
+import xxhash
 
 U = np.uint64
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Words are hashed in pieces of so many bytes, so that no text needs arrays many times its own size.
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Words are hashed in pieces of so many bytes, so that no text needs lists many times its own size.
 PIECE = 1 << 21
 
 
@@ -24,54 +26,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=U)
-    out[:1] = 1
-    have, top = 1, base
-    while have < n:  # doubles what is there: out[have:2*have] = out[:have] * base**have
-        more = min(have, n - have)
-        out[have : have + more] = out[:more] * U(top)
-        top = top * top % (1 << 64)
-        have += more
-    return out
-
-
-_tables: list[np.ndarray] = [_powers(_BASE, 1 << 12), _powers(_INVERSE, 1 << 12)]
-
-
-def _tables_for(n: int) -> list[np.ndarray]:
-    if len(_tables[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        _tables[:] = [_powers(_BASE, size), _powers(_INVERSE, size)]
-    return _tables
-
-
-def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    solid = ~_SPACE[data]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    forward, back = _tables_for(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=U)
-    sums[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * forward[: len(data)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * back[starts]
-    return starts, ends, mix(value + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-
-
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and fingerprints of the words of `data`; a word is a maximal run without ASCII white space."""
-    every = np.frombuffer(data, dtype=np.uint8)
-    if len(every) <= PIECE:
-        return _piece(every)
-    cuts, at, spaces = [0], 0, np.flatnonzero(_SPACE[every])
-    while len(every) - at > PIECE:
-        k = np.searchsorted(spaces, at + PIECE)  # cut at white space only; a giant word stays whole
-        if k >= len(spaces):
-            break
-        at = int(spaces[k])
-        cuts.append(at)
-    found = [(a, _piece(every[a:b])) for a, b in zip(cuts, [*cuts[1:], len(every)])]
-    return tuple(np.concatenate([x[i] + (a if i < 2 else U(0)) for a, x in found]) for i in range(3))
+def pieces(data: bytes):
+    """data in pieces of about PIECE bytes, cut at white space only; a giant word stays whole."""
+    at = 0
+    while len(data) - at > PIECE and (cut := _SPACE.search(data, at + PIECE)):
+        yield data[at : cut.start()]
+        at = cut.start()
+    yield data[at:] if at else data
+
+
+def words(data: bytes) -> np.ndarray:
+    """Fingerprints of the words of `data`; a word is a maximal run without ASCII white space."""
+    found = [np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, piece.split())), dtype=U) for piece in pieces(data)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
+def text_digest(data: bytes) -> bytes:
+    """128 bits of the word sequence: equal for texts that differ in white space alone."""
+    h = hashlib.blake2b(digest_size=16)
+    first = True
+    for piece in pieces(data):
+        if part := b" ".join(piece.split()):
+            h.update(part if first else b" " + part)
+            first = False
+    return h.digest()
 
 
 _ORDER = [U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]

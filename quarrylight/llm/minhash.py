@@ -1,14 +1,15 @@
 """Near-duplicate documents by fast similarity sketching, banding and exact verification.
 
 A document is the set of its distinct 5-word shingles (64-bit fingerprints, A-Z lower-cased); with fewer
-words the whole sequence is the one member. The sketch has T coordinates. Round i hashes every member to a
+words the whole sequence is the one member. A false equality of two members of one pair has a probability of
+2**-64; what is compared over the whole corpus, the word sequence that names a class, has a digest of 128 bits. The sketch has T coordinates. Round i hashes every member to a
 (bin, value) pair; a coordinate keeps the smallest (round, value). Rounds go on until all coordinates are
 filled; rounds T..2T put every member into the one bin T..2T names, so that each coordinate fills whatever
 the set. The expected work is O(T log T + |set|), and equal coordinates count as Jaccard trials with
 concentration bounds of independent ones. BANDS bands of ROWS coordinates each give the candidates: at a
 Jaccard similarity of 0.75 a pair shares no band with probability (1 - 0.75**5)**50, about 1.4e-6.
 
-Equal sets are one class before anything is paired. Candidate links between classes go through hubs: each
+Equal word sequences are one class before anything is paired. Candidate links between classes go through hubs: each
 bucket names one hub, members are verified against it, and components are joined; the next round takes
 another hub for buckets that still hold several components; the last round pairs what is left across
 components, so that no link is lost to the hubs. The first hub is the most central member, as a rule the text
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm import hashing
-from quarrylight.llm.common import byte_texts, materialize
+from quarrylight.llm.common import byte_texts, materialize, sub_batches
 
 U = np.uint64
 WIDTH, ROWS, BANDS, SHARE = 5, 5, 50, 75
@@ -58,8 +59,7 @@ _LOW = U(0xFFFFFFFF)
 
 def shingle_set(data: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle fingerprints of one text, A-Z lower-cased."""
-    hashes = hashing.words(data.lower())[2]
-    return _set(hashes, width)
+    return _set(hashing.words(data.lower()), width)
 
 
 def _set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -106,16 +106,16 @@ def low_bits(coordinates: np.ndarray) -> list[int]:
     return np.packbits(bits, axis=1).view(np.int64).ravel().tolist()
 
 
-def set_class(members: np.ndarray) -> int:
-    """Signed 64-bit id of a set; equal sets have equal ids."""
-    return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
+def text_class(data: bytes) -> bytes:
+    """128-bit digest of the lower-cased word sequence: equal ones have equal sets."""
+    return hashing.text_digest(data.lower())
 
 
 _EMPTY = (None, 0, None, [None] * len(_BITS))
 
 
 def _sketched(batches):
-    """(row columns, text) -> class, n, bands; texts equal to a recent one are not done again."""
+    """(row columns, text) -> class digest, n, bands; texts equal to a recent one are not done again."""
     recent: dict[bytes, tuple] = {}
     for batch in batches:
         ids, keys = batch.column("doc_id"), batch.column("text_key")
@@ -129,7 +129,7 @@ def _sketched(batches):
                     members = shingle_set(t)
                     if len(members):
                         found = sketch(members)
-                        got = (set_class(members), len(members), band_keys(found).tobytes(), low_bits(found))
+                        got = (text_class(t), len(members), band_keys(found).tobytes(), low_bits(found))
                     else:
                         got = _EMPTY
                     if len(recent) >= 2000:
@@ -141,7 +141,7 @@ def _sketched(batches):
             n.append(got[1])
             bands.append(got[2])
             bits.append(got[3])
-        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.binary()), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(len(_BITS)))], names=["doc_id", "text_key", "cls", "n", "bands", *_BITS])
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.binary()), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(len(_BITS)))], names=["doc_id", "text_key", "digest", "n", "bands", *_BITS])
 
 
 def _unpacked(batches):
@@ -157,15 +157,11 @@ def _unpacked(batches):
 
 def _sets(batches):
     for batch in batches:
-        cls, sets = [], []
-        for t in byte_texts(batch.column("text")):
-            members = shingle_set(t or b"")
-            cls.append(set_class(members))
-            sets.append(members.tobytes())
-            if len(sets) >= 256:
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "members"])
-                cls, sets = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "members"])
+        texts = byte_texts(batch.column("text"))
+        for a, b in sub_batches(batch, texts):
+            part = [t or b"" for t in texts[a:b]]
+            digests, sets = [text_class(t) for t in part], [shingle_set(t).tobytes() for t in part]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "members"])
 
 
 def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,10 +210,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("cls", "root")
 
 
+def _text_key():
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, cls, n of every document and the bands, as a written table."""
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    return materialize(source.mapInArrow(_sketched, "doc_id long, text_key long, cls long, n long, bands binary, " + ", ".join(f"{b} long" for b in _BITS)), "sketches")
+    """doc_id, text_key, class digest, n of every document and the bands, as a written table."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", _text_key())
+    return materialize(source.mapInArrow(_sketched, "doc_id long, text_key binary, digest binary, n long, bands binary, " + ", ".join(f"{b} long" for b in _BITS)), "sketches")
 
 
 def _alike(one: str, other: str, differ: int = DIFFER):
@@ -274,24 +274,25 @@ def _left(now: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
     return by_bucket.union(outside)
 
 
-def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """(cls, root) of all classes with a confirmed link, or None; and the bucket members."""
-    spark = docs.sparkSession
-    single = sketches.filter("cls is not null").select("cls", "n", "bands").dropDuplicates(["cls"])
+def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
+    """(digest, root) of all classes with a confirmed link, or None. Inside, classes go by numbers that a written
+    table gives them, so that no two of them ever share one."""
+    every = sketches.filter("digest is not null").groupBy("digest").agg(F.first(F.struct("n", "bands", "text_key", *_BITS)).alias("c")).select("digest", "c.*")
+    every = materialize(every.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    single = every.select("cls", "n", "bands")
     rows = materialize(single.mapInArrow(_unpacked, "bucket long, cls long, n long"), "bands")
     shared = rows.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("bucket")
-    bits = sketches.filter("cls is not null").groupBy("cls").agg(*(F.min(b).alias(b) for b in _BITS))
+    bits = every.select("cls", *_BITS)
     members = materialize(rows.join(shared, "bucket").join(bits, "cls"), "members")
-    wanted = sketches.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("text_key").alias("text_key"))
-    wanted = materialize(wanted, "wanted")
+    wanted = materialize(every.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "digest", "text_key"), "wanted")
     count = wanted.count()
     if count == 0:
-        return None, members
-    keys = wanted.select("text_key").distinct()
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
+        return None
+    keys = wanted.select("text_key")
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_key", _text_key())
     picked = texts.join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, "text_key").dropDuplicates(["text_key"])
-    sets = picked.select("text").mapInArrow(_sets, "cls long, members binary")
-    sets = materialize(sets.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets = picked.select("text").mapInArrow(_sets, "digest binary, members binary")
+    sets = materialize(sets.join(wanted.select("digest", "cls"), "digest").select("cls", "members"), "sets")
     links, labels = None, None
     tested = None
     for k in range(HUB_ROUNDS + 1):
@@ -330,21 +331,21 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None,
             continue
         links = found if links is None else links.union(found)
         labels = components(links)
-    return labels, members
+    return None if labels is None else labels.join(every.select("cls", "digest"), "cls").select("digest", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     sketches = classes(docs)
-    labels, _ = near_links(docs, sketches)
-    least = sketches.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    labels = near_links(docs, sketches)
+    least = sketches.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     if labels is not None:
-        rooted = least.join(labels, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-        smallest = rooted.filter("root <> cls or least is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-        least = materialize(rooted.join(smallest, "root", "left").select("cls", "component_id"), "smallest")
+        rooted = materialize(least.join(labels, "digest", "left"), "rooted")
+        smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
+        least = materialize(rooted.join(smallest, "root", "left").select("digest", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id")), "smallest")
     else:
-        least = least.select("cls", F.col("least").alias("component_id"))
-    rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), "cls")
-    out = rows.join(least, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        least = least.select("digest", F.col("least").alias("component_id"))
+    rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    out = rows.join(least, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -54,9 +54,9 @@ def normal_line(line: bytes) -> bytes:
 
 def measure(text: bytes) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then fingerprints and word counts of the distinct normalised lines."""
-    starts, ends, hashes = hashing.words(text)
+    hashes = hashing.words(text)
     data = np.frombuffer(text, dtype=np.uint8)
-    n = len(starts)
+    n = len(hashes)
     chars = int(np.count_nonzero((data & 0xC0) != 0x80)) - sum(text.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
     symbols = int(np.count_nonzero(_SYMBOLS[data]))
     seen, held, dups = set(), {}, 0
