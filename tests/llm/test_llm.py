@@ -23,7 +23,7 @@ ODD = [
     (None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, "a", 0), (3, " \n\t", "en", None, 3), (4, "one", "en", "b", 3), (4, "one", "en", "b", 3), (5, "12 34 56", "en", "b", 8),
     (6, "a b c d e f g " * 3000, "en", "c", None), (None, "the same words stand here in this line", "en", "c", 1), (8, "the same words stand here in this line", "en", "c", 1), (9, "THE same words\vstand here in this line", "de", "c", 1), (10, "é ß 漢字 \U0001f600 x", "xx", "é", 5),
 ]
-CLASH = "cls long, size long, bucket long, node string, root long, n long, host string, mix_key string, rank int, length long, x int, repeats long"
+CLASH = "key string, whole long, target string, cls long, size long, bucket long, node string, root long, n long, host string, mix_key string, rank int, length long, x int, repeats long"
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +82,34 @@ def test_shards_of_many_equal_texts(spark):
     assert max(held.values()) - min(held.values()) <= 40
 
 
+@pytest.mark.parametrize("row", [(1, "the same", "en", "s", 1), (None, None, None, None, None)])
+def test_shards_of_repeated_rows(spark, row):
+    held = shard_laws(sharding.shard(spark.createDataFrame([row] * 1600, DOCS)).collect())
+    assert len(held) == 16 and max(held.values()) < 1.1 * min(held.values())
+
+
+def test_shards_are_those_of_a_tree(documents):
+    """The same tree by sorting: widest dimension, cut where the bytes before it are nearest to the wanted share."""
+    rows = [r.asDict() for r in sharding._placed(sharding.metadata(documents)).collect()]
+
+    def split(rows, n):
+        if n == 1:
+            return [sorted(r["doc_id"] for r in rows)]
+        span = lambda d: max(r[d] >> 40 for r in rows) - min(r[d] >> 40 for r in rows)
+        d = max(sharding._DIMENSIONS, key=span)
+        rows, wanted, total, at = sorted(rows, key=lambda r: r[d]), sum(r["size"] for r in rows) * (n // 2) / n, 0, 0
+        while total + rows[at]["size"] < wanted:
+            total, at = total + rows[at]["size"], at + 1
+        at += not (wanted - total < total + rows[at]["size"] - wanted)
+        return split(rows[:at], n // 2) + split(rows[at:], n - n // 2)
+
+    tree, _ = sharding.build(spark_rows := sharding._placed(sharding.metadata(documents)), tolerance=0.0)
+    named = defaultdict(list)
+    for r in spark_rows.withColumn("node", sharding._node(tree)).collect():
+        named[r.node].append(r.doc_id)
+    assert sorted(sorted(v) for v in named.values()) == sorted(split(rows, 16))
+
+
 def test_shards_of_odd_rows(odd, none):
     rows = sharding.shard(odd).collect()
     shard_laws(rows)
@@ -186,9 +214,31 @@ def test_sketch_fills_and_estimates():
 
 def test_words_cross_pieces():
     text = b" ".join(b"w%d" % i for i in range(600000))
-    starts, ends, hashes = hashing.words(text)
-    assert len(starts) == 600000 and text[starts[400000] : ends[400000]] == b"w400000"
-    assert hashes[400000] == hashing.words(b"w400000")[2][0] and len(set(hashes.tolist())) == 600000
+    hashes = hashing.words(text)
+    assert len(hashes) == 600000 and len(set(hashes.tolist())) == 600000
+    assert hashes[400000] == hashing.words(b"w400000")[0]
+    spaced = text.replace(b" ", b"\n \t")
+    assert (hashing.words(spaced) == hashes).all() and hashing.text_digest(spaced) == hashing.text_digest(text) != hashing.text_digest(text[:-1])
+    giant = b"a" * (3 << 20) + b" b"
+    assert len(hashing.words(giant)) == 2 and len(hashing.words(b"")) == 0 == len(hashing.words(b" \n"))
+
+
+def test_words_of_equal_polynomials_differ(spark):
+    """Words of 1024 letters by the parity of the binary digits of each place and its inverse: polynomials modulo 2**64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    assert hashing.words(one.encode())[0] != hashing.words(other.encode())[0]
+    rows = [(i, " ".join([w] * 6), "en", "s", 1) for i, w in enumerate((one, other))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1}
+
+
+def test_sets_equal_in_another_order(spark):
+    """Equal sets of shingles from word sequences that differ."""
+    loop = "a b c d e f".split()
+    texts = {1: " ".join(loop * 3), 2: " ".join(loop * 5), 3: " ".join(loop[2:] + loop * 3), 4: "a b c d e f g"}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)).collect()}
+    assert got == {k: (n, root) for k, (n, root) in brute_components(texts).items()}
 
 
 # 3
@@ -485,13 +535,13 @@ def test_top_k(spark, sf_dir):
 
 def test_top_k_of_odd_rows(spark, monkeypatch):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0]), (50, [0.5, -0.1]), (100, None), (150, [nan, 1.0]), (7, [None, 1.0]), (8, [inf, 1.0]), (9, [1.0, 2.0]), (10, [1.0, 2.0]), (11, [1.0]), (None, [1.0, 1.0]), (200, []), (12, []), (13, [3e9, 3e5]), (9, [1.0, 2.0])]
+    rows = [(0, [1.0, 2.0]), (50, [0.5, -0.1]), (100, None), (150, [nan, 1.0]), (7, [None, 1.0]), (8, [inf, 1.0]), (9, [1.0, 2.0]), (10, [1.0, 2.0]), (11, [1.0]), (None, [1.0, 1.0]), (200, []), (12, []), (13, [3e9, 3e5]), (9, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [4.0, 1.0])]
     frame = spark.createDataFrame([(a, b, 1, 1) for a, b in rows], "vec_id long, embedding array<double>, x int, dim int")
     fine = [(a, [math.floor(256 * v) for v in b]) for a, b in rows if a is not None and b is not None and all(v is not None and math.isfinite(v) for v in b)]
     expected = []
-    for q, x in fine:
+    for i, (q, x) in enumerate(fine):
         if q % 50 == 0:
-            best = sorted((-sum(p * r for p, r in zip(x, y)), c) for c, y in fine if c != q and len(y) == len(x))[:5]
+            best = sorted((-sum(p * r for p, r in zip(x, y)), c) for j, (c, y) in enumerate(fine) if j != i and len(y) == len(x))[:5]
             expected += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
     assert sorted(map(tuple, topk.top_k(frame).collect())) == sorted(expected)
     monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)
@@ -565,6 +615,24 @@ def test_mixing_of_odd_rows(odd, none):
     assert mixing.drawn(odd).columns == odd.columns and mixing.drawn(none).collect() == []
 
 
+def test_mixing_of_equal_rows(spark):
+    """Rows that nothing tells apart: the words taken are as near to the target as whole rows allow, in each run."""
+    docs = spark.createDataFrame([(None, "five words are in here", "en", "a", 1)] * 3000 + [(i, "one two three", "en", "b", 1) for i in range(2000)] + [(7, "x y", "en", None, 1)] * 500, DOCS)
+    for _ in range(2):
+        rows = mixing.mixed(docs.repartition(7)).collect()
+        assert len(rows) == 5500 and all(r.taken <= 3 * r.size for r in rows)
+        for source in ("a", "b", None):
+            own = [r for r in rows if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= own[0].size / 2
+    assert mixing.drawn(docs).count() == sum(r.repeats for r in rows)
+
+
+def test_mixing_beyond_the_broadcast(documents, monkeypatch):
+    want = sorted(map(str, mixing.mixed(documents).select("doc_id", "taken", "target").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mixed(documents).select("doc_id", "taken", "target").collect())) == want
+
+
 def test_water_filling(spark):
     r = random.Random(3)
     for _ in range(4):
@@ -642,6 +710,56 @@ def test_common_lines_are_removed(spark, odd, none):
     assert quality.apply(odd).schema == odd.schema and sorted(r.doc_id or 0 for r in quality.apply(odd).collect()) == sorted(i or 0 for i in kept) and quality.apply(none).collect() == []
 
 
+# names of columns
+
+
+def inner_names():
+    """Every name in quotes in the modules of the operators and the pipeline."""
+    import pathlib
+
+    import corpus_pipeline
+
+    found = set()
+    for path in [corpus_pipeline.__file__, *pathlib.Path(mixing.__file__).parent.glob("*.py")]:
+        found |= set(re.findall(r"""["']([A-Za-z_][A-Za-z0-9_]*)["']""", pathlib.Path(path).read_text()))
+    taken = {"doc_id", "text", "lang", "source", "n_chars", "vec_id", "embedding", "page_id", "url", "html"}
+    return sorted({n.lower() for n in found} - taken)
+
+
+def test_extra_columns_of_any_name(spark, sf_dir, documents):
+    import corpus_pipeline
+
+    extra = inner_names()
+    assert {"key", "whole", "cut", "target", "mix_key", "dup_row", "judged", "row"} & set(extra) >= {"key", "whole", "target", "mix_key", "dup_row", "row"}
+    wide = lambda df: df.select("*", *(F.concat(F.lit(f"own {c} "), df[df.columns[0]].cast("string")).alias(c) for c in extra))
+    same = lambda a, b: Counter(map(str, a.collect())) == Counter(map(str, b.collect()))
+    docs = documents.limit(60)
+    for f in (lambda d: minhash.near_duplicates(d), lambda d: packing.packed(d, queries.tokenizer_path()).drop("sequence_id", "offset"), pii.scan, secrets.scan, langid.identify, lambda d: quality.judge(d)):
+        assert same(f(docs), f(wide(docs)))
+    assert same(sharding.shard(docs).drop("slot", "shard"), sharding.shard(wide(docs)).drop("slot", "shard"))
+    assert same(mixing.mixed(docs).select("doc_id", "taken"), mixing.mixed(wide(docs)).select("doc_id", "taken"))
+    vectors, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(60) for t in ("embeddings", "pages"))
+    assert same(topk.top_k(vectors), topk.top_k(wide(vectors.drop("label"))))
+    assert same(urls.judge(pages), urls.judge(wide(pages)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide(docs), sf_dir)
+        assert out.columns == wide(docs).columns
+        assert all(r[c] == f"own {c} {r.doc_id}" for r in out.collect() for c in extra), name
+
+
+def test_release_keeps_what_others_need(documents):
+    import corpus_pipeline
+    from quarrylight.llm.common import release
+
+    spark = documents.sparkSession
+    docs = documents.limit(40)
+    held = minhash.near_duplicates(docs)
+    chained = corpus_pipeline.source_mix(spark, corpus_pipeline.near_duplicates(spark, docs, ""), "")
+    assert held.count() == 40 and chained.count() > 0
+    release(spark, corpus_pipeline.OWNER)
+    assert held.count() == 40
+
+
 # the pipeline
 
 
