@@ -4,10 +4,11 @@ Three base rules give spans that always stay. Beyond them, long base64, base64ur
 candidates: each is decoded and reported only if its bytes have the structure of a credential, which a
 random run has with negligible probability:
 - `jwt`: three dot-separated base64url parts, the first a JSON object with `alg`, the second a JSON object;
-- `key`: DER of a private or public key - a SEQUENCE whose nested lengths fill the bytes exactly, holding the
-  version integer and further elements of PKCS#1, SEC1 or PKCS#8, or an algorithm identifier;
-- `ssh`: the openssh-key-v1 magic, or a length-prefixed key type followed by length-prefixed fields that
-  fill the bytes exactly;
+- `key`: DER of a private or public key whose nested lengths fill the bytes exactly, parsed to the last level:
+  PKCS#1 (RSA) and the older DSA form by their integers, SEC1 by its version, scalar, curve and point, PKCS#8
+  and public keys by their algorithm, whose key inside must be one of its kind, and encrypted PKCS#8;
+- `ssh`: an openssh-key-v1 container parsed to its private section, which must end the bytes (and, where it is not
+  encrypted, start with two equal check numbers and a key type), or a public key blob with the fields of its type;
 - `pem`: an armoured private key block whose body decodes to one of these (or is encrypted); line breaks,
   slashes and characters of the body may be escaped as in JSON.
 
@@ -44,12 +45,12 @@ _GROUP = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{32,}}+(?:{_BREAK}[A-
 _FIRST = re.compile(rf"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{{2,31}}){_BREAK}\Z")
 _PIECE = re.compile(rf"([A-Za-z0-9+/_-]++)(={{0,2}})(?:{_BREAK})?+")
 _STARTS = re.compile(r"(?:\A|(?<=[/_-]))(?=M[A-P]|AAAA|b3Bl|30|0000|6[fF]70)")
+_HEX_ONLY = re.compile(r"[0-9a-fA-F]*\Z")
 _HEXRUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}\Z")
 _PART = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,}+)(?=(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 _BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\+(?:[nrt/]|u00[0-9a-fA-F]{2}))*+\Z")
 _ESCAPED = re.compile(r"\\+(?:u00([0-9a-fA-F]{2})|([nrt/]))")
-_KEY_TYPES = (b"ssh-", b"ecdsa-sha2-", b"sk-")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -89,33 +90,186 @@ def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
-def is_der_key(data: bytes) -> bool:
+#: Object identifiers of algorithms by the kind of key inside.
+_OIDS = {
+    "1.2.840.113549.1.1.1": "rsa", "1.2.840.113549.1.1.10": "rsa", "1.2.840.10045.2.1": "ec", "1.2.840.10040.4.1": "integer", "1.2.840.113549.1.3.1": "integer",
+    "1.3.101.110": "edwards", "1.3.101.111": "edwards", "1.3.101.112": "edwards", "1.3.101.113": "edwards",
+}
+_ENCRYPTIONS = ("1.2.840.113549.1.5.", "1.2.840.113549.1.12.1.")
+
+
+def _oid(data: bytes) -> str | None:
+    """The dotted form of an object identifier's bytes; None if they aren't well formed."""
+    if not data or data[-1] & 0x80:
+        return None
+    numbers, n, fresh = [], 0, True
+    for b in data:
+        if fresh and b == 0x80:
+            return None
+        n, fresh = n << 7 | b & 0x7F, not b & 0x80
+        if fresh:
+            numbers.append(n)
+            n = 0
+    first = min(numbers[0] // 40, 2)
+    return ".".join(map(str, [first, numbers[0] - 40 * first, *numbers[1:]]))
+
+
+def _sequence(data: bytes) -> list[tuple[int, bytes]] | None:
+    """Tags and contents of the elements of a DER sequence that fills data exactly."""
     top = _element(data, 0)
     if not top or top[0] != 0x30 or top[2] != len(data):
-        return False
+        return None
     parts = _elements(data, top[1], top[2])
-    if not parts or len(parts) < 2:
+    return None if parts is None else [(t, data[a:b]) for t, a, b in parts]
+
+
+def _positive(part: tuple[int, bytes], least: int = 1) -> bool:
+    """A minimal positive integer of at least so many bytes."""
+    tag, x = part
+    return tag == 2 and len(x) >= least and x[0] < 0x80 and (len(x) == 1 or x[0] > 0 or x[1] >= 0x80) and any(x)
+
+
+def _version(part: tuple[int, bytes], *values: int) -> bool:
+    return part[0] == 2 and len(part[1]) == 1 and part[1][0] in values
+
+
+def _algorithm(part: tuple[int, bytes]) -> tuple[str, tuple[int, bytes] | None] | None:
+    """Identifier and parameters of an algorithm."""
+    if part[0] != 0x30 or (inner := _elements(part[1], 0, len(part[1]))) is None or not 1 <= len(inner) <= 2 or inner[0][0] != 6:
+        return None
+    name = _oid(part[1][inner[0][1] : inner[0][2]])
+    return None if name is None else (name, (inner[1][0], part[1][inner[1][1] : inner[1][2]]) if len(inner) == 2 else None)
+
+
+def _is_point(x: bytes) -> bool:
+    """A point on a curve: compressed, or both coordinates."""
+    return len(x) >= 21 and (x[0] in (2, 3) or x[0] == 4 and len(x) % 2 == 1)
+
+
+def _is_rsa(data: bytes) -> bool:
+    parts = _sequence(data) or []
+    return len(parts) >= 9 and _version(parts[0], 0, 1) and _positive(parts[1], 64) and all(map(_positive, parts[2:9])) and (len(parts) == 9 or len(parts) == 10 and parts[9][0] == 0x30)
+
+
+def _is_rsa_public(data: bytes) -> bool:
+    parts = _sequence(data) or []
+    return len(parts) == 2 and _positive(parts[0], 64) and _positive(parts[1]) and len(parts[1][1]) <= len(parts[0][1])
+
+
+def _is_sec1(data: bytes) -> bool:
+    parts = _sequence(data) or []
+    if len(parts) < 2 or not _version(parts[0], 1) or parts[1][0] != 4 or not 16 <= len(parts[1][1]) <= 72:
         return False
-    tags = [t for t, _, _ in parts]
-    if tags[0] == 0x02 and parts[0][2] - parts[0][1] == 1:  # a version, then PKCS#1 integers, a PKCS#8 algorithm or a SEC1 octet string
-        return len(tags) >= 9 and set(tags) == {0x02} or len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04 or tags[1] == 0x04
-    if tags == [0x30, 0x03]:  # subjectPublicKeyInfo: an algorithm identifier, then a bit string
-        inner = _elements(data, parts[0][1], parts[0][2])
-        return bool(inner) and inner[0][0] == 0x06
-    return tags == [0x02, 0x02] and parts[0][2] - parts[0][1] >= 64  # a PKCS#1 public key
+    for tag, x in parts[2:]:
+        inner = _element(x, 0)
+        if not inner or inner[2] != len(x):
+            return False
+        body = x[inner[1] :]
+        if not (tag == 0xA0 and (inner[0] == 6 and _oid(body) or inner[0] == 0x30) or tag == 0xA1 and inner[0] == 3 and body[:1] == b"\0" and _is_point(body[1:])):
+            return False
+    return [t for t, _ in parts[2:]] in ([], [0xA0], [0xA1], [0xA0, 0xA1])
 
 
-def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def _is_pkcs8(data: bytes) -> bool:
+    parts = _sequence(data) or []
+    if len(parts) < 3 or not _version(parts[0], 0, 1) or parts[2][0] != 4 or any(t not in (0xA0, 0x81, 0xA1) for t, _ in parts[3:]):
+        return False
+    name, key = _algorithm(parts[1]), parts[2][1]
+    if name is None:
+        return False
+    kind, whole = _OIDS.get(name[0]), _element(key, 0)
+    if not whole or whole[2] != len(key):
+        return False
+    if kind == "rsa":
+        return _is_rsa(key)
+    if kind == "ec":
+        return _is_sec1(key) and name[1] is not None and (name[1][0] == 6 and _oid(name[1][1]) is not None or name[1][0] == 0x30)
+    if kind == "edwards":
+        return whole[0] == 4 and whole[2] - whole[1] in (32, 56, 57)
+    if kind == "integer":
+        return _positive((whole[0], key[whole[1] :]), 16)
+    return whole[0] in (2, 4) or _sequence(key) is not None  # another algorithm: a well-formed element that fills the key
+
+
+def _is_encrypted(data: bytes) -> bool:
+    parts = _sequence(data) or []
+    name = _algorithm(parts[0]) if len(parts) == 2 and parts[1][0] == 4 else None
+    return name is not None and name[0].startswith(_ENCRYPTIONS) and name[1] is not None and name[1][0] == 0x30 and len(parts[1][1]) >= 16
+
+
+def _is_public(data: bytes) -> bool:
+    parts = _sequence(data) or []
+    if len(parts) != 2 or parts[1][0] != 3 or parts[1][1][:1] != b"\0":
+        return False
+    name, key = _algorithm(parts[0]), parts[1][1][1:]
+    kind = name and _OIDS.get(name[0])
+    if kind == "rsa":
+        return _is_rsa_public(key)
+    if kind == "ec":
+        return _is_point(key)
+    if kind == "edwards":
+        return len(key) in (32, 56, 57)
+    return bool(kind) and (e := _element(key, 0)) is not None and e[2] == len(key) and _positive((e[0], key[e[1] :]), 16)
+
+
+def _is_dsa(data: bytes) -> bool:
+    parts = _sequence(data) or []
+    return len(parts) == 6 and _version(parts[0], 0) and _positive(parts[1], 64) and all(map(_positive, parts[2:]))
+
+
+def is_der_key(data: bytes) -> bool:
+    return any(f(data) for f in (_is_rsa, _is_pkcs8, _is_sec1, _is_public, _is_rsa_public, _is_encrypted, _is_dsa))
+
+
+def _fields(data: bytes, at: int = 0, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from `at` on, all or `count` of them, and the place behind the last."""
+    out = []
+    while len(out) != count and at < len(data):
         n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
+        if at + 4 + n > len(data) or at + 4 > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith(_KEY_TYPES)
+    return None if count is not None and len(out) < count else (out, at)
+
+
+#: Types of public key blobs and the number of their fields, the type included.
+_SSH_FIELDS = {
+    b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ssh-ed448": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3,
+    b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4,
+}
+
+
+def _is_ssh_public(data: bytes) -> bool:
+    found = _fields(data)
+    if not found or not found[0] or _SSH_FIELDS.get(found[0][0]) != len(found[0]):
+        return False
+    kind, *rest = found[0]
+    number = lambda x: _positive((2, x))
+    if kind == b"ssh-rsa":
+        return number(rest[0]) and _positive((2, rest[1]), 64)
+    if kind == b"ssh-dss":
+        return all(map(number, rest))
+    if b"ed25519" in kind or b"ed448" in kind:
+        return len(rest[0]) == (57 if b"ed448" in kind else 32)
+    return kind.split(b"@")[0].endswith(b"ecdsa-sha2-" + rest[0]) and _is_point(rest[1])
+
+
+def is_ssh_key(data: bytes) -> bool:
+    if not data.startswith(b"openssh-key-v1\0"):
+        return _is_ssh_public(data)
+    head = _fields(data, 15, 3)  # cipher, key derivation and its options
+    if not head or head[1] + 4 > len(data):
+        return False
+    (cipher, derivation, _), at = head
+    rest = _fields(data, at + 4, 2) if data[at : at + 4] == b"\0\0\0\1" and cipher and derivation else None  # containers hold one key
+    if not rest or rest[1] != len(data) or not _is_ssh_public(rest[0][0]):
+        return False
+    private = rest[0][1]
+    if cipher != b"none":
+        return len(private) >= 16
+    kind = _fields(private, 8, 1)
+    return private[:4] == private[4:8] and kind is not None and kind[0][0] in _SSH_FIELDS
 
 
 def _decoded(run: str) -> bytes | None:
@@ -147,58 +301,48 @@ def _der_size(head: bytes) -> int:
     return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
 
 
-def _field_ends(data: bytes) -> list[int]:
-    """Where a credential of length-prefixed fields may end: behind each field from the second on, or behind an openssh key's last."""
-    at, out, left = 0, [], None
-    if data.startswith(b"openssh-key-v1\0"):
-        at, left = 15, 3  # cipher, function and its options, then the number of public keys
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if left == 0:  # the number of keys: so many fields follow, and the private one
-            return _skipped(data, at + 4, n + 1)
-        if at + 4 + n > len(data):
-            break
-        if left is None and data[at + 4 : at + 4 + n].startswith(_KEY_TYPES) != (not out):  # a second type starts another key
-            break
+def _ssh_size(read) -> int:
+    """Bytes of the container or public key blob that starts at byte 0 of read(offset, length); 0 if none does."""
+    number = lambda o: int.from_bytes(x, "big") if len(x := read(o, 4)) == 4 else -1
+    if read(0, 15) == b"openssh-key-v1\0":
+        at, fields = 15, (0, 0, 0, None, 0, 0)
+    else:
+        n = number(0)
+        count = _SSH_FIELDS.get(read(4, n)) if 0 < n <= 64 else None
+        if not count:
+            return 0
+        at, fields = 0, (0,) * count
+    for f in fields:
+        if f is None:  # the number of keys
+            at += 4
+            continue
+        if (n := number(at)) < 0:
+            return 0
         at += 4 + n
-        out.append(at)
-        left = left if left is None else left - 1
-    return out[1:] if left is None else []
+    return at
 
 
-def _skipped(data: bytes, at: int, fields: int) -> list[int]:
-    while fields and at + 4 <= len(data):
-        at, fields = at + 4 + int.from_bytes(data[at : at + 4], "big"), fields - 1
-    return [] if fields or at > len(data) else [at]
+def _key_at(body: str, at: int, ends: list[int]) -> tuple[int, str] | None:
+    """End and kind of the key that starts at `at` of the joined runs and ends at one of the runs' ends. Its size follows
+    from a few lengths inside, so that it is decoded once, and only if a run ends there."""
 
+    def of_base64(o: int, n: int) -> bytes:
+        chars = body[at + 4 * (o // 3) : at + 4 * -(-(o + n) // 3)]
+        return (_decoded(chars[: len(chars) - (len(chars) % 4 == 1)]) or b"")[o % 3 : o % 3 + n]
 
-def _key_at(body: str, at: int, ends: list[int]) -> tuple[int, str] | None:
-    """End and kind of the key that starts at `at` of the joined runs and ends at one of the runs' ends."""
-    chars = {4: _decoded(body[at : at + 24])}
+    def of_hex(o: int, n: int) -> bytes:
+        chars = body[at + 2 * o : at + 2 * (o + n)]
+        return bytes.fromhex(chars) if len(chars) % 2 == 0 and _HEX_ONLY.match(chars) else b""
+
+    ways = [(of_base64, lambda n: -(-4 * n // 3), _decoded)]
     if _HEXRUN.match(body[at : at + 48]):
-        chars[2] = bytes.fromhex(body[at : at + 48])
-    for width, head in chars.items():  # characters of three bytes and one: 4 of 3, or 2 of 1
-        many = (lambda n: -(-4 * n // 3)) if width == 4 else (lambda n: 2 * n)
-        decode = _decoded if width == 4 else lambda x: bytes.fromhex(x) if _HEXRUN.match(x) else None
-        if not head:
-            continue
-        if size := _der_size(head):
-            end = at + many(size)
+        ways.append((of_hex, lambda n: 2 * n, lambda x: bytes.fromhex(x) if _HEXRUN.match(x) else None))
+    for read, chars, decode in ways:
+        for size, fits, kind in ((_der_size(read(0, 18)), is_der_key, "key"), (_ssh_size(read), is_ssh_key, "ssh")):
+            end = at + chars(size)
             k = bisect.bisect_left(ends, end)
-            if end - at >= 32 and k < len(ends) and ends[k] == end and (data := decode(body[at:end])) and is_der_key(data):
-                return end, "key"
-        elif head.startswith(b"openssh-key-v1"[: len(head)]) or head[4:].startswith(_KEY_TYPES):
-            whole = body[at : ends[-1]]
-            if width == 2:
-                whole = re.match(r"(?:[0-9a-fA-F]{2})*", whole)[0]
-            data = _decoded(whole[: len(whole) - (len(whole) % 4 == 1)]) if width == 4 else bytes.fromhex(whole)
-            near = {at + many(n) for n in _field_ends(data or b"")}
-            last = [e for e in ends if e > at and e in near and e - at >= 32]
-            if last:
-                return last[-1], "ssh"
-            first = ends[bisect.bisect_right(ends, at)]  # an openssh key is one by its magic alone
-            if first - at >= 32 and (data := decode(body[at:first])) and is_ssh_key(data):
-                return first, "ssh"
+            if end - at >= 32 and k < len(ends) and ends[k] == end and (data := decode(body[at:end])) and fits(data):
+                return end, kind
     return None
 
 
