@@ -8,7 +8,7 @@ frequent n-gram counts once. A url without a fitting rule is blocked if its prob
 
 Nulls: a null url, or one without ://, has an empty host and path, fits no rule and gets the model's verdict
 on empty strings, which is allow (no features, and the bias is fitted below one half). Very long urls are
-judged whole. Repeated rows are returned as often as they came. Extra columns are not read; empty in, empty out.
+judged whole. A host word of no kind in the table is judged by the parts it shares with those in it. Repeated rows are returned as often as they came. Extra columns are not read; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -18,14 +18,32 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import ascii_lower
 
-BUCKETS, EPOCHS, RATE, DECAY = 2048, 12, 0.5, 1e-3
+BUCKETS, EPOCHS, RATE, DECAY = 2048, 4, 0.5, 1e-3
 #: The rules of the contract as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: The labelled table: words of hosts that sell or lure, and words of ordinary hosts.
-_BLOCKED = "casino-win bets-online free-bets spam-farm adult-x xxx-video ads-track click-ads poker-bonus slots-jackpot cheap-pills porn-tube warez-crack tracker-pixel escort-girls lotto-prize".split()
-_ALLOWED = "news library weather garden history museum science university recipes travel forum music school council journal research".split()
-_ENDS = (("{}.example.com", "/en/{}"), ("www.{}.example.org", "/de/{}.html"), ("blog.{}.example.net", "/fr/{}/"), ("m.{}.example.com", "/es/{}"))
-EXAMPLES = tuple((host.format(w), path.format(17 * i + 3), label) for i, pair in enumerate(zip(_BLOCKED, _ALLOWED)) for (host, path) in _ENDS for w, label in ((pair[0], 1), (pair[1], 0)))
+#: The labelled table: words of hosts that sell, lure or track, and words of ordinary hosts.
+_BLOCKED = """casino poker betting bets jackpot slots roulette blackjack gambling lotto bonus wager xxx porn adult sex escort nude camgirls
+hentai spam scam phishing malware viagra cialis pills replica payday loans ads adserver banner clicks tracker tracking pixel popups
+affiliate warez crack keygen torrent hacked cheats free-money win-prize cheap-meds""".split()
+_ALLOWED = """news library weather garden history museum science university recipes travel forum music school council journal research health
+hospital kitchen football cinema theatre gallery archive maps railway airport economy politics culture nature physics biology chemistry
+mathematics engineering software docs wiki blog support community village city market bakery coffee books""".split()
+_HOSTS = ("{0}.example.com", "www.{0}-{1}.org", "blog.{0}{1}.co.uk", "{0}.{1}.info", "m.my{0}.de", "the-{0}.net")
+_PATHS = ("/en/{0}", "/{0}.html", "/a/{0}/", "/", "/de/p/{0}", "/{0}?id=1")
+
+
+def _table() -> tuple[tuple[str, str, int], ...]:
+    """(host, path, label): every word in each host pattern, with the word five places on as its neighbour."""
+    out = []
+    for i in range(len(_BLOCKED)):
+        for k, host in enumerate(_HOSTS):
+            for words, label in ((_BLOCKED, 1), (_ALLOWED, 0)):
+                word, next_ = words[i], words[(i + 5) % len(words)]
+                out.append((host.format(word, next_), _PATHS[(i + k) % len(_PATHS)].format(17 * i + 3).split("?")[0], label))
+    return tuple(out)
+
+
+EXAMPLES = _table()
 
 
 def parts(url):
@@ -48,9 +66,9 @@ def buckets(host: str, path: str) -> str:
     return f"if({host} = '' and {path} = '', array(), array_distinct(transform({every}, g -> cast(pmod(xxhash64(g), {BUCKETS}) as int) + 1)))"
 
 
-def fit(spark: SparkSession) -> list[float]:
+def fit(spark: SparkSession, examples=EXAMPLES) -> list[float]:
     """The weights, the bias last."""
-    values = ", ".join(f"({i}, '{h}', '{p}', {y}D)" for i, (h, p, y) in enumerate(EXAMPLES))
+    values = ", ".join(f"({i}, '{h}', '{p}', {y}D)" for i, (h, p, y) in enumerate(examples))
     table = spark.sql(f"select * from values {values} as t(i, host, path, y)")
     rows = table.selectExpr("i", "y", f"{buckets('host', 'path')} as xs").groupBy().agg(F.sort_array(F.collect_list(F.struct("i", "y", "xs"))).alias("rows"))
     # One step: the error under the current weights, then the weights it changes. The error is bound by a one-element transform.
