@@ -15,12 +15,11 @@ capacity, the first of which takes the rest. Extra columns are not read. An empt
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,18 +29,16 @@ from quarrylight.llm.common import materialize
 CAPACITY, END_ID = 1024, 2
 #: Ranks are counted in parts of at least PART pieces, and in about PARTS parts at most.
 PART, PARTS = 200, 1 << 16
-#: Token ids of so many different chunks are remembered by a task.
-REMEMBERED = 250_000
-#: A space starts a chunk of its own tokens unless white space stands on both sides of it.
-_ODD = re.compile(r"\s \s|\s \Z")
+#: The pattern's own white space; runs of so many are cut out before it sees them, as it needs stack for each character.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 class ByteBpe:
     """Token ids of a byte-level BPE file of the tokenizers library (ids in order of merges).
 
-    Splitting before spaces never changes the ids, so chunks are encoded once and remembered; texts with
-    white space on both sides of a space are encoded as a whole. Added tokens of the file are found first, get
-    their own ids, and the text on each side of them is encoded by itself."""
+    Added tokens of the file are found first, get their own ids, and the text on each side of them is encoded by
+    itself. Of a long run of white space all but the last character are one piece, as the pattern has it (the whole run
+    at the end of the text)."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -56,39 +53,22 @@ class ByteBpe:
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special = {c: i.to_bytes(4, "little") for c, i in special.items()}
+        self.special = special
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.known: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def ids(self, text: str) -> list[int]:
         if any(c in text for c in self.special):
-            return b"".join(self.special.get(x) or self._ordinary(x) for x in self.split.split(text) if x)
+            return [i for x in self.split.split(text) if x for i in ([self.special[x]] if x in self.special else self._ordinary(x))]
         return self._ordinary(text)
 
-    def _ordinary(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._encode(text)
-        chunks = text.split(" ")
-        known, first = self.known, chunks[0]
-        got = [self._encode(first)] if first else []
-        rest = [" " + c for c in chunks[1:]]
-        out = list(map(known.get, rest))
-        if None in out:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for i, x in enumerate(out):
-                if x is None:
-                    c = rest[i]
-                    out[i] = x = known.get(c) or self._encode(c)
-                    if len(c) <= 64:
-                        known[c] = x
-        return b"".join(chain(got, out))
+    def _ordinary(self, text: str) -> list[int]:
+        at, out = 0, []
+        for m in _LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:] if at else text)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -99,12 +79,12 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
-        bpe, end = ByteBpe(path), end_id.to_bytes(4, "little")
+        bpe = ByteBpe(path)
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             rows = []
             for doc, text in zip(docs, batch.column("text").to_pylist()):
-                data = bpe.ids(text or "") + end
+                data = np.array([*bpe.ids(text or ""), end_id], dtype="<u4").tobytes()
                 for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
                     part = data[4 * start : 4 * (start + length)]
                     rows.append((doc, k, start, length, zlib.crc32(part), *([part] if with_ids else [])))
