@@ -2,8 +2,9 @@
 
 Texts are lower-cased and runs of anything but letters become one space; n-grams of 1 to 3 code points are
 hashed to BUCKETS dimensions. Counts of each class are summed over the training rows; the log-probability
-matrix (BUCKETS x classes, float32) is broadcast, which is a size that does not grow with the input. A batch
-is scored in numpy as a sparse sum: the matrix rows of a document's n-grams, added up.
+matrix (BUCKETS x classes, float32) is broadcast; its size does not grow with the input, and more than
+MAX_CLASSES languages are refused. A batch is scored in numpy as a sparse sum: the matrix rows of a document's
+n-grams, added up. Of languages with equal scores the first by code point is predicted.
 
 Training rows: at most PER_CLASS rows of a language on average, taken by a hash of doc_id below a threshold
 that the language's row count fixes; this sample bound is the only limit, and all rows are scored whole.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import byte_texts, sub_batches
 
 BUCKETS, ORDERS, PER_CLASS, SMOOTH, UNKNOWN = 1 << 15, (1, 2, 3), 600, 0.5, "und"
+#: More languages than this are refused: the matrix of 128 KiB a language is broadcast.
+MAX_CLASSES = 1000
 MIN_SCORE = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
@@ -72,12 +75,12 @@ def held_out(doc_id):
 def train(docs: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], np.ndarray]:
     """Language values and the log-probability matrix (BUCKETS x languages)."""
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()}  # one row a language
     if not rows:
         return [], np.zeros((BUCKETS, 0), dtype=np.float32)
-    share = F.lit(0.0)
-    for lang, n in sorted(rows.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_class / n))).otherwise(share)
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{len(rows)} languages: the model's size is bounded at {MAX_CLASSES}")
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(rows.items()) for x in (lang, min(1.0, per_class / n)))), F.col("lang"))
     # By a hash of doc_id: the same rows whatever the partitioning.
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
     counts = sample.mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
