@@ -51,8 +51,10 @@ HUB_DIFFER = int(T * 15 / 32 + 5 * (T * 15 * 17) ** 0.5 / 32)
 _BITS = tuple(f"b{p}_{k}" for p in range(PLANES) for k in range(4))
 #: Rounds that take one hub for each bucket before the rest is paired.
 HUB_ROUNDS = 2
-#: Class ids (8 bytes) are sent to all executors up to this count; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Text keys (16 bytes) are sent to all executors up to this count; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+#: Tables of class ids are written in parts of about so many rows, and of no fewer than the cluster has cores.
+PART_ROWS = 100_000
 _SEEDS = hashing.mix(np.arange(1, T + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _LOW = U(0xFFFFFFFF)
 
@@ -195,21 +197,38 @@ def _outside(batches):
             yield pa.RecordBatch.from_arrays([*same, pa.array(rest)], names=["pivot", "cls", "member"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def _narrow(df: DataFrame, name: str, parts: int) -> DataFrame:
+    """A written table of class ids in no more than so many files."""
+    return materialize(df.coalesce(parts), name)
+
+
+def components(links: DataFrame, parts: int) -> DataFrame:
     """(cls, root) for every end of a link: the smallest id reachable. Labels spread along links and are
     then looked up once more, so chains shorten by half in each round; each round is a written table."""
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("least")).select("cls", F.least("cls", "least").alias("root")), "labels")
+    both = _narrow(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links", parts)
+    labels = _narrow(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("least")).select("cls", F.least("cls", "least").alias("root")), "labels", parts)
     while True:
         near = both.join(labels.select(F.col("cls").alias("b"), F.col("root").alias("seen")), "b").groupBy(F.col("a").alias("cls")).agg(F.min("seen").alias("seen"))
         step = labels.join(near, "cls").select("cls", "root", F.least("root", "seen").alias("next"))
         jump = labels.select(F.col("cls").alias("next"), F.col("root").alias("further"))
-        new = materialize(step.join(jump, "next", "left").select("cls", F.col("root").alias("was"), F.least("next", F.coalesce("further", "next")).alias("root")), "labels")
+        new = _narrow(step.join(jump, "next", "left").select("cls", F.col("root").alias("was"), F.least("next", F.coalesce("further", "next")).alias("root")), "labels", parts)
         if new.filter("root <> was").isEmpty():
             return new.select("cls", "root")
         labels = new.select("cls", "root")
 
 
+def _extended(labels: DataFrame | None, links: DataFrame, parts: int) -> DataFrame:
+    """labels (cls, root) after further links; only the roots that these touch are put together anew."""
+    if labels is None:
+        return components(links, parts)
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("cls").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    top = components(links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b"), parts)
+    moved = labels.join(top.select(F.col("cls").alias("root"), F.col("root").alias("new")), "root", "left").select("cls", F.coalesce("new", "root").alias("root"))
+    fresh = top.join(labels.select("cls"), "cls", "left_anti")
+    return _narrow(moved.union(fresh.select("cls", "root")), "labels", parts)
+
+
 def _text_key():
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
@@ -244,12 +263,12 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_a.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("members_b")), "b")
 
 
-def _pivots(found: DataFrame) -> DataFrame:
+def _pivots(found: DataFrame, parts: int) -> DataFrame:
     """cls, pivot, overlap of the classes compared with first hubs; a hub that is its own pivot has a null overlap."""
     own = found.select(F.col("b").alias("cls"), "weight", F.col("b").alias("pivot"), F.lit(None).cast("long").alias("overlap")).distinct()
     near = found.select(F.col("a").alias("cls"), "weight", F.col("b").alias("pivot"), F.col("both").alias("overlap"))
     top = near.union(own).groupBy("cls").agg(F.max(F.struct("weight", "pivot", "overlap")).alias("top"))
-    return materialize(top.select("cls", "top.pivot", "top.overlap"), "pivots")
+    return _narrow(top.select("cls", "top.pivot", "top.overlap"), "pivots", parts)
 
 
 def _left(now: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,14 +312,16 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
     picked = texts.join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, "text_key").dropDuplicates(["text_key"])
     sets = picked.select("text").mapInArrow(_sets, "digest binary, members binary")
     sets = materialize(sets.join(wanted.select("digest", "cls"), "digest").select("cls", "members"), "sets")
-    links, labels = None, None
-    tested = None
+    # Pairs, links and labels are no more rows than the bucket members.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, members.count() // PART_ROWS)
+    labels, tested = None, None
     for k in range(HUB_ROUNDS + 1):
         now = members
         if labels is not None:
             now = members.join(labels, "cls", "left").select("bucket", "cls", "n", *_BITS, F.coalesce("root", "cls").alias("root"))
             open_ = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-            now = materialize(now.join(open_, "bucket"), "open")
+            now = now.join(open_, "bucket")
+            now = materialize(now, "open") if k < HUB_ROUNDS else now
         else:
             now = members.withColumn("root", F.col("cls"))
         if k < HUB_ROUNDS:
@@ -319,18 +340,17 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tested, ["low", "high"], "left_anti").select("a", "b", "weight")
-        pairs = materialize(pairs, "pairs")
+        pairs = _narrow(pairs, "pairs", parts)
         ends = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tested = ends if tested is None else tested.union(ends)
         compared = _with_sets(pairs, sets).select("a", "b", "weight", "members_a", "members_b")
         compared = materialize(compared.mapInArrow(_compared, "a long, b long, weight long, both long, link boolean"), "compared")
         if k == 0:
-            pivots = _pivots(compared)
+            pivots = _pivots(compared, parts)
         found = compared.filter("link").select("a", "b")
         if found.isEmpty():
             continue
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = _extended(labels, found, parts)
     return None if labels is None else labels.join(every.select("cls", "digest"), "cls").select("digest", "root")
 
 
@@ -342,7 +362,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if labels is not None:
         rooted = materialize(least.join(labels, "digest", "left"), "rooted")
         smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
-        least = materialize(rooted.join(smallest, "root", "left").select("digest", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id")), "smallest")
+        component = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("smallest"))
+        least = rooted.join(smallest, "root", "left").select("digest", component.alias("component_id"))
     else:
         least = least.select("digest", F.col("least").alias("component_id"))
     rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), "digest")
