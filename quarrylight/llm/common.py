@@ -92,6 +92,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bytes of one Arrow batch; a Python worker holds a few copies of one, as texts, results and output.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches were bounded, unless they were set to something else than Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == "67108864b":
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()

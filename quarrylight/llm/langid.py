@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import byte_texts, sub_batches
+from quarrylight.llm.common import bounded
 
 BUCKETS, ORDERS, PER_CLASS, SMOOTH, UNKNOWN = 1 << 15, (1, 2, 3), 600, 0.5, "und"
 #: More languages than this are refused: the matrix of 128 KiB a language is broadcast.
@@ -83,7 +83,7 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], np.nd
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(rows.items()) for x in (lang, min(1.0, per_class / n)))), F.col("lang"))
     # By a hash of doc_id: the same rows whatever the partitioning.
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
-    counts = sample.mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = bounded(sample).mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     matrix = np.zeros((BUCKETS, len(langs)))
     matrix[counts["bucket"].to_numpy(), counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = counts["n"].to_numpy()
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_scored(shared, 2, rest), "doc_id long, held_out boolean, lang_pred string, score double")
+    return bounded(source).mapInArrow(_scored(shared, 2, rest), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, per_class: int = PER_CLASS, min_score: float = MIN_SCORE) -> DataFrame:
@@ -138,4 +138,4 @@ def keep_identified(docs: DataFrame, per_class: int = PER_CLASS, min_score: floa
     def rest(batch, langs, scores):
         return batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(_scored(shared, docs.columns.index("text"), rest), docs.schema)
+    return bounded(docs).mapInArrow(_scored(shared, docs.columns.index("text"), rest), docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm import hashing
-from quarrylight.llm.common import byte_texts, materialize, sub_batches
+from quarrylight.llm.common import bounded, byte_texts, materialize, sub_batches
 
 U = np.uint64
 WIDTH, ROWS, BANDS, SHARE = 5, 5, 50, 75
@@ -236,7 +236,7 @@ def _text_key():
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, class digest, n of every document and the bands, as a written table."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", _text_key())
-    return materialize(source.mapInArrow(_sketched, "doc_id long, text_key binary, digest binary, n long, bands binary, " + ", ".join(f"{b} long" for b in _BITS)), "sketches")
+    return materialize(bounded(source).mapInArrow(_sketched, "doc_id long, text_key binary, digest binary, n long, bands binary, " + ", ".join(f"{b} long" for b in _BITS)), "sketches")
 
 
 def _alike(one: str, other: str, differ: int = DIFFER):
@@ -310,7 +310,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
     keys = wanted.select("text_key")
     texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_key", _text_key())
     picked = texts.join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, "text_key").dropDuplicates(["text_key"])
-    sets = picked.select("text").mapInArrow(_sets, "digest binary, members binary")
+    sets = bounded(picked.select("text")).mapInArrow(_sets, "digest binary, members binary")
     sets = materialize(sets.join(wanted.select("digest", "cls"), "digest").select("cls", "members"), "sets")
     # Pairs, links and labels are no more rows than the bucket members.
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, members.count() // PART_ROWS)
@@ -344,7 +344,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
         ends = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tested = ends if tested is None else tested.union(ends)
         compared = _with_sets(pairs, sets).select("a", "b", "weight", "members_a", "members_b")
-        compared = materialize(compared.mapInArrow(_compared, "a long, b long, weight long, both long, link boolean"), "compared")
+        compared = materialize(bounded(compared).mapInArrow(_compared, "a long, b long, weight long, both long, link boolean"), "compared")
         if k == 0:
             pivots = _pivots(compared, parts)
         found = compared.filter("link").select("a", "b")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import materialize
+from quarrylight.llm.common import bounded, materialize
 
 CAPACITY, END_ID = 1024, 2
 #: Ranks are counted in parts of at least PART pieces, and in about PARTS parts at most.
@@ -98,7 +98,8 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(source).mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema)
 
 
 class Tightest:

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.common import bounded
+
 KINDS = ("email", "ip", "card", "phone")
 TYPES = ("O", *KINDS)
 SPAN, EXAMPLES, EPOCHS, SEED = 5, 700, 60, 17
@@ -479,7 +481,7 @@ def _scanned(model: SemiMarkov):
 def scan(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
     """doc_id, base counts, base_sha256 and all spans of every row of docs (doc_id, text)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_scanned(model or trained()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return bounded(source).mapInArrow(_scanned(model or trained()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, model: SemiMarkov | None = None, column: str = "text") -> DataFrame:
@@ -491,4 +493,4 @@ def redact(docs: DataFrame, model: SemiMarkov | None = None, column: str = "text
             texts = [t if t is None else masked(t, all_spans(t, model)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm import hashing
-from quarrylight.llm.common import byte_texts, materialize, sub_batches
+from quarrylight.llm.common import bounded, byte_texts, materialize, sub_batches
 
 MAX_DOCS, MIN_LEFT = 20, 0.3
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -98,7 +98,7 @@ def _judged(rows: DataFrame, max_docs: int, min_left: float) -> DataFrame:
     # The host travels as its hash: Python hands host, row_id and doc_id through, and nothing else.
     host = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     source = rows.select(host.alias("host"), "row_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = materialize(source.mapInArrow(_measured, SCHEMA), "measured")
+    measured = materialize(bounded(source).mapInArrow(_measured, SCHEMA), "measured")
     lines = measured.select("host", "row_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("host", "row_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     common = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs).select("host", "line")
     gone = lines.join(common, ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("common"), F.collect_list("line").alias("common_lines"))
@@ -133,4 +133,4 @@ def apply(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT)
             yield batch.select(docs_columns).set_column(at, field, pa.array(texts, pa.binary()).cast(field.type))
 
     docs_columns = docs.columns
-    return kept.select(*docs_columns, gone).mapInArrow(run, docs.schema)
+    return bounded(kept.select(*docs_columns, gone)).mapInArrow(run, docs.schema)

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.common import bounded
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "jwt", "key", "ssh", "pem")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -432,4 +434,5 @@ def _scanned(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_sha256 and all spans of every row of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(source).mapInArrow(_scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
