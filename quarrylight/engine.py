@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,20 +78,34 @@ class Engine:
             self.admit(path, kind)
         chosen = self.selections(path.rstrip("/") if path else None)
         scopes = [(s["path"], s["kind"]) for s in chosen]
-        scan = lambda: files.union([files.scan(self.spark, s["path"], s["kind"], (self.root.path.removeprefix("file://"),)) for s in chosen])
-        found = scan()
-        if not files.too_large(found).isEmpty():
-            raise EngineError("SOURCE_TOO_LARGE")
-        observed = found.select("path", "modified", "content", E.digest(F.col("content")).alias("digest"), F.col("length").alias("bytes"))
-        present = files.union([files.listing(self.spark, s["path"], s["kind"] == "tree") for s in chosen])
-        changed = self._save(observed, scopes, present)
-        files.stable(found, scan())
+        scratch, own = f"scan-{uuid.uuid4().hex}", (self.root.path.removeprefix("file://"),)
+
+        def scan(k: int) -> DataFrame:
+            return files.union([files.scan(self.spark, s["path"], s["kind"], self.root.at(scratch, k, i), own) for i, s in enumerate(chosen)])
+
+        try:
+            found = scan(0)
+            if not files.too_large(found).isEmpty():
+                raise EngineError("SOURCE_TOO_LARGE")
+            observed = self._observed(found)
+            saved = self._snapshot(self.root.manifest(), "sources")
+            present = None
+            if saved is not None:  # what isn't admitted any more but still there is no removal
+                asked = saved.filter(inventory.in_scopes(F.col("path"), scopes)).join(found.select("path"), "path", "left_anti")
+                present = files.existing(asked)
+            changed = self._save(observed, scopes, present)
+            files.stable(found, scan(1))
+        finally:
+            self.root.delete(scratch)
         return self.publish() | {"changed": changed}
 
+    def _observed(self, found: DataFrame) -> DataFrame:
+        read = files.contents(found)
+        return read.select("path", "modified", "content", E.digest(F.col("content")).alias("digest"), F.col("length").alias("bytes"))
+
     def retain_file(self, path: str) -> dict:
         """One file without a selection."""
-        one = files.scan(self.spark, path, "file").select("path", "modified", "content", E.digest(F.col("content")).alias("digest"), F.col("length").alias("bytes"))
-        return {"changed": self._save(one, [], None)}
+        return {"changed": self._save(self._observed(files.scan(self.spark, path, "file", self.root.at("scan"))), [], None)}
 
     def index_rows(self, rows: DataFrame) -> dict:
         """Sources that are table rows: path and content (bytes). They replace all earlier ones."""

@@ -1,76 +1,222 @@
-"""Directory trees and single files as sources, read by Spark's binaryFile source."""
+"""Directory trees and single files as sources.
+
+A tree is walked level by level, all folders of a level at once, each folder with the ignore rules that hold in it.
+Names that start with a dot are left out unless a rule keeps them, `.git` always; a name that starts with `_` is like
+any other. Rules come from `.ignore`, then `.gitignore`, then `.git/info/exclude`, of the tree's folders and of the
+folders above it; a deeper file's rules go before those above it, and in one file the last that fits decides. A
+folder that is left out is not entered. Links are refused. The rules of one user's own git settings don't apply.
+
+Files are read by the tasks themselves: Spark's own listing drops names that start with `_`."""
 
 from __future__ import annotations
 
-import fnmatch
+import functools
+import json
+import os
+import re
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.errors import EngineError
-from quarrylight.functions import expressions as E
 from quarrylight.schemas import MAX_SOURCE_BYTES
 
+LISTED = "path string, modified timestamp, length long"
+_WALKED = "path string, is_dir boolean, modified timestamp, length long, rules string"
+#: Bytes of files that a task reads before it hands them on.
+READ_BYTES = 16 << 20
+_RULE_FILES = (("ignore", ".ignore"), ("gitignore", ".gitignore"), ("exclude", ".git/info/exclude"))
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _plain(path: str) -> str:
+    """Local paths go without a scheme."""
+    return re.sub(r"^file:/*/", "/", path).rstrip("/") or "/"
 
-def _plain(path):
-    return F.regexp_replace(path, r"^[a-z]+:/*/", "/")
 
+def _fact(path: str) -> pafs.FileInfo:
+    if "://" not in path and os.path.islink(path):
+        raise EngineError("INDEX_LINK_REFUSED", path)
+    fs, inner = _opened(path)
+    return fs.get_file_info(inner)
 
-def listing(spark: SparkSession, path: str, tree: bool) -> DataFrame:
-    """path, modified, length of all files of a selection; no content is read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(tree).lower())
-    try:
-        found = reader.load(path)
-    except Exception as e:
-        raise EngineError("INDEX_SCAN_FAILED", path) from e
-    return found.select(_plain(F.col("path")).alias("path"), F.col("modificationTime").alias("modified"), "length", "content")
 
+# ignore rules
 
-def _rule(rule: str, base: str) -> tuple[bool, str] | None:
-    """One ignore line as (keeps, regular expression over absolute paths)."""
-    rule = rule.rstrip("\n").rstrip(" ")
-    if not rule or rule.startswith("#"):
+
+def rule(line: str) -> tuple[bool, bool, str] | None:
+    """One line of an ignore file: does it keep, is it for folders only, and a pattern of paths below its folder."""
+    line = line.rstrip("\r\n")
+    while line.endswith(" ") and not line.endswith("\\ "):
+        line = line[:-1]
+    if not line or line.startswith("#"):
+        return None
+    keeps = line.startswith("!")
+    line = line[keeps:]
+    only_dir = line.endswith("/")
+    line = line[: len(line) - only_dir]
+    anchored, line = "/" in line, line.removeprefix("/")
+    if not line:
         return None
-    keeps, rule = rule.startswith("!"), rule.lstrip("!")
-    only_dir, rule = rule.endswith("/"), rule.rstrip("/")
-    anchored, rule = "/" in rule, rule.lstrip("/")
-    body = "/".join(".*" if p == "**" else fnmatch.translate(p).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z").replace(".*", "[^/]*") for p in rule.split("/")).replace(".*/", "(?:.*/)?")
-    return keeps, E.literal_pattern(base) + ("/" if anchored else "/(?:.*/)?") + body + ("/.*" if only_dir else "(?:/.*)?")
-
-
-def ignore_rules(files: DataFrame, root: str) -> list[tuple[bool, str]]:
-    """Rules of the ignore files of all listed directories, outer ones first. Spark's listing leaves out hidden
-    files, so these are opened by name, one look for each directory."""
-    spark, top = files.sparkSession, root.rstrip("/")
-    folders = {top}
-    for r in files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).distinct().collect():
-        folder = r["folder"]
-        while len(folder) > len(top) and folder not in folders:
-            folders.add(folder)
-            folder = folder.rsplit("/", 1)[0]
-    out, jvm = [], spark._jvm
-    for folder in sorted(folders, key=lambda f: (f.count("/"), f)):
-        path = jvm.org.apache.hadoop.fs.Path(folder + "/.gitignore")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            text = jvm.org.apache.commons.io.IOUtils.toString(fs.open(path), "UTF-8")
-            out += [x for line in text.split("\n") if (x := _rule(line, folder))]
+    out, i = "" if anchored else "(?:.*/)?", 0
+    while i < len(line):
+        c, first = line[i], i == 0 or line[i - 1] == "/"
+        if first and line.startswith("**/", i):
+            out, i = out + "(?:[^/]+/)*", i + 3
+        elif first and line[i:] == "**":
+            out, i = out + ".+", i + 2
+        elif c == "*":
+            while line[i : i + 1] == "*":
+                i += 1
+            out += "[^/]*"
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and (end := line.find("]", i + 2)) > 0:
+            body = line[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + "(?!/)[" + ("^" + body[1:] if body[0] in "!^" else body) + "]", end + 1
+        else:
+            i += c == "\\" and i + 1 < len(line)
+            out, i = out + re.escape(line[i]), i + 1
+    return keeps, only_dir, out
+
+
+def folder_rules(folder: str) -> list[list]:
+    """[kind, folder, keeps, for folders only, pattern] of the ignore files in a folder."""
+    out = []
+    for kind, name in _RULE_FILES:
+        fs, inner = _opened(f"{folder.rstrip('/')}/{name}")
+        if fs.get_file_info(inner).type == pafs.FileType.File:
+            with fs.open_input_stream(inner) as f:
+                text = f.read().decode("utf-8", "replace")
+            out += [[kind, folder.rstrip("/"), *r] for line in text.removeprefix("﻿").split("\n") if (r := rule(line))]
     return out
 
 
-def scan(spark: SparkSession, path: str, kind: str = "tree", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """path, modified, length, content of the admitted files. A tree honours ignore files and leaves out
-    hidden files, .git and the excluded roots; a file is admitted whatever the rules say."""
-    files = listing(spark, path, kind == "tree")
+@functools.lru_cache(4096)
+def _compiled(pattern: str):
+    return re.compile(pattern, re.S)
+
+
+def decided(path: str, is_dir: bool, rules: list[list]) -> bool | None:
+    """True if the rules keep a path, False if they leave it out, None if none fits."""
+    for wanted, _ in _RULE_FILES:
+        for kind, folder, keeps, only_dir, pattern in reversed(rules):
+            if kind == wanted and (is_dir or not only_dir) and _compiled(pattern).fullmatch(path[len(folder) + 1 :]):
+                return keeps
+    return None
+
+
+def _admitted(path: str, is_dir: bool, rules: list[list]) -> bool:
+    name, said = path.rsplit("/", 1)[1], decided(path, is_dir, rules)
+    return name != ".git" and (said or said is None and not name.startswith("."))
+
+
+# walking and reading
+
+
+def _table(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC"), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _expanded(excluded: tuple[str, ...]):
+    """Folders with their rules -> what is admitted in them; a folder's rules go on with its own."""
+
+    def run(batches):
+        for batch in batches:
+            for folder, said in zip(batch.column("path").to_pylist(), batch.column("rules").to_pylist()):
+                rules, rows = json.loads(said), []
+                fs, inner = _opened(folder)
+                for e in fs.get_file_info(pafs.FileSelector(inner)):
+                    path = f"{folder.rstrip('/')}/{e.base_name}"
+                    is_dir = e.type == pafs.FileType.Directory
+                    if not _admitted(path, is_dir, rules) or any(path == x or path.startswith(x + "/") for x in excluded):
+                        continue
+                    if "://" not in path and os.path.islink(path):
+                        raise EngineError("INDEX_LINK_REFUSED", path)
+                    if not is_dir and e.type != pafs.FileType.File:
+                        raise EngineError("INDEX_SCAN_FAILED", path)
+                    rows.append((path, is_dir, e.mtime, e.size, json.dumps(rules + folder_rules(path)) if is_dir else None))
+                yield _table(rows, _WALKED)
+
+    return run
+
+
+def scan(spark: SparkSession, path: str, kind: str, scratch: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path, modified, length of the admitted files; a file is admitted whatever the rules say. The levels of the walk
+    are tables below the folder `scratch`, which the caller deletes."""
+    top = _plain(path)
+    fact = _fact(top)
+    if fact.type == pafs.FileType.NotFound:
+        raise EngineError("INDEX_SCAN_FAILED", path)
+    if (fact.type == pafs.FileType.Directory) != (kind == "tree"):
+        raise EngineError("INDEX_SCOPE_KIND_CHANGED", path)
     if kind != "tree":
-        return files
-    kept = ~F.col("path").rlike(r"(^|/)\.git(/|$)")
-    for root in exclude:
-        kept &= ~E.below(F.col("path"), root)
-    ignored = F.lit(False)
-    for keeps, pattern in ignore_rules(files, path):
-        ignored = F.when(F.col("path").rlike(f"^{pattern}$"), F.lit(not keeps)).otherwise(ignored)
-    return files.filter(kept & ~ignored)
+        return spark.createDataFrame([(top, fact.mtime, fact.size)], LISTED)
+    rules, above = [], top
+    folders = [top]
+    while "/" in above.rstrip("/") and not above.endswith("://"):
+        above = above.rsplit("/", 1)[0]
+        folders.append(above or "/")
+    for folder in reversed(folders):  # the folders above the tree, then the tree's own
+        if not folder.endswith(":/") and "//" not in folder[-1:]:
+            rules += folder_rules(folder)
+    level, out, k = spark.createDataFrame([(top, json.dumps(rules))], "path string, rules string"), None, 0
+    while True:
+        target = f"{scratch}/level={k}"
+        level.mapInArrow(_expanded(tuple(x.rstrip("/") for x in exclude)), _WALKED).write.parquet(target)
+        found = spark.read.schema(_WALKED).parquet(target)
+        files = found.filter("not is_dir").select("path", "modified", "length")
+        out = files if out is None else out.union(files)
+        level, k = found.filter("is_dir").select("path", "rules"), k + 1
+        if level.isEmpty():
+            return out
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _contents(batches):
+    """The bytes of listed files. A file whose state is another before or after its reading is an error."""
+    for batch in batches:
+        rows, held = [], 0
+        for path, modified, length in zip(*(batch.column(c).to_pylist() for c in ("path", "modified", "length"))):
+            fs, inner = _opened(path)
+            if length <= MAX_SOURCE_BYTES:
+                with fs.open_input_stream(inner) as f:
+                    data = f.read()
+            else:
+                data = None
+            after = _fact(path)
+            if after.size != length or after.mtime.timestamp() != modified.timestamp() or data is not None and len(data) != length:
+                raise EngineError("INDEX_SCAN_CHANGED", path)
+            rows.append((path, modified, length, data))
+            held += length
+            if held > READ_BYTES:
+                yield _table(rows, LISTED + ", content binary")
+                rows, held = [], 0
+        yield _table(rows, LISTED + ", content binary")
+
+
+def contents(listed: DataFrame) -> DataFrame:
+    """path, modified, length, content of listed files; null content for files over the limit."""
+    spread = listed.repartition(listed.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(_contents, LISTED + ", content binary")
+
+
+def existing(paths: DataFrame) -> DataFrame:
+    """Those of the paths that are files now, whatever the rules say of them."""
+
+    def run(batches):
+        for batch in batches:
+            there = [_fact(p).type == pafs.FileType.File for p in batch.column("path").to_pylist()]
+            yield batch.filter(pa.array(there, pa.bool_()))
+
+    return paths.select("path").mapInArrow(run, "path string")
 
 
 def union(scans: list[DataFrame]) -> DataFrame:

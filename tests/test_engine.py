@@ -13,6 +13,7 @@ from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
 from quarrylight.operators import exact, inventory, objects, prepare, ranked
 from quarrylight.operators.windows import Window
+from quarrylight.sources import files
 from quarrylight.streaming.watch import watch
 
 MIXED = "α\r\nβ\nγ\rδ".encode()
@@ -233,6 +234,49 @@ def test_engine_end_to_end(spark, tmp_path):
         engine.search("")
 
 
+TREE = {
+    "_a/b.txt": 1, "__init__.py": 1, "_config.yml": 1, ".x": 0, ".kept": 1, ".gitignore": 0, ".ignore": 0, "a.log": 0, "keep.log": 1, "sub/.gitignore": 0, "sub/a.log": 1, "sub/x.tmp": 0, "sub/deep/y.tmp": 0, "sub/z/only.txt": 0, "other/z/only.txt": 1,
+    "build/out.o": 0, "doc/build": 1, "a b.txt": 1, "#hash": 0, "sp ": 0, "x[1].c": 0, "deep/one/two/data.bin": 0, "deep/data.bin": 0, "end/a/b": 0, "both.txt": 1, "parent.bak": 0, "excluded.me": 0, ".git/info/exclude": 0, "é_ü.txt": 1,
+}
+
+
+def test_tree_rules(spark, tmp_path):
+    """Names and rules of each kind, nested and above the tree."""
+    top = tmp_path / "above" / "tree"
+    for name in TREE:
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(b"x")
+    (top / ".gitignore").write_bytes("*.log\n!keep.log\n!.kept\nbuild/\n\\#hash\nsp\\ \nx\\[[0-9]].c\ndeep/**/data.bin\nend/**\nboth.txt\n".encode())
+    (top / ".ignore").write_bytes(b"!both.txt\n")
+    (top / "sub/.gitignore").write_bytes(b"!a.log\n*.tmp\n/z/*\n")
+    (top / ".git/info/exclude").write_bytes(b"excluded.me\n")
+    (tmp_path / "above/.gitignore").write_bytes(b"*.bak\n")
+    found = files.scan(spark, str(top), "tree", f"{tmp_path}/scratch")
+    assert {os.path.relpath(r.path, top) for r in found.collect()} == {n for n, kept in TREE.items() if kept}
+    read = {os.path.relpath(r.path, top): bytes(r.content) for r in files.contents(found).collect()}
+    assert set(read.values()) == {b"x"} and set(read) == {n for n, kept in TREE.items() if kept}
+    (top / "__init__.py").write_bytes(b"longer")
+    with pytest.raises(Exception, match="INDEX_SCAN_CHANGED"):
+        files.contents(found).collect()
+    (top / "link").symlink_to(top / "a b.txt")
+    with pytest.raises(Exception, match="INDEX_LINK_REFUSED"):
+        files.scan(spark, str(top), "tree", f"{tmp_path}/scratch2").collect()
+    with pytest.raises(EngineError, match="INDEX_SCAN_FAILED"):
+        files.scan(spark, str(tmp_path / "none"), "tree", f"{tmp_path}/scratch3")
+
+
+def test_absence_needs_every_file(spark, tmp_path):
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "_under.txt").write_bytes(b"hidden needle")
+    (tree / "a.txt").write_bytes(b"nothing")
+    engine = Engine(spark, str(tmp_path / "root")).initialize()
+    engine.index(str(tree))
+    assert engine.exact("needle")["matches"] == 1
+    (tree / "_under.txt").unlink()
+    assert engine.index()["changed"] == 1 and engine.exact("needle")["complete_negative"]
+
+
 def test_watch():
     said, results = [], iter([{"n": 1}, EngineError("X"), {"n": 2}])
 
