@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,14 @@ from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
 from quarrylight.operators import exact, inventory, objects, prepare, ranked
 from quarrylight.operators.windows import Window
-from quarrylight.plans.generation import Root, faults, retire, with_points
+from quarrylight.plans.generation import Root, drop_generation, expired, faults, with_points
 from quarrylight.schemas import CLASS_WEIGHTS, MAX_UNIT_BYTES, PREFERRED_UNIT_BYTES
 from quarrylight.sources import files
 from quarrylight.streaming.watch import watch
 
 TABLES = ("sources", "preparations")
+#: Seconds that a retired generation and its objects stay for readers that have it pinned.
+GRACE_S = 600.0
 
 
 class Engine:
@@ -70,6 +73,13 @@ class Engine:
         self.root.write_manifest(m | {"selections": [*m["selections"], one], "wanted_revision": m["wanted_revision"] + 1}, m)
         return True
 
+    def objects_path(self, m: dict) -> str:
+        """The folder of the object store; a sweep writes the next one and the manifest names it."""
+        return self.root.at("objects", f"version={m['objects']}")
+
+    def _objects(self, m: dict) -> DataFrame | None:
+        return self.spark.read.parquet(self.objects_path(m)) if self.root.exists("objects", f"version={m['objects']}") else None
+
     # write path
 
     def index(self, path: str | None = None, kind: str = "tree") -> dict:
@@ -133,17 +143,17 @@ class Engine:
             if n == 0 and saved is not None and saved.join(fits, "digest", "left_anti").isEmpty():
                 return 0
             fresh = observed.join(changes.filter("action in ('new', 'changed')").select("path"), "path", "left_semi").select("digest", "content")
-            known = self.spark.read.parquet(self.root.at("objects")) if self.root.exists("objects") else None
+            known = self._objects(m)
             new = objects.stored(fresh.withColumn("content", F.col("content")), "source")
             if known is not None:
                 new = new.join(known.select("digest"), "digest", "left_anti")
-            new.write.mode("append").parquet(self.root.at("objects"))
+            new.write.mode("append").parquet(self.objects_path(m))
             next_ = m["snapshot"] + 1
             kept = changes.filter("action <> 'removed'")
             kept.select(E.digest(F.encode("path", "UTF-8")).alias("source_id"), "path", "row_revision", "digest", "bytes", E.source_class(F.col("path")).alias("source_class")).write.mode("overwrite").parquet(self.root.at("sources", f"snapshot={next_}"))
             sources = self.spark.read.parquet(self.root.at("sources", f"snapshot={next_}"))
             todo = sources.select("digest").distinct() if fits is None else sources.select("digest").distinct().join(fits.select("digest"), "digest", "left_anti")
-            bytes_ = self.spark.read.parquet(self.root.at("objects")).select("digest", "content").join(todo, "digest", "left_semi").withColumnRenamed("digest", "source_id")
+            bytes_ = self._objects(m).select("digest", "content").join(todo, "digest", "left_semi").withColumnRenamed("digest", "source_id")
             done = prepare.prepare(bytes_, s["preferred"], s["maximum"])
             done = done.select(F.col("source_id").alias("digest"), F.lit(s["preferred"]).alias("preferred"), F.lit(s["maximum"]).alias("maximum"), F.when(F.col("gap").isNull(), "ready").otherwise("gap").alias("state"), "gap", "units")
             if fits is not None:
@@ -166,35 +176,51 @@ class Engine:
             raise EngineError("PUBLICATION_SOURCE_NOT_PREPARED")
         n = m["next_generation"]
         self.root.write_manifest(reserved := m | {"next_generation": n + 1}, m)
+        try:
+            current = self._build(n, m, sources, prep)
+        except Exception:
+            drop_generation(self.root, n)  # an abandoned build leaves nothing behind
+            raise
+        retired = [*m["retired"], *([[m["current"]["generation"], time.time()]] if m["current"] else [])]
+        self.root.write_manifest(reserved | {"current": current, "retired": retired}, reserved)
+        return {"generation": n, "published": True}
+
+    def _build(self, n: int, m: dict, sources: DataFrame, prep: DataFrame) -> dict:
+        """Write and check the tables of generation n."""
+        at = lambda name: self.root.at(name, f"generation={n}")
         captured = sources.join(prep.select("digest", "state", "gap", "units"), "digest")
-        captured.select("source_id", "path", "source_class", "row_revision", "digest", "bytes", "state", "gap", F.coalesce(F.size("units"), F.lit(0)).cast("long").alias("units")).write.mode("overwrite").parquet(self.root.at("gen_sources", f"generation={n}"))
-        contents = self.spark.read.parquet(self.root.at("objects")).select("digest", "content")
-        ready = captured.filter("state = 'ready'").select("source_id", "source_class", "digest", "units", F.lit(None).cast("string").alias("gap")).join(contents, "digest")
-        rows = prepare.unit_rows(ready, "source_class", "digest").withColumn("text", F.decode("body", "UTF-8")).drop("body")
-        with_points(rows, n).write.mode("overwrite").parquet(self.root.at("units", f"generation={n}"))
-        units = self.spark.read.parquet(self.root.at("units", f"generation={n}"))
-        gen_sources = self.spark.read.parquet(self.root.at("gen_sources", f"generation={n}"))
-        index = ranked.postings(units, "source_id", "unit", "point_id")
-        index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self.root.at("postings", f"generation={n}"))
+        counted = captured.withColumn("units", F.coalesce(F.size("units"), F.lit(0)).cast("long"))
+        columns = ("source_id", "path", "source_class", "row_revision", "digest", "bytes", "state", "gap", "units")
+        counted.select(*columns).write.mode("overwrite").parquet(at("gen_sources"))
+        ready = captured.filter("state = 'ready'").select("source_id", "path", "source_class", "digest", "bytes", "units", F.lit(None).cast("string").alias("gap"))
+        ready = ready.join(self._objects(m).select("digest", "content"), "digest")
+        rows = prepare.unit_rows(ready, "path", "source_class", "digest", "bytes").withColumn("text", F.decode("body", "UTF-8")).drop("body")
+        with_points(rows, n).write.mode("overwrite").parquet(at("units"))
+        units, gen_sources = self.spark.read.parquet(at("units")), self.spark.read.parquet(at("gen_sources"))
+        index = ranked.postings(units, "source_id", "unit", "source_class", "point_id")
+        # By term and source, so that the postings of a frequent term are in many parts.
+        index.repartitionByRange("term", "source_id").sortWithinPartitions("term", "source_id").write.mode("overwrite").parquet(at("postings"))
+        index = self.spark.read.parquet(at("postings"))
         if not faults(units, gen_sources).isEmpty():
             raise EngineError("PUBLICATION_GRAPH_INVALID")
-        facts = units.agg(F.count("*").alias("n")).first()["n"]
-        tokens = ranked.statistics(units).first()["tokens"]
-        self._canary(n, units)
+        points = units.count()
+        tokens = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()["tokens"]
+        self._canary(index, units, points, tokens)
         counts = gen_sources.agg(F.count("*").alias("s"), F.count_if(F.col("state") == "gap").alias("g")).first()
-        current = {"generation": n, "wanted_revision": m["wanted_revision"], "sources": counts["s"], "gaps": counts["g"], "points": facts, "tokens": tokens, "snapshot": m["snapshot"]}
-        retired = [*m["retired"], *([m["current"]["generation"]] if m["current"] else [])]
-        self.root.write_manifest(reserved | {"current": current, "retired": retired}, reserved)
-        return {"generation": n, "published": True}
+        return {"generation": n, "wanted_revision": m["wanted_revision"], "sources": counts["s"], "gaps": counts["g"], "points": points, "tokens": tokens, "snapshot": m["snapshot"]}
 
-    def _canary(self, n: int, units: DataFrame) -> None:
-        """One identifier of one unit must be found with a positive score."""
-        for row in units.select("point_id", "text").limit(8).collect():
-            if terms := E.query_terms(row["text"][:2000]):
-                found = self.spark.read.parquet(self.root.at("postings", f"generation={n}")).filter((F.col("term") == terms[0]) & (F.col("point_id") == row["point_id"]))
-                if found.isEmpty():
-                    raise EngineError("PUBLICATION_CANARY_FAILED")
-                return
+    def _canary(self, index: DataFrame, units: DataFrame, points: int, tokens: int) -> None:
+        """A posting's term must be one of its unit's and find the unit with a positive score. Without postings no unit may
+        have a letter or digit."""
+        row = index.head(1)
+        if not row:
+            if not units.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).isEmpty():
+                raise EngineError("PUBLICATION_CANARY_FAILED")
+            return
+        (unit,) = units.filter(F.col("point_id") == row[0]["point_id"]).select("text").head(1) or [None]
+        found = ranked.scores_from_postings(index, [row[0]["term"]], points, tokens / points, "point_id")
+        if unit is None or row[0]["term"] not in E.query_terms(unit["text"]) or found.filter((F.col("point_id") == row[0]["point_id"]) & (F.col("score") > 0)).isEmpty():
+            raise EngineError("PUBLICATION_CANARY_FAILED")
 
     # read path
 
@@ -202,7 +228,7 @@ class Engine:
         m = self.root.manifest()
         if not m["current"]:
             raise EngineError("QUERY_NOT_PUBLISHED")
-        return View(self, m["current"], m["wanted_revision"])
+        return View(self, m["current"], m["wanted_revision"], self.objects_path(m))
 
     def open_verified(self) -> "View":
         """pin(), after a full check of the generation."""
@@ -238,30 +264,35 @@ class Engine:
 
     # maintenance
 
-    def _marks(self, m: dict) -> DataFrame:
+    def _marks(self, m: dict, kept: list) -> DataFrame:
         refs = [self._snapshot(m, "sources").select(F.lit("source").alias("kind"), "digest", "bytes")] if m["snapshot"] else []
-        for n in [*([m["current"]["generation"]] if m["current"] else []), *m["retired"]]:
+        for n in [*([m["current"]["generation"]] if m["current"] else []), *(n for n, _ in kept)]:
             if self.root.exists("gen_sources", f"generation={n}"):
                 refs.append(self.spark.read.parquet(self.root.at("gen_sources", f"generation={n}")).select(F.lit("source").alias("kind"), "digest", "bytes"))
         if not refs:
             raise EngineError("COLLECT_NOTHING_MARKED")
         return objects.marks(*refs)
 
-    def collect_objects(self) -> dict:
-        """Retire old generations, verify every marked object, rewrite the store without the others."""
+    def collect_objects(self, grace_s: float = GRACE_S) -> dict:
+        """Verify every marked object and leave the others out of the store's next version, then delete the generations whose
+        grace is over. The manifest names the version in one step, so a crash leaves a store that can be read; the version
+        before it stays until the next sweep, for readers that have it open."""
         m = self.root.manifest()
-        self.root.write_manifest(m := retire(self.root, m), self.root.manifest())
-        marked, held = self._marks(m), self.spark.read.parquet(self.root.at("objects"))
+        over, kept = expired(m, time.time(), grace_s)
+        marked, held = self._marks(m, kept), self._objects(m)
         status = {r["status"]: r["n"] for r in objects.read(marked, held).groupBy("status").agg(F.count("*").alias("n")).collect()}
         if set(status) - {"ok"}:
             raise EngineError("COLLECT_INTEGRITY_FAILURE", str(status))
-        gone = objects.unreferenced(held, marked).count()
+        gone, version = objects.unreferenced(held, marked).count(), m["objects"]
         if gone:
-            held.join(marked.select("kind", "digest"), ["kind", "digest"], "left_semi").write.mode("overwrite").parquet(self.root.at("objects_next"))
-            self.root.delete("objects_old")
-            self.root.rename(self.root.at("objects"), self.root.at("objects_old"))
-            self.root.rename(self.root.at("objects_next"), self.root.at("objects"))
-            self.root.delete("objects_old")
+            version += 1
+            next_ = self.objects_path(m | {"objects": version})
+            held.join(marked.select("kind", "digest"), ["kind", "digest"], "left_semi").write.mode("overwrite").parquet(next_)
+        self.root.write_manifest(m | {"objects": version, "retired": kept}, m)
+        if gone and version >= 2:
+            self.root.delete("objects", f"version={version - 2}")
+        for n, _ in over:
+            drop_generation(self.root, n)
         return {"marked": sum(status.values()), "verified": status.get("ok", 0), "deleted": gone, "preserved": sum(status.values())}
 
     def export(self, out: str) -> dict:
@@ -273,17 +304,17 @@ class Engine:
             raise EngineError("ARCHIVE_EXISTS")
         n, snapshot = m["current"]["generation"], m["current"]["snapshot"]
         sources = self.spark.read.parquet(self.root.at("gen_sources", f"generation={n}"))
-        held = objects.read(sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct(), self.spark.read.parquet(self.root.at("objects")))
+        held = objects.read(sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct(), self._objects(m))
         if not held.filter("status <> 'ok'").isEmpty():
             raise EngineError("ARCHIVE_OBJECT_MISSING")
-        held.select("kind", "digest", "bytes", "content", E.object_name(F.col("kind"), F.col("digest")).alias("name")).write.parquet(target.at("objects"))
+        held.select("kind", "digest", "bytes", "content", E.object_name(F.col("kind"), F.col("digest")).alias("name")).write.parquet(target.at("objects", "version=0"))
         for name in ("gen_sources", "units", "postings"):
             self.spark.read.parquet(self.root.at(name, f"generation={n}")).write.parquet(target.at(name, f"generation={n}"))
         for name in TABLES:
             self.spark.read.parquet(self.root.at(name, f"snapshot={snapshot}")).write.parquet(target.at(name, f"snapshot={snapshot}"))
         if not faults(self.spark.read.parquet(target.at("units", f"generation={n}")), sources).isEmpty():
             raise EngineError("ARCHIVE_INVALID")
-        target.write_manifest(m | {"retired": [], "snapshot": snapshot, "wanted_revision": m["current"]["wanted_revision"]})
+        target.write_manifest(m | {"retired": [], "objects": 0, "snapshot": snapshot, "wanted_revision": m["current"]["wanted_revision"]})
         return m["current"]
 
     def import_archive(self, archive: str) -> dict:
@@ -293,7 +324,7 @@ class Engine:
             raise EngineError("ROOT_ALREADY_INITIALIZED")
         view = other.open_verified()
         refs = view.sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct()
-        if not objects.read(refs, self.spark.read.parquet(other.root.at("objects"))).filter("status <> 'ok'").isEmpty():
+        if not objects.read(refs, other._objects(other.root.manifest())).filter("status <> 'ok'").isEmpty():
             raise EngineError("ARCHIVE_OBJECT_MISSING")
         return other.export(self.root.path)
 
@@ -301,63 +332,87 @@ class Engine:
 class View:
     """One pinned generation; later publications do not change it."""
 
-    def __init__(self, engine: Engine, current: dict, wanted: int):
+    def __init__(self, engine: Engine, current: dict, wanted: int, objects_path: str):
         self.engine, self.current, self.wanted = engine, current, wanted
         self.generation = current["generation"]
         read = lambda name: engine.spark.read.parquet(engine.root.at(name, f"generation={self.generation}"))
         self.sources, self.units, self.postings = read("gen_sources"), read("units"), read("postings")
+        self.objects = engine.spark.read.parquet(objects_path).select("digest", "content")
 
     def summary(self, selected: DataFrame | None = None) -> dict:
-        s = self.current
-        out = {"published_wanted_revision": s["wanted_revision"], "published_sources": s["sources"], "published_preparation_gaps": s["gaps"]}
         r = (self.sources if selected is None else selected).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "gap").alias("g")).first()
+        return self._summary(r["n"], r["g"])
+
+    def _summary(self, selected: int, gaps: int) -> dict:
+        s = self.current
         if self.wanted < s["wanted_revision"]:
             raise EngineError("CONTROL_CORRUPT")
-        return out | {"selected_sources": r["n"], "selected_preparation_gaps": r["g"], "control": {"status": "known", "wanted_revision": self.wanted, "known_control_lag": self.wanted > s["wanted_revision"]}}
-
-    def _contents(self, selected: DataFrame, decoded: bool) -> DataFrame:
-        held = self.engine.spark.read.parquet(self.engine.root.at("objects")).select("digest", "content")
-        out = selected.join(held, "digest", "left")
-        bad = out.filter(F.col("content").isNotNull() & (E.digest(F.col("content")) != F.col("digest")))
-        if not bad.isEmpty():
-            raise EngineError("OBJECT_INTEGRITY_FAILURE")
-        return out.withColumn("content", F.when(F.col("state") == "ready", F.col("content"))) if decoded else out
+        out = {"published_wanted_revision": s["wanted_revision"], "published_sources": s["sources"], "published_preparation_gaps": s["gaps"]}
+        control = {"status": "known", "wanted_revision": self.wanted, "known_control_lag": self.wanted > s["wanted_revision"]}
+        return out | {"selected_sources": selected, "selected_preparation_gaps": gaps, "control": control}
 
     def exact(self, literal, mode: str = "decoded", limit: int = 10, ids=None, prefix=None, source_class=None) -> dict:
+        """Facts over all selected sources and the first items. One pass verifies the bytes and counts; another finds the
+        items in the sources that hold the literal, if there are any."""
         selected = exact.select(self.sources, ids, prefix, source_class)
-        rows = self._contents(selected, mode == "decoded").select("source_id", "path", "content")
-        facts = exact.summary(rows, literal, limit).first().asDict()
-        found = [r.asDict() for r in exact.items(rows, literal, limit).collect()] if facts["items"] else []
-        return facts | {"generation": self.generation, "items": found, "summary": self.summary(selected)}
+        rows = selected.join(self.objects, "digest", "left").withColumn("bad", E.digest(F.col("content")) != F.col("digest"))
+        if mode == "decoded":
+            rows = rows.withColumn("content", F.when(F.col("state") == "ready", F.col("content")))
+        bad, gaps = F.count_if("bad").alias("bad"), F.count_if(F.col("state") == "gap").alias("gaps")
+        facts = exact.summary(rows.select("source_id", "content", "state", "bad"), literal, limit, bad, gaps).first().asDict()
+        if facts.pop("bad"):
+            raise EngineError("OBJECT_INTEGRITY_FAILURE")
+        found = [r.asDict() for r in exact.items(rows.select("source_id", "content"), literal, limit).collect()] if facts["items"] else []
+        return facts | {"generation": self.generation, "items": found, "summary": self._summary(facts["selected_sources"], facts.pop("gaps"))}
 
-    def search(self, query: str, limit: int = 10) -> list[dict]:
-        """Hits with rank, score, evidence and a verified excerpt; a hit whose bytes are missing keeps its rank as a gap."""
+    def search(self, query: str, limit: int = 10, source_class: str | None = None) -> list[dict]:
+        """Hits with rank, score, evidence and a verified excerpt; a hit whose bytes are missing keeps its rank as a gap.
+        Only the postings of the terms, the units of the hits and their objects are read."""
         terms = ranked.check(query, limit)
         if not terms or not self.current["points"]:
             return []
         avg = self.current["tokens"] / self.current["points"]
-        scored = ranked.scores_from_postings(self.postings, terms, self.current["points"], avg, "source_id", "unit", "point_id")
-        best = ranked.ranked(scored.join(self.sources.select("source_id", "source_class"), "source_id"), limit, point="unit")
-        top = F.broadcast(best)  # at most 64 rows
-        rows = self.units.drop("source_class", "text").join(top.drop("point_id"), ["source_id", "unit"]).join(self.sources.select("source_id", "path", F.col("bytes")), "source_id")
-        held = self.engine.spark.read.parquet(self.engine.root.at("objects")).select("digest", F.col("content"))
-        rows = rows.join(held, "digest", "left").withColumn("fine", E.digest(F.col("content")) == F.col("digest")).withColumn("body", F.expr("substring(content, cast(start as int) + 1, cast(end - start as int))"))
+        scored = ranked.scores_from_postings(self.postings, terms, self.current["points"], avg, "source_id", "unit", "source_class")
+        if source_class is not None:
+            scored = scored.filter(F.col("source_class") == source_class)
+        best = {(r["source_id"], r["unit"]): r for r in ranked.ranked(scored, limit, point="unit").collect()}  # at most 64 rows
+        if not best:
+            return []
+        units = self.units.drop("text").filter(F.col("source_id").isin([s for s, _ in best]) & F.col("unit").isin([u for _, u in best]))
+        rows = {(r["source_id"], r["unit"]): r for r in units.collect() if (r["source_id"], r["unit"]) in best}  # two of a source at most
+        held = self._verified(rows)
         out = []
-        for r in sorted(rows.drop("content").collect(), key=lambda r: r["rank"]):
-            item = {k: r[k] for k in ("rank", "score", "source_id", "path", "source_class", "unit", "point_id", "digest", "start", "end", "line_start", "line_end", "starts_at_line_boundary", "ends_at_line_boundary")}
-            if r["fine"] is None:
+        for key, b in sorted(best.items(), key=lambda x: x[1]["rank"]):
+            if key not in rows:
+                raise EngineError("EVIDENCE_UNIT_MISSING")
+            r = rows[key]
+            names = ("source_id", "path", "source_class", "unit", "point_id", "digest", "start", "end", "line_start", "line_end", "starts_at_line_boundary", "ends_at_line_boundary")
+            item = {"rank": b["rank"], "score": b["score"], **{k: r[k] for k in names}}
+            if key not in held:
                 out.append(item | {"kind": "gap", "code": "object_missing"})
                 continue
-            if not r["fine"]:
+            if held[key] is None:
                 raise EngineError("OBJECT_INTEGRITY_FAILURE")
-            a, b = ranked.excerpt(bytes(r["body"]), E.excerpt_terms(query))
-            out.append(item | {"kind": "hit", "excerpt": {"start": r["start"] + a, "end": r["start"] + b, "text": bytes(r["body"])[a:b].decode()}})
+            a, e = ranked.excerpt(held[key], E.excerpt_terms(query))
+            out.append(item | {"kind": "hit", "excerpt": {"start": r["start"] + a, "end": r["start"] + e, "text": held[key][a:e].decode()}})
         return out
 
+    def _verified(self, rows: dict) -> dict:
+        """The bytes of units by key; None where the object isn't the one named. Objects that are missing have no entry."""
+        wanted = F.broadcast(self.engine.spark.createDataFrame([(*k, r["digest"], r["start"], r["end"]) for k, r in rows.items()], "source_id string, unit long, digest string, start long, end long"))
+        held = self.objects.filter(F.col("digest").isin(sorted({r["digest"] for r in rows.values()})))
+        held = held.withColumn("fine", E.digest(F.col("content")) == F.col("digest")).join(wanted, "digest")
+        body = F.expr("substring(content, cast(start as int) + 1, cast(end - start as int))")
+        got = held.select("source_id", "unit", F.when(F.col("fine"), body).alias("body")).collect()
+        return {(r["source_id"], r["unit"]): r["body"] and bytes(r["body"]) for r in got}
+
     def read(self, source_id: str) -> bytes:
-        rows = self._contents(self.sources.filter(F.col("source_id") == source_id), False).select("content").head(1)
-        if not rows or rows[0]["content"] is None:
+        one = self.sources.filter(F.col("source_id") == source_id).select("digest").head(1)
+        rows = self.objects.filter(F.col("digest") == one[0]["digest"]).select("content", (E.digest(F.col("content")) == F.col("digest")).alias("fine")).head(1) if one else []
+        if not rows:
             raise EngineError("OBJECT_MISSING")
+        if not rows[0]["fine"]:
+            raise EngineError("OBJECT_INTEGRITY_FAILURE")
         return bytes(rows[0]["content"])
 
     def unit(self, source_id: str, ordinal: int) -> dict:

@@ -43,8 +43,9 @@ def select(sources: DataFrame, ids: list | None = None, prefix: str | None = Non
     return out
 
 
-def summary(sources: DataFrame, literal: str | bytes, limit: int = MAX_ITEMS) -> DataFrame:
-    """One row of facts over all sources. content is null for a source whose bytes or text are missing."""
+def summary(sources: DataFrame, literal: str | bytes, limit: int = MAX_ITEMS, *also) -> DataFrame:
+    """One row of facts over all sources, and of other aggregates of the same pass. content is null for a source whose
+    bytes or text are missing."""
     data = check(literal, limit)
     there = F.col("content").isNotNull()
     # Only sources that hold the literal at all pay for counting it.
@@ -54,6 +55,7 @@ def summary(sources: DataFrame, literal: str | bytes, limit: int = MAX_ITEMS) ->
         F.count_if(there).alias("scanned_sources"),
         F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("scanned_bytes"),
         F.coalesce(F.sum(hits), F.lit(0)).cast("long").alias("matches"),
+        *also,
     )
     facts = facts.withColumn("missing_sources", F.col("selected_sources") - F.col("scanned_sources"))
     facts = facts.withColumn("items", F.least(F.lit(limit), F.col("matches") + F.col("missing_sources")).cast("long"))

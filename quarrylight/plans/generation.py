@@ -14,7 +14,7 @@ from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
 from quarrylight.schemas import MAX_RETIRED
 
-EMPTY = {"format": 1, "digest_alg": "sha256", "wanted_revision": 0, "next_generation": 1, "snapshot": 0, "selections": [], "settings": None, "current": None, "retired": []}
+EMPTY = {"format": 1, "digest_alg": "sha256", "wanted_revision": 0, "next_generation": 1, "snapshot": 0, "selections": [], "settings": None, "current": None, "retired": [], "objects": 0}
 
 
 class Root:
@@ -56,8 +56,11 @@ class Root:
     def manifest(self) -> dict:
         if not self.exists("manifest.json"):
             raise EngineError("ROOT_NOT_INITIALIZED")
-        text = "".join(r["value"] for r in self.spark.read.option("wholetext", True).text(self.at("manifest.json")).collect())
-        out = json.loads(text)
+        stream = self._fs.open(self._p(self.at("manifest.json")))
+        try:
+            out = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
         if out.keys() != EMPTY.keys() or out["format"] != 1:
             raise EngineError("ROOT_FORMAT_UNKNOWN")
         return out
@@ -102,11 +105,15 @@ def faults(units: DataFrame, sources: DataFrame) -> DataFrame:
     return broken.union(unknown).union(short).union(twice)
 
 
-def retire(root: Root, manifest: dict) -> dict:
-    """Delete the folders of retired generations; obligations over the limit are refused."""
+def drop_generation(root: Root, n: int) -> None:
+    for name in ("units", "postings", "gen_sources"):
+        root.delete(name, f"generation={n}")
+
+
+def expired(manifest: dict, now: float, grace_s: float) -> tuple[list, list]:
+    """The retired generations [number, time] whose grace is over, and those that readers may still have pinned.
+    Obligations over the limit are refused."""
     if len(manifest["retired"]) > MAX_RETIRED:
         raise EngineError("RETIRED_LIMIT")
-    for n in manifest["retired"]:
-        for name in ("units", "postings", "gen_sources"):
-            root.delete(name, f"generation={n}")
-    return manifest | {"retired": []}
+    over = [r for r in manifest["retired"] if r[1] + grace_s <= now]
+    return over, [r for r in manifest["retired"] if r not in over]

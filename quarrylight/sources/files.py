@@ -165,7 +165,7 @@ def scan(spark: SparkSession, path: str, kind: str, scratch: str, exclude: tuple
         above = above.rsplit("/", 1)[0]
         folders.append(above or "/")
     for folder in reversed(folders):  # the folders above the tree, then the tree's own
-        if not folder.endswith(":/") and "//" not in folder[-1:]:
+        if not folder.endswith(":/"):
             rules += folder_rules(folder)
     level, out, k = spark.createDataFrame([(top, json.dumps(rules))], "path string, rules string"), None, 0
     while True:

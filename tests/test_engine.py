@@ -220,7 +220,8 @@ def test_engine_end_to_end(spark, tmp_path):
     assert len(view.sources.collect()) == 5 and view.exact("AlphaWord")["matches"] == 1
     now = {os.path.basename(r.path): r.row_revision for r in engine.pin().sources.collect()}
     assert now["a.txt"] == 2 and "doc.md" not in now and now["keep.log"] == 1
-    swept = engine.collect_objects()
+    assert engine.collect_objects()["deleted"] == 0 and view.exact("AlphaWord")["matches"] == 1
+    swept = engine.collect_objects(grace_s=0)
     assert swept["deleted"] == 2 and engine.exact("AlphaWord")["matches"] == 0
     engine.export(str(tmp_path / "archive"))
     other = Engine(spark, str(tmp_path / "other"))
