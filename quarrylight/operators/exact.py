@@ -127,6 +127,16 @@ def items(sources: DataFrame, literal: str | bytes, limit: int) -> DataFrame:
     return out.withColumn("hex", E.hex_lower(shown)).withColumn("ascii", E.printable(shown)).withColumn("excerpt", F.decode("excerpt", "UTF-8") if isinstance(literal, str) else E.printable(F.col("excerpt")))
 
 
+def count_all(sources: DataFrame, literals: DataFrame, block: int = 10_000) -> DataFrame:
+    """count_each() for a table of literals (literal_id, text) of any size, a block of about `block` of them at a time."""
+    blocks, out = max(1, -(-literals.count() // block)), None
+    for b in range(blocks):
+        part = literals.filter(F.pmod(F.xxhash64("literal_id"), F.lit(blocks)) == b).select("literal_id", "text")
+        found = count_each(sources, [(r["literal_id"], r["text"]) for r in part.collect()])  # a block: MAX_QUERY_BYTES a literal at most
+        out = found if out is None else out.union(found)
+    return out
+
+
 def count_each(sources: DataFrame, literals: list[tuple[int, str]]) -> DataFrame:
     """literal_id, sources, matches for a set of literals in one pass: an automaton over all of them."""
     by_text: dict[str, list[int]] = {}

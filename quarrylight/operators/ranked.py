@@ -69,7 +69,8 @@ def scores_from_postings(index: DataFrame, terms: list[str], n: int, avgdl: floa
     df = held.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     joined = held.join(F.broadcast(df), "term")  # a row a query term
     score = _bm25(F.col("tf").cast("double"), F.col("df"), F.lit(float(n)), F.col("dl").cast("double"), F.lit(float(avgdl)))
-    return joined.groupBy(*keys).agg(F.sum(score).alias("score"))
+    # Rounded, so that the order of the terms in a sum never decides between equal units.
+    return joined.groupBy(*keys).agg(F.round(F.sum(score), 9).alias("score"))
 
 
 def ranked(scored: DataFrame, limit: int, per_source: int = MAX_UNITS_PER_SOURCE, point: str = "unit") -> DataFrame:

@@ -35,9 +35,13 @@ class Root:
     def delete(self, *names) -> None:
         self._fs.delete(self._p(self.at(*names)), True)
 
-    def rename(self, a: str, b: str) -> None:
-        if not self._fs.rename(self._p(a), self._p(b)):
-            raise EngineError("ROOT_RENAME_FAILED", b)
+    def delete_path(self, path: str) -> None:
+        self._fs.delete(self._p(path), True)
+
+    def write_text(self, path: str, text: str) -> None:
+        out = self._fs.create(self._p(path), True)
+        out.write(bytearray(text.encode()))
+        out.close()
 
     def state(self) -> str:
         """absent, incomplete (no manifest) or ready."""
@@ -70,9 +74,7 @@ class Root:
         if expected is not None and self.manifest() != expected:
             raise EngineError("ROOT_CHANGED")
         side = self.at("_manifest.json")
-        out = self._fs.create(self._p(side), True)
-        out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
-        out.close()
+        self.write_text(side, json.dumps(value, sort_keys=True))
         over = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = over

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import tempfile
+import uuid
+
+import pyarrow as pa
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
+from quarrylight.engine import Engine
+from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
 from quarrylight.operators import exact, inventory, objects, prepare, ranked
-from quarrylight.plans.generation import with_points
+from quarrylight.operators.windows import Window
+from quarrylight.plans.generation import faults, with_points
 from quarrylight.sources import tables
 
 LITERAL, ABSENT, QUERY, PREFIX, PREFERRED, HARD = "tion ", "no such literal", "the token worthless trash", "/corpus/en", 256, 1024
@@ -73,9 +80,9 @@ def exact_items_topn(spark, sf_dir):
 
 @query("select item_id as literal_id, count(d.doc_id) as sources, coalesce(sum(len(string_split(d.text, b.text)) - 1), 0)::bigint as matches from benchmark b left join documents d on contains(d.text, b.text) group by item_id")
 def exact_many_literals(spark, sf_dir):
-    """One pass for all benchmark texts; the set's size is a parameter of the request."""
-    wanted = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    return exact.count_each(docs(spark, sf_dir), wanted)
+    """All benchmark texts, in blocks of bounded size, each block in one pass."""
+    wanted = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("literal_id"), "text")
+    return exact.count_all(docs(spark, sf_dir), wanted)
 
 
 @query(f"with {SOURCES} select source_class, count(*) as sources, sum(strlen(text))::bigint as bytes from sources group by source_class")
@@ -220,12 +227,20 @@ def evidence_join(spark, sf_dir):
     return best.select("source_id", "unit", "start", "end", "line_start", "line_end", E.digest(F.col("body")).alias("body_digest"))
 
 
-@query(f"""
-with {UNIT_BM25},
-bodied as (select source_id, unit, body, strlen(body) as n from best join bodies using (source_id, unit))
-select source_id, unit, 0::bigint as excerpt_start, n::bigint as excerpt_end from bodied where n <= 512""")
+EXCERPTS = f"""
+bodied as (select source_id, unit, strlen(body) as n, hex(encode(body)) as h, translate(body, '{E.UPPER}', '{E.LOWER}') as low from best join bodies using (source_id, unit)),
+placed as (
+  select *, case {' '.join(f"when contains(low, '{t}') then greatest(0, strlen(string_split(low, '{t}')[1]) - (512 - {len(t)}) // 2)" for t in E.excerpt_terms(QUERY))} else 0 end as wanted from bodied),
+begun as (
+  select *, case when n <= 512 then 0 else list_min(list_filter([least(wanted, n - 512) + i for i in range(4)], lambda p: p >= n or substr(h, (2 * p + 1)::bigint, 1) not in ('8', '9', 'A', 'B'))) end as s from placed),
+shown as (
+  select source_id, unit, s::bigint as excerpt_start,
+         list_max(list_filter([least(n, s + 512) - i for i in range(4)], lambda p: p >= n or substr(h, (2 * p + 1)::bigint, 1) not in ('8', '9', 'A', 'B')))::bigint as excerpt_end from begun)"""
+
+
+@query(f"with {UNIT_BM25}, {EXCERPTS} select * from shown")
 def excerpts(spark, sf_dir):
-    """Spans shown of all hits' units. The SQL has those of at most 512 bytes; longer ones are held against brute force in the tests."""
+    """Spans shown of all hits' units: whole short ones, else around the first of the longest terms found."""
     best = ranked.ranked(unit_scores(spark, sf_dir), 64)
     terms = E.excerpt_terms(QUERY)
     span = F.udf(lambda body: ranked.excerpt(bytes(body), terms), "struct<excerpt_start:long,excerpt_end:long>")
@@ -237,14 +252,6 @@ def point_ids(spark, sf_dir):
     return with_points(prepare.unit_rows(units(spark, sf_dir)).drop("body"), 1).select("source_id", "unit", "point_id")
 
 
-@query(f"with {SOURCES} select 1::bigint as published_wanted_revision, count(*) as published_sources, 0::bigint as published_preparation_gaps, count(*) filter (source_class = 'vendor') as selected_sources, false as known_control_lag from sources")
-def query_summary(spark, sf_dir):
-    prepared = units(spark, sf_dir)
-    return prepared.agg(
-        F.lit(1).cast("long").alias("published_wanted_revision"), F.count("*").alias("published_sources"), F.count_if(F.col("gap").isNotNull()).alias("published_preparation_gaps"), F.count_if(F.col("source_class") == "vendor").alias("selected_sources"), F.lit(False).alias("known_control_lag")
-    )
-
-
 @query("select 'v1-source-' || sha256(encode(text)) as name, any_value(strlen(text))::bigint as bytes from documents group by all")
 def object_dedup(spark, sf_dir):
     return objects.stored(docs(spark, sf_dir), "source").select("name", "bytes")
@@ -266,23 +273,142 @@ def unreferenced_objects(spark, sf_dir):
     return objects.unreferenced(objects.stored(d, "source"), objects.marks(_refs(d.filter(~E.below(F.col("path"), "/corpus/de"))))).select("digest")
 
 
-@query(f"with {SOURCES} select source_id, path, row_number() over (order by source_id)::int as position from sources qualify position between 17 and 32")
+def _window(spark, sf_dir):
+    """A window over the first 64 exact items, with the contents of their sources, of which there are no more."""
+    d = docs(spark, sf_dir)
+    items = [r.asDict() for r in exact.items(d, LITERAL, 64).collect()]
+    read = {r["source_id"]: bytes(r["content"]) for r in d.filter(F.col("source_id").isin([i["source_id"] for i in items])).select("source_id", "content").collect()}
+    return Window(items, 1, read.__getitem__)
+
+
+FIRST = f"""
+parts as (select doc_id as source_id, text, string_split(text, '{LITERAL}') as p from documents where contains(text, '{LITERAL}')),
+flat as (select source_id, text, unnest(list_transform(range(1, len(p)), lambda i: strlen(array_to_string(p[1:i], '{LITERAL}'))))::bigint as start from parts),
+first as (select *, start + {len(LITERAL)} as "end", row_number() over (order by source_id, start)::int - 1 as position, hex(encode(text)) as h, strlen(text) as n from flat qualify position < 64)"""
+INSIDE = "substr(h, (2 * ({}) + 1)::bigint, 1) in ('8', '9', 'A', 'B')"
+
+
+@query(f'with {FIRST} select position, source_id, start, "end" from first where position between 16 and 31')
 def window_page(spark, sf_dir):
-    """The second page of 16 of an inventory in source order."""
-    page = docs(spark, sf_dir).select("source_id", "path").orderBy("source_id").limit(32)
-    return page.withColumn("position", F.row_number().over(Window.orderBy("source_id"))).filter("position > 16")
+    """The second page of 16 of a window, after the first was acknowledged."""
+    w = _window(spark, sf_dir)
+    w.ack(0, w.page(16)["next"])
+    page = w.page(16)
+    rows = [(page["first"] + i, x["source_id"], x["start"], x["end"]) for i, x in enumerate(page["items"])]
+    return spark.createDataFrame(rows, "position int, source_id long, start long, end long")
 
 
 @query(f"""
-with found as (select doc_id as source_id, strlen(string_split(text, '{LITERAL}')[1]) as s, encode(text) as t from documents where contains(text, '{LITERAL}'))
-select source_id, s::bigint as start, hex(t[greatest(s - 16, 0) + 1 : s]) as before, hex(t[s + {len(LITERAL)} + 1 : s + {len(LITERAL)} + 16]) as after from found""")
+with {FIRST},
+sides as (select *, greatest(start - 16, 0) as a, least("end" + 16, n) as b from first),
+judged as (select *, (a < n and {INSIDE.format('a')}) or (b < n and {INSIDE.format('b')}) as broken from sides)
+select position, source_id, case when broken then 'WINDOW_UTF8_BOUNDARY' else 'ok' end as outcome,
+       case when not broken then decode(unhex(substr(h, (2 * a + 1)::bigint, (2 * (start - a))::bigint))) end as before,
+       case when not broken then decode(unhex(substr(h, (2 * "end" + 1)::bigint, (2 * (b - "end"))::bigint))) end as after from judged""")
 def expand_context(spark, sf_dir):
-    """Sixteen bytes on each side of every source's first match, as bytes."""
-    d = docs(spark, sf_dir).filter(F.contains("content", F.lit(LITERAL.encode())))
-    d = d.withColumn("start", F.octet_length(F.substring_index("text", LITERAL, 1)).cast("long"))
-    before = F.expr("hex(substring(content, cast(greatest(start - 16, 0) as int) + 1, cast(least(start, 16) as int)))")
-    after = F.expr(f"hex(substring(content, cast(start as int) + {len(LITERAL) + 1}, 16))")
-    return d.select("source_id", "start", before.alias("before"), after.alias("after"))
+    """Sixteen bytes on each side of every item of a window, as far as its source goes; refused inside a character."""
+    w, rows = _window(spark, sf_dir), []
+    w.page(64)
+    for i, x in enumerate(w.items):
+        try:
+            got = w.expand(i, min(16, x["start"]), min(16, len(w._read(x["source_id"])) - x["end"]))
+            rows.append((i, x["source_id"], "ok", got["before"][1], got["after"][1]))
+        except EngineError as e:
+            rows.append((i, x["source_id"], e.code, None, None))
+    return spark.createDataFrame(rows, "position int, source_id long, outcome string, before string, after string")
+
+
+OVERLAP = "thth"
+
+
+@query(f"with {SOURCES} {FACTS.format(m=f"len(list_filter(range(1, length(text)), lambda i: substr(text, i, {len(OVERLAP)}) = '{OVERLAP}'))")}")
+def exact_overlap_summary(spark, sf_dir):
+    """A literal that overlaps itself: every place counts."""
+    return exact.summary(docs(spark, sf_dir), OVERLAP)
+
+
+@query(f"""
+with {FIRST},
+lined as (select *, coalesce(list_max(list_filter(range(0, start), lambda i: substr(h, 2 * i + 1, 2) = '0A')) + 1, 0) as line_start from first),
+begun as (select *, list_min(list_filter([greatest(start - 128, line_start) + i for i in range(4)], lambda p: not {INSIDE.format('p')})) as a from lined),
+bounded as (select *, least(n, a + 512) as most from begun),
+ended as (select *, list_min(list_filter(range(start, most), lambda i: substr(h, 2 * i + 1, 2) = '0A')) + 1 as lf from bounded)
+select position, source_id, a::bigint as excerpt_start,
+       coalesce(lf, list_max(list_filter([most - i for i in range(4)], lambda p: p >= n or not {INSIDE.format('p')})))::bigint as excerpt_end from ended""")
+def exact_line_excerpts(spark, sf_dir):
+    """The lines shown around the first items."""
+    found = exact.items(docs(spark, sf_dir), LITERAL, 64).select("source_id", "start", "excerpt_start", "excerpt_end")
+    return found.withColumn("position", F.row_number().over(SqlWindow.orderBy("source_id", "start")) - 1).drop("start")  # at most 64 rows
+
+
+@query(f"""with {SOURCES}, held as (select source_id, case when source_id % 7 <> 0 then text end as text from sources),
+flat as (select source_id, 'gap' as kind, null::bigint as start from held where text is null
+  union all select source_id, 'match', unnest(list_transform(range(1, len(string_split(text, '{LITERAL}'))), lambda i: strlen(array_to_string(string_split(text, '{LITERAL}')[1:i], '{LITERAL}'))))::bigint from held where contains(text, '{LITERAL}'))
+select * from flat order by source_id, start nulls first limit 64""")
+def exact_missing_items(spark, sf_dir):
+    """Sources without content are items of their own, in order."""
+    d = docs(spark, sf_dir).withColumn("content", F.when(F.col("source_id") % 7 != 0, F.col("content")))
+    return exact.items(d, LITERAL, 64).select("source_id", "kind", "start")
+
+
+@query(f"""with {SOURCES}, held as (select case when source_id % 7 <> 0 then text end as text from sources)
+select count(*) as selected_sources, count(text) as scanned_sources, sum(strlen(text))::bigint as scanned_bytes, sum({OCCURS.format(ABSENT)})::bigint as matches, count(*) - count(text) as missing_sources,
+  least(64, count(*) - count(text))::bigint as items, false as scan_complete, false as complete_negative, case when count(*) - count(text) > 64 then 'output_limit' else 'complete' end as stop from held""")
+def exact_missing_summary(spark, sf_dir):
+    """Nothing found, but not everything read: no claim of absence."""
+    d = docs(spark, sf_dir).withColumn("content", F.when(F.col("source_id") % 7 != 0, F.col("content")))
+    return exact.summary(d, ABSENT)
+
+
+@query("select count(*) as n, sum(strlen(text))::bigint as bytes from documents")
+def inventory_totals(spark, sf_dir):
+    n, size = inventory.totals(docs(spark, sf_dir).select("path", F.octet_length("content").cast("long").alias("bytes")))
+    return spark.createDataFrame([(n, size)], "n long, bytes long")
+
+
+@query("""select distinct sha256(encode(text)) as digest, case when doc_id % 11 = 0 then 'missing' when doc_id % 9 = 0 then 'integrity_failure' else 'ok' end as status
+from (select min(doc_id) as doc_id, text from documents group by text)""")
+def verified_reads(spark, sf_dir):
+    """Objects of which some are missing and some hold other bytes."""
+    d = docs(spark, sf_dir).groupBy("content").agg(F.min("source_id").alias("source_id"))
+    refs = d.select("source_id", F.lit("source").alias("kind"), E.digest(F.col("content")).alias("digest"), F.octet_length("content").cast("long").alias("bytes"))
+    bytes_ = F.when(F.col("source_id") % 9 == 0, F.expr("concat(content, X'00')")).otherwise(F.col("content"))
+    held = d.filter("source_id % 11 <> 0").select(F.lit("source").alias("kind"), E.digest(F.col("content")).alias("digest"), bytes_.alias("content"))
+    return objects.read(refs.drop("source_id"), held).select("digest", "status")
+
+
+@query(f"""with recursive {UNITS},
+moved as (select source_id, unit, start, case when source_id % 10 = 0 and unit = 0 and "end" > 1 then "end" - 1 else "end" end as e, h from units where not (source_id % 13 = 0 and unit = 1)),
+chained as (select *, coalesce(lag(e) over (partition by source_id order by unit), 0) as before, max(e) over (partition by source_id) as last from moved)
+select source_id, unit from chained where start <> before or last <> length(h) // 2 or e <= start or e - start > {HARD}""")
+def saved_layouts(spark, sf_dir):
+    """Saved units that don't chain or cover: some moved by a byte, some left out."""
+    rows = units(spark, sf_dir).filter("gap is null").select("source_id", "content", F.posexplode("units").alias("unit", "u"))
+    end = F.when((F.col("source_id") % 10 == 0) & (F.col("unit") == 0) & (F.col("u.end") > 1), F.col("u.end") - 1).otherwise(F.col("u.end"))
+    saved = rows.filter("not (source_id % 13 = 0 and unit = 1)").select("source_id", F.col("unit").cast("long").alias("unit"), "u.start", end.alias("end"), "content", F.lit(HARD).alias("hard"))
+    return prepare.accepted(saved).select("source_id", "unit")
+
+
+@query(f"""with recursive {UNITS},
+kept as (select source_id, unit, start, "end" from units where not (source_id % 10 = 0 and unit = 1)),
+chained as (select *, coalesce(lag("end") over (partition by source_id order by unit), 0) as before, row_number() over (partition by source_id order by unit) - 1 as number from kept)
+select source_id, 'unit_chain' as fault from chained where start <> before or unit <> number
+union all select source_id, 'unit_count' from units where source_id % 10 = 0 and unit = 1""")
+def generation_faults(spark, sf_dir):
+    """The faults of a generation that lost the second unit of some sources."""
+    every = with_points(prepare.unit_rows(units(spark, sf_dir)).drop("body"), 1)
+    counted = every.groupBy("source_id").agg(F.count("*").alias("units")).withColumn("state", F.lit("ready"))
+    return faults(every.filter("not (source_id % 10 = 0 and unit = 1)"), counted)
+
+
+@query("""with named as (select doc_id, sha256(encode(text)) as digest, strlen(text)::bigint as bytes, sha256(encode('prepared ' || doc_id)) as prepared from documents)
+select 'prepared' as kind, prepared as digest, 8::bigint as bytes from named where doc_id % 3 = 0 union select 'source', digest, bytes from named where doc_id % 3 = 0""")
+def object_closure(spark, sf_dir):
+    """Prepared artifacts pull in the sources that they were made of."""
+    made = docs(spark, sf_dir).select("source_id", E.digest(F.col("content")).alias("digest"), F.octet_length("content").cast("long").alias("bytes"))
+    made = made.withColumn("prepared_digest", E.digest(F.encode(F.concat(F.lit("prepared "), F.col("source_id").cast("string")), "UTF-8")))
+    marked = made.filter("source_id % 3 = 0").select(F.lit("prepared").alias("kind"), F.col("prepared_digest").alias("digest"), F.lit(8).cast("long").alias("bytes"))
+    return objects.closure(objects.marks(marked), made)
 
 
 @query(f"""
@@ -308,3 +434,125 @@ def page_paths(spark, sf_dir):
 @query("with c as (select conv_id as source_id, string_agg(concat_ws(': ', role, text), chr(10) order by turn, role, text) as t from conversations group by conv_id) select source_id, sha256(encode(t)) as digest from c")
 def conversation_sources(spark, sf_dir):
     return tables.from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("source_id", E.digest(F.encode("text", "UTF-8")).alias("digest"))
+
+
+# queries over a root of the engine
+
+_engines: dict[tuple[str, str], Engine] = {}
+
+
+def _shared(spark) -> str:
+    """A folder that all machines see: below spark.checkpoint.dir; one of our own only where it is unset in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise EngineError("SHARED_FOLDER_UNSET")
+    return (named or tempfile.mkdtemp(prefix="quarrylight-")).rstrip("/") + f"/root-{uuid.uuid4().hex}"
+
+
+def engine(spark, sf_dir) -> Engine:
+    """A root with all documents as sources, built once for an application and a table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _engines:
+        made = Engine(spark, _shared(spark)).initialize()
+        made.settings(PREFERRED, HARD)
+        made.index_rows(docs(spark, sf_dir).select("path", "content"))
+        _engines[key] = made
+    return _engines[key]
+
+
+@query(f"""with recursive {UNITS}, {SOURCES.strip()}, counted as (select source_id, count(*) as units from units group by all)
+select path, source_class, 1::bigint as row_revision, sha256(encode(text)) as digest, strlen(text)::bigint as bytes, 'ready' as state, coalesce(units, 0) as units from sources left join counted using (source_id)""")
+def published_sources(spark, sf_dir):
+    return engine(spark, sf_dir).open_verified().sources.select("path", "source_class", "row_revision", "digest", "bytes", "state", "units")
+
+
+@query(f"""with recursive {UNITS}, {SOURCES.strip()}
+select path, unit, start, "end", line_start, line_end, '{1:016x}' || lower(lpad(hex(row_number() over (order by sha256(path), unit) - 1), 16, '0')) as point_id from units join sources using (source_id)""")
+def published_units(spark, sf_dir):
+    return engine(spark, sf_dir).pin().units.select("path", "unit", "start", "end", "line_start", "line_end", "point_id")
+
+
+@query(f"with {UNIT_BM25} select term, count(distinct (source_id, unit)) as df, count(*) as tf from toks group by term")
+def published_postings(spark, sf_dir):
+    return engine(spark, sf_dir).pin().postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"with {SOURCES} {FACTS.format(m=OCCURS.format(LITERAL))} where starts_with(path, '{PREFIX}/') and source_class = 'vendor'")
+def view_exact(spark, sf_dir):
+    found = engine(spark, sf_dir).exact(LITERAL, limit=64, prefix=PREFIX, source_class="vendor")
+    names = ("selected_sources", "scanned_sources", "scanned_bytes", "matches", "missing_sources", "items", "scan_complete", "complete_negative", "stop")
+    kinds = ("long",) * 5 + ("long", "boolean", "boolean", "string")
+    row = {**found, "items": len(found["items"])}
+    return spark.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
+@query(f"with {SOURCES} select count(*) as published_sources, 0::bigint as published_preparation_gaps, count(*) filter (source_class = 'vendor') as selected_sources, 0::bigint as selected_preparation_gaps, false as known_control_lag from sources")
+def query_summary(spark, sf_dir):
+    """The summary that comes with an answer over the vendor sources of the served generation."""
+    view = engine(spark, sf_dir).pin()
+    s = view.summary(exact.select(view.sources, source_class="vendor"))
+    row = (s["published_sources"], s["published_preparation_gaps"], s["selected_sources"], s["selected_preparation_gaps"], s["control"]["known_control_lag"])
+    return spark.createDataFrame([row], "published_sources long, published_preparation_gaps long, selected_sources long, selected_preparation_gaps long, known_control_lag boolean")
+
+
+VIEW_BEST = UNIT_BM25.replace("order by score desc, source_id, unit limit 64", "order by score desc, sha256(path), unit limit 64").replace("from own where k <= 2", "from own join sources using (source_id) where k <= 2")
+
+
+@query(f"""with {VIEW_BEST}, {EXCERPTS}
+select path, unit, round(score, 6) as score, row_number() over (order by score desc, sha256(path), unit)::int as rank, u.start + excerpt_start as excerpt_start, u.start + excerpt_end as excerpt_end, 'hit' as kind
+from best join shown using (source_id, unit) join units u using (source_id, unit) join sources using (source_id)""")
+def view_search(spark, sf_dir):
+    """Ranked hits of the served generation with evidence verified against the stored bytes."""
+    hits = engine(spark, sf_dir).search(QUERY, 64)
+    rows = [(h["path"], h["unit"], round(h["score"], 6), h["rank"], h["excerpt"]["start"], h["excerpt"]["end"], h["kind"]) for h in hits]
+    return spark.createDataFrame(rows, "path string, unit long, score double, rank int, excerpt_start long, excerpt_end long, kind string")
+
+
+@query(f"with {SOURCES} select count(*) as sources, sum({OCCURS.format(LITERAL)})::bigint as matches, count(distinct text) as objects from sources")
+def archive_round_trip(spark, sf_dir):
+    """What a root holds that was made from an archive of another."""
+    first, folder = engine(spark, sf_dir), _shared(spark)
+    first.export(f"{folder}/archive")
+    other = Engine(spark, f"{folder}/copy")
+    other.import_archive(f"{folder}/archive")
+    view = other.open_verified()
+    row = (view.sources.count(), other.exact(LITERAL)["matches"], view.objects.count())
+    other.root.delete_path(folder)
+    return spark.createDataFrame([row], "sources long, matches long, objects long")
+
+
+def _as_files(folder: str):
+    """Writes each text as a file: some names start with `_`, some with a dot, some end in .log."""
+
+    def run(batches):
+        import os
+
+        for batch in batches:
+            for i, text in zip(batch.column("source_id").to_pylist(), batch.column("text").to_pylist()):
+                path = f"{folder}/{'_' if i % 3 == 0 else ''}{i % 10}/{'.' if i % 7 == 0 else '_' if i % 4 == 0 else ''}{i}.{'log' if i % 5 == 0 else 'txt'}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return run
+
+
+@query("""
+select case when doc_id % 3 = 0 then '_' else '' end || doc_id % 10 || '/' || case when doc_id % 7 = 0 then '.' when doc_id % 4 = 0 then '_' else '' end || doc_id || '.' || case when doc_id % 5 = 0 then 'log' else 'txt' end as name,
+       sha256(encode(text)) as digest, strlen(text)::bigint as bytes
+from documents where doc_id % 10 = 5 or doc_id % 7 <> 0 and doc_id % 5 <> 0""")
+def tree_sources(spark, sf_dir):
+    """All texts as a tree of files with rules: which are sources, and their bytes. The folders of the names 5 keep their .log
+    files, those whose names start with a dot too."""
+    folder = _shared(spark)
+    tree = folder.removeprefix("file://") + "/tree"
+    docs(spark, sf_dir).select("source_id", "text").mapInArrow(_as_files(tree), "n long").agg(F.sum("n")).collect()
+    made = Engine(spark, f"{folder}/store")
+    for name, rules in ((".gitignore", "*.log\n"), ("5/.ignore", "!*.log\n"), ("_5/.ignore", "!*.log\n")):
+        made.root.write_text(f"{folder}/tree/{name}", rules)
+    made.initialize()
+    made.settings(PREFERRED, HARD)
+    made.index(tree)
+    found = made.pin().sources
+    return found.select(F.expr(f"substring(path, {len(tree) + 2})").alias("name"), "digest", "bytes")
