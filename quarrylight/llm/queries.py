@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylight.llm import langid, minhash, mixing, packing, pii, quality, secrets, sharding, topk, urls
+from quarrylight.llm import langid, minhash, mixing, oracles, packing, pii, quality, secrets, sharding, topk, urls
 from quarrylight.llm.common import table
 
 
@@ -54,8 +54,31 @@ def op10_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_common_words")
 
 
+# The parts of results that SQL can say where it can't say the whole.
+
+
+def shard_sizes(spark, sf_dir):
+    return op1_shards(spark, sf_dir).select("doc_id", "size", "law", "grown_shard")
+
+
+def url_rules(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def personal_base(spark, sf_dir):
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def secret_base(spark, sf_dir):
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+OPERATORS = (op1_shards, op2_minhash, op3_urls, op4_packing, op5_pii, op6_secrets, op7_topk, op8_language, op9_mixing, op10_quality)
+PARTS = (shard_sizes, url_rules, personal_base, secret_base)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_shards, op2_minhash, op3_urls, op4_packing, op5_pii, op6_secrets, op7_topk, op8_language, op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (*OPERATORS, *PARTS)}
 
 
 #: DuckDB SQL of the exact search over all vectors.
@@ -71,4 +94,5 @@ qualify rank <= 5
 
 
 def oracle_sql():
-    return {"op7_topk": TOPK_SQL, "op9_mixing": mixing.SQL}
+    whole = {"op2_minhash": oracles.NEAR_DUPLICATES, "op7_topk": TOPK_SQL, "op9_mixing": mixing.SQL, "op10_quality": oracles.QUALITY}
+    return whole | {"shard_sizes": oracles.SHARD_SIZES, "url_rules": oracles.URL_RULES, "personal_base": oracles.PERSONAL_BASE, "secret_base": oracles.SECRET_BASE}

@@ -55,6 +55,14 @@ def sql(name, sf_dir):
     return con.execute(queries.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_oracle(spark, sf_dir, name):
+    found, want = queries.queries()[name](spark, sf_dir), sql(name, sf_dir)
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(found.columns)
+    assert Counter(tuple(r) for r in found.select(*names).collect()) == Counter(want.fetchall())
+
+
 # 1
 
 
