@@ -13,7 +13,7 @@ from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
 from quarrylight.operators import exact, inventory, objects, prepare, ranked
 from quarrylight.operators.windows import Window
-from quarrylight.plans.generation import Root, drop_generation, expired, faults, with_points
+from quarrylight.plans.generation import GENERATION_TABLES, Root, drop_generation, expired, faults, with_points
 from quarrylight.schemas import CLASS_WEIGHTS, MAX_UNIT_BYTES, PREFERRED_UNIT_BYTES
 from quarrylight.sources import files
 from quarrylight.streaming.watch import watch
@@ -147,7 +147,7 @@ class Engine:
             new = objects.stored(fresh.withColumn("content", F.col("content")), "source")
             if known is not None:
                 new = new.join(known.select("digest"), "digest", "left_anti")
-            new.write.mode("append").parquet(self.objects_path(m))
+            new.sortWithinPartitions("digest").write.mode("append").parquet(self.objects_path(m))
             next_ = m["snapshot"] + 1
             kept = changes.filter("action <> 'removed'")
             kept.select(E.digest(F.encode("path", "UTF-8")).alias("source_id"), "path", "row_revision", "digest", "bytes", E.source_class(F.col("path")).alias("source_class")).write.mode("overwrite").parquet(self.root.at("sources", f"snapshot={next_}"))
@@ -195,12 +195,13 @@ class Engine:
         ready = captured.filter("state = 'ready'").select("source_id", "path", "source_class", "digest", "bytes", "units", F.lit(None).cast("string").alias("gap"))
         ready = ready.join(self._objects(m).select("digest", "content"), "digest")
         rows = prepare.unit_rows(ready, "path", "source_class", "digest", "bytes").withColumn("text", F.decode("body", "UTF-8")).drop("body")
-        with_points(rows, n).write.mode("overwrite").parquet(at("units"))
+        with_points(rows, n).sortWithinPartitions("source_id", "unit").write.mode("overwrite").parquet(at("units"))
         units, gen_sources = self.spark.read.parquet(at("units")), self.spark.read.parquet(at("gen_sources"))
         index = ranked.postings(units, "source_id", "unit", "source_class", "point_id")
         # By term and source, so that the postings of a frequent term are in many parts.
         index.repartitionByRange("term", "source_id").sortWithinPartitions("term", "source_id").write.mode("overwrite").parquet(at("postings"))
         index = self.spark.read.parquet(at("postings"))
+        index.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(at("terms"))
         if not faults(units, gen_sources).isEmpty():
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         points = units.count()
@@ -287,7 +288,7 @@ class Engine:
         if gone:
             version += 1
             next_ = self.objects_path(m | {"objects": version})
-            held.join(marked.select("kind", "digest"), ["kind", "digest"], "left_semi").write.mode("overwrite").parquet(next_)
+            held.join(marked.select("kind", "digest"), ["kind", "digest"], "left_semi").sortWithinPartitions("digest").write.mode("overwrite").parquet(next_)
         self.root.write_manifest(m | {"objects": version, "retired": kept}, m)
         if gone and version >= 2:
             self.root.delete("objects", f"version={version - 2}")
@@ -308,7 +309,7 @@ class Engine:
         if not held.filter("status <> 'ok'").isEmpty():
             raise EngineError("ARCHIVE_OBJECT_MISSING")
         held.select("kind", "digest", "bytes", "content", E.object_name(F.col("kind"), F.col("digest")).alias("name")).write.parquet(target.at("objects", "version=0"))
-        for name in ("gen_sources", "units", "postings"):
+        for name in GENERATION_TABLES:
             self.spark.read.parquet(self.root.at(name, f"generation={n}")).write.parquet(target.at(name, f"generation={n}"))
         for name in TABLES:
             self.spark.read.parquet(self.root.at(name, f"snapshot={snapshot}")).write.parquet(target.at(name, f"snapshot={snapshot}"))
@@ -336,7 +337,7 @@ class View:
         self.engine, self.current, self.wanted = engine, current, wanted
         self.generation = current["generation"]
         read = lambda name: engine.spark.read.parquet(engine.root.at(name, f"generation={self.generation}"))
-        self.sources, self.units, self.postings = read("gen_sources"), read("units"), read("postings")
+        self.sources, self.units, self.postings, self.terms = map(read, GENERATION_TABLES)
         self.objects = engine.spark.read.parquet(objects_path).select("digest", "content")
 
     def summary(self, selected: DataFrame | None = None) -> dict:
@@ -372,7 +373,10 @@ class View:
         if not terms or not self.current["points"]:
             return []
         avg = self.current["tokens"] / self.current["points"]
-        scored = ranked.scores_from_postings(self.postings, terms, self.current["points"], avg, "source_id", "unit", "source_class")
+        counts = {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(terms)).collect()}  # a row a query term
+        if not counts:
+            return []
+        scored = ranked.scores_from_postings(self.postings, list(counts), self.current["points"], avg, "source_id", "unit", "source_class", counts=counts)
         if source_class is not None:
             scored = scored.filter(F.col("source_class") == source_class)
         best = {(r["source_id"], r["unit"]): r for r in ranked.ranked(scored, limit, point="unit").collect()}  # at most 64 rows

@@ -63,11 +63,16 @@ def _scored(rows: DataFrame, n_terms: int) -> DataFrame:
     return rows.filter(held).withColumn("score", total)
 
 
-def scores_from_postings(index: DataFrame, terms: list[str], n: int, avgdl: float, *keys: str) -> DataFrame:
-    """keys and score from stored postings (term, tf, dl): only the terms' rows are read."""
+def scores_from_postings(index: DataFrame, terms: list[str], n: int, avgdl: float, *keys: str, counts: dict[str, int] | None = None) -> DataFrame:
+    """keys and score from stored postings (term, tf, dl): only the terms' rows are read. counts: their document
+    frequencies, if known."""
     held = index.filter(F.col("term").isin(terms))
-    df = held.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    joined = held.join(F.broadcast(df), "term")  # a row a query term
+    if counts is None:
+        df = held.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+        joined = held.join(F.broadcast(df), "term")  # a row a query term
+    else:
+        known = F.create_map(*(F.lit(x) for t, c in counts.items() for x in (t, float(c))))
+        joined = held.withColumn("df", F.element_at(known, F.col("term")))
     score = _bm25(F.col("tf").cast("double"), F.col("df"), F.lit(float(n)), F.col("dl").cast("double"), F.lit(float(avgdl)))
     # Rounded, so that the order of the terms in a sum never decides between equal units.
     return joined.groupBy(*keys).agg(F.round(F.sum(score), 9).alias("score"))

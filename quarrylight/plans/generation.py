@@ -17,6 +17,9 @@ from quarrylight.schemas import MAX_RETIRED
 EMPTY = {"format": 1, "digest_alg": "sha256", "wanted_revision": 0, "next_generation": 1, "snapshot": 0, "selections": [], "settings": None, "current": None, "retired": [], "objects": 0}
 
 
+GENERATION_TABLES = ("gen_sources", "units", "postings", "terms")
+
+
 class Root:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -108,7 +111,7 @@ def faults(units: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def drop_generation(root: Root, n: int) -> None:
-    for name in ("units", "postings", "gen_sources"):
+    for name in GENERATION_TABLES:
         root.delete(name, f"generation={n}")
 
 

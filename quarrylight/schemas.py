@@ -1,6 +1,4 @@
-"""Fixed table schemas and limits; nothing is inferred on read."""
-
-from pyspark.sql import types as T
+"""Fixed limits and defaults."""
 
 # Limits and defaults that results depend on.
 MAX_SOURCE_BYTES = 8 << 20
@@ -13,10 +11,3 @@ MAX_UNITS_PER_SOURCE, MAX_RETIRED = 2, 8
 CLASS_WEIGHTS = {"primary": 1.0, "documentation": 0.65, "vendor": 0.35}
 BM25_K, BM25_B = 1.2, 0.75
 GAPS = ("binary_content", "invalid_utf8", "input_too_large", "output_too_large", "too_many_lines", "too_many_units", "unit_too_large", "artifact_too_large")
-
-_f = T.StructField
-SELECTIONS = T.StructType([_f("path", T.StringType()), _f("kind", T.StringType())])
-SOURCES = T.StructType([_f("source_id", T.StringType()), _f("path", T.StringType()), _f("row_revision", T.LongType()), _f("registration_revision", T.LongType()), _f("modified", T.TimestampType()), _f("digest", T.StringType()), _f("bytes", T.LongType())])
-OBJECTS = T.StructType([_f("kind", T.StringType()), _f("digest", T.StringType()), _f("bytes", T.LongType()), _f("content", T.BinaryType())])
-PREPARATIONS = T.StructType([_f("source_id", T.StringType()), _f("registration_revision", T.LongType()), _f("digest", T.StringType()), _f("preferred_bytes", T.IntegerType()), _f("max_bytes", T.IntegerType()), _f("state", T.StringType()), _f("gap", T.StringType()), _f("prepared_digest", T.StringType()), _f("units", T.LongType())])
-UNIT_FIELDS = "unit long, start long, end long, line_start long, line_end long, starts_at_line_boundary boolean, ends_at_line_boundary boolean"
