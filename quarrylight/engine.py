@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
-from quarrylight.operators import exact, inventory, objects, prepare, ranked
-from quarrylight.operators.windows import Window
+from quarrylight.operators import exact, inventory, objects, prepare, ranked, results
+from quarrylight.operators.windows import Session, Window
 from quarrylight.plans.generation import GENERATION_TABLES, Root, drop_generation, expired, faults, with_points
 from quarrylight.schemas import CLASS_WEIGHTS, MAX_UNIT_BYTES, PREFERRED_UNIT_BYTES
 from quarrylight.sources import files
@@ -192,11 +193,17 @@ class Engine:
         counted = captured.withColumn("units", F.coalesce(F.size("units"), F.lit(0)).cast("long"))
         columns = ("source_id", "path", "source_class", "row_revision", "digest", "bytes", "state", "gap", "units")
         counted.select(*columns).write.mode("overwrite").parquet(at("gen_sources"))
-        ready = captured.filter("state = 'ready'").select("source_id", "path", "source_class", "digest", "bytes", "units", F.lit(None).cast("string").alias("gap"))
+        ready = captured.filter("state = 'ready'").select("source_id", "path", "source_class", "digest", "bytes", "units")
         ready = ready.join(self._objects(m).select("digest", "content"), "digest")
+        # Saved units that don't fit their bytes become a gap here, by which the graph below lacks units and is refused.
+        ready = prepare.inspected(ready, m["settings"]["maximum"]).withColumnRenamed("fault", "gap")
         rows = prepare.unit_rows(ready, "path", "source_class", "digest", "bytes").withColumn("text", F.decode("body", "UTF-8")).drop("body")
-        with_points(rows, n).sortWithinPartitions("source_id", "unit").write.mode("overwrite").parquet(at("units"))
+        staged, seen = with_points(rows, n), Observation()
+        facts = (F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(staged.columns)).cast("decimal(20,0)")).alias("h"))
+        staged.observe(seen, *facts).sortWithinPartitions("source_id", "unit").write.mode("overwrite").parquet(at("units"))
         units, gen_sources = self.spark.read.parquet(at("units")), self.spark.read.parquet(at("gen_sources"))
+        if (back := units.agg(*facts).first().asDict()) != seen.get:
+            raise EngineError("PUBLICATION_READBACK_FAILED")
         index = ranked.postings(units, "source_id", "unit", "source_class", "point_id")
         # By term and source, so that the postings of a frequent term are in many parts.
         index.repartitionByRange("term", "source_id").sortWithinPartitions("term", "source_id").write.mode("overwrite").parquet(at("postings"))
@@ -204,7 +211,7 @@ class Engine:
         index.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(at("terms"))
         if not faults(units, gen_sources).isEmpty():
             raise EngineError("PUBLICATION_GRAPH_INVALID")
-        points = units.count()
+        points = back["n"]
         tokens = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()["tokens"]
         self._canary(index, units, points, tokens)
         counts = gen_sources.agg(F.count("*").alias("s"), F.count_if(F.col("state") == "gap").alias("g")).first()
@@ -238,8 +245,8 @@ class Engine:
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         return view
 
-    def search(self, query: str, limit: int = 10) -> list[dict]:
-        return self._timed(lambda: self.pin().search(query, limit))
+    def search(self, query: str, limit: int = 10, source_class: str | None = None) -> list[dict]:
+        return self._timed(lambda: self.pin().search(query, limit, source_class))
 
     def exact(self, literal, mode: str = "decoded", limit: int = 10, **scope) -> dict:
         return self._timed(lambda: self.pin().exact(literal, mode, limit, **scope))
@@ -260,6 +267,10 @@ class Engine:
         finally:
             timer.cancel()
 
+    def session(self, **options) -> Session:
+        """One retained answer, asked for by requests of increasing ids."""
+        return Session(self, **options)
+
     def watch(self, interval_s: float = 30.0, **options) -> int:
         return watch(self.index, interval_s, **options)
 
@@ -352,9 +363,10 @@ class View:
         control = {"status": "known", "wanted_revision": self.wanted, "known_control_lag": self.wanted > s["wanted_revision"]}
         return out | {"selected_sources": selected, "selected_preparation_gaps": gaps, "control": control}
 
-    def exact(self, literal, mode: str = "decoded", limit: int = 10, ids=None, prefix=None, source_class=None) -> dict:
+    def exact(self, literal, mode: str = "decoded", limit: int = 10, ids=None, prefix=None, source_class=None, source_info: bool = False) -> dict:
         """Facts over all selected sources and the first items. One pass verifies the bytes and counts; another finds the
-        items in the sources that hold the literal, if there are any."""
+        items in the sources that hold the literal, if there are any. What is too large to go out loses the saved paths that
+        source_info asked for, then whole items."""
         selected = exact.select(self.sources, ids, prefix, source_class)
         rows = selected.join(self.objects, "digest", "left").withColumn("bad", E.digest(F.col("content")) != F.col("digest"))
         if mode == "decoded":
@@ -364,7 +376,16 @@ class View:
         if facts.pop("bad"):
             raise EngineError("OBJECT_INTEGRITY_FAILURE")
         found = [r.asDict() for r in exact.items(rows.select("source_id", "content"), literal, limit).collect()] if facts["items"] else []
-        return facts | {"generation": self.generation, "items": found, "summary": self._summary(facts["selected_sources"], facts.pop("gaps"))}
+        if source_info and found:
+            shown = self._infos({i["source_id"] for i in found})
+            found = [{**i, "source_info": shown[i["source_id"]]} for i in found]
+        answer = facts | {"generation": self.generation, "items": found, "summary": self._summary(facts["selected_sources"], facts.pop("gaps"))}
+        return results.fit(answer, keep_items=True)
+
+    def _infos(self, ids: set[str]) -> dict[str, dict]:
+        """The saved locators of at most 64 sources."""
+        rows = self.sources.filter(F.col("source_id").isin(sorted(ids))).select("source_id", results.source_info(F.col("path")).alias("info")).collect()
+        return {r["source_id"]: r["info"].asDict() for r in rows}
 
     def search(self, query: str, limit: int = 10, source_class: str | None = None) -> list[dict]:
         """Hits with rank, score, evidence and a verified excerpt; a hit whose bytes are missing keeps its rank as a gap.
@@ -376,10 +397,10 @@ class View:
         counts = {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(terms)).collect()}  # a row a query term
         if not counts:
             return []
-        scored = ranked.scores_from_postings(self.postings, list(counts), self.current["points"], avg, "source_id", "unit", "source_class", counts=counts)
-        if source_class is not None:
-            scored = scored.filter(F.col("source_class") == source_class)
-        best = {(r["source_id"], r["unit"]): r for r in ranked.ranked(scored, limit, point="unit").collect()}  # at most 64 rows
+        index = self.postings if source_class is None else self.postings.filter(F.col("source_class") == source_class)
+        scored = ranked.scores_from_postings(index, list(counts), self.current["points"], avg, "source_id", "unit", "source_class", counts=counts)
+        found = ranked.best(scored, limit, point="unit").collect()  # at most 64 rows
+        best = {(r["source_id"], r["unit"]): {**r.asDict(), "rank": i} for i, r in enumerate(found, 1)}
         if not best:
             return []
         units = self.units.drop("text").filter(F.col("source_id").isin([s for s, _ in best]) & F.col("unit").isin([u for _, u in best]))
@@ -399,15 +420,17 @@ class View:
                 raise EngineError("OBJECT_INTEGRITY_FAILURE")
             a, e = ranked.excerpt(held[key], E.excerpt_terms(query))
             out.append(item | {"kind": "hit", "excerpt": {"start": r["start"] + a, "end": r["start"] + e, "text": held[key][a:e].decode()}})
-        return out
+        return out[: results.fitting(out)]
 
     def _verified(self, rows: dict) -> dict:
         """The bytes of units by key; None where the object isn't the one named. Objects that are missing have no entry."""
-        wanted = F.broadcast(self.engine.spark.createDataFrame([(*k, r["digest"], r["start"], r["end"]) for k, r in rows.items()], "source_id string, unit long, digest string, start long, end long"))
+        spans = [{k: r[k] for k in ("source_id", "unit", "digest", "start", "end")} for r in rows.values()]  # at most 64
+        kind = "array<struct<source_id:string,unit:long,digest:string,start:long,end:long>>"
+        wanted = F.filter(F.from_json(F.lit(json.dumps(spans)), kind), lambda x: x["digest"] == F.col("digest"))
         held = self.objects.filter(F.col("digest").isin(sorted({r["digest"] for r in rows.values()})))
-        held = held.withColumn("fine", E.digest(F.col("content")) == F.col("digest")).join(wanted, "digest")
-        body = F.expr("substring(content, cast(start as int) + 1, cast(end - start as int))")
-        got = held.select("source_id", "unit", F.when(F.col("fine"), body).alias("body")).collect()
+        held = held.select("content", (E.digest(F.col("content")) == F.col("digest")).alias("fine"), F.explode(wanted).alias("u"))
+        body = F.expr("substring(content, cast(u.start as int) + 1, cast(u.end - u.start as int))")
+        got = held.select("u.source_id", "u.unit", F.when(F.col("fine"), body).alias("body")).collect()
         return {(r["source_id"], r["unit"]): r["body"] and bytes(r["body"]) for r in got}
 
     def read(self, source_id: str) -> bytes:
@@ -433,9 +456,10 @@ class View:
             raise EngineError("UNIT_OUT_OF_RANGE")
         return {"state": "ready", **found[0].asDict()}
 
-    def window(self, query: str | None = None, literal=None, limit: int = 10, **options) -> Window:
-        """A retained answer of a ranked query or an exact literal."""
-        items = self.search(query, limit) if query is not None else self.exact(literal, limit=limit)["items"]
+    def window(self, query: str | None = None, literal=None, limit: int = 10, mode: str = "decoded", scope: dict | None = None, **options) -> Window:
+        """A retained answer of a ranked query or an exact literal; scope: the other arguments of search() or exact()."""
+        scope = scope or {}
+        items = self.search(query, limit, **scope) if query is not None else self.exact(literal, mode, limit, **scope)["items"]
         return Window(items, self.generation, self.read, **options)
 
 

@@ -41,6 +41,12 @@ def totals(sources: DataFrame) -> tuple[int, int]:
     return r["n"], r["b"]
 
 
+def page(sources: DataFrame, size: int, after=None, key: str = "source_id") -> DataFrame:
+    """The next `size` rows in the order of the key, from behind the last one seen."""
+    rest = sources if after is None else sources.filter(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(size)
+
+
 def preflight(changes: DataFrame, max_sources: int | None, max_bytes: int | None) -> None:
     """Projected totals against the limits, before anything is written."""
     r = changes.filter("action <> 'removed'").agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
+from quarrylight.schemas import MAX_ARTIFACT_BYTES, MAX_SOURCE_BYTES
 
 #: Fixed value: the algorithm is named with every digest.
 DIGEST_ALG = "sha256"
@@ -45,3 +46,12 @@ def closure(marked: DataFrame, preparations: DataFrame) -> DataFrame:
 
 def unreferenced(objects: DataFrame, marked: DataFrame) -> DataFrame:
     return objects.join(marked.select("kind", "digest"), ["kind", "digest"], "left_anti")
+
+
+def candidates(entries: DataFrame) -> DataFrame:
+    """kind, digest, bytes of entries (name, bytes) that a sweep may touch: those with an object's own name and a size
+    that its kind allows. All other entries are left alone."""
+    part = lambda k: F.regexp_extract("name", r"\Av1-(source|prepared)-([0-9a-f]{64})\z", k)
+    most = F.when(F.col("kind") == "source", MAX_SOURCE_BYTES).otherwise(MAX_ARTIFACT_BYTES)
+    named = entries.select(part(1).alias("kind"), part(2).alias("digest"), "bytes").filter("kind <> ''")
+    return named.filter((F.col("bytes") >= 0) & (F.col("bytes") <= most))

@@ -49,6 +49,12 @@ class UnitTooLarge(ValueError):
     pass
 
 
+def _line_facts(ends: list[int], s: int, e: int) -> tuple[int, int, bool, bool]:
+    """First line, line after, and whether a unit starts and ends at a line, from the offsets behind each line."""
+    first, last = bisect.bisect_right(ends, s), bisect.bisect_left(ends, e)
+    return first, last + 1, s == 0 or first > 0 and ends[first - 1] == s, ends[last] == e
+
+
 def units(data: bytes, preferred: int, hard: int) -> list[tuple]:
     """Contiguous units covering data: (start, end, first line, line after, starts at a line, ends at a line)."""
     ends, out, s, n = line_ends(data), [], 0, len(data)
@@ -72,9 +78,7 @@ def units(data: bytes, preferred: int, hard: int) -> list[tuple]:
                     e += 1
             if e > most:
                 raise UnitTooLarge
-        first = bisect.bisect_right(ends, s)
-        last = bisect.bisect_left(ends, e)
-        out.append((s, e, first, last + 1, s == 0 or s == ends[first - 1] if first else s == 0, ends[last] == e))
+        out.append((s, e, *_line_facts(ends, s, e)))
         s = e
     return out
 
@@ -117,11 +121,50 @@ def unit_rows(prepared: DataFrame, *keep: str) -> DataFrame:
     return rows.select("source_id", *keep, F.col("unit").cast("long").alias("unit"), "u.*", body.alias("body"))
 
 
-def accepted(rows: DataFrame) -> DataFrame:
-    """Saved units (source_id, unit, start, end, content, hard) whose layout isn't contiguous, covering, on
-    character boundaries and within the hard size; the preferred layout is not asked for."""
-    before = F.lag("end", 1, 0).over(Window.partitionBy("source_id").orderBy("unit"))
-    last = F.max("end").over(Window.partitionBy("source_id"))
-    edge = F.expr("start >= octet_length(content) or start = 0 or (conv(hex(substring(content, cast(start as int) + 1, 1)), 16, 10) & 192) <> 128")
-    fine = (F.col("start") == before) & (last == F.octet_length("content")) & (F.col("end") > F.col("start")) & (F.col("end") - F.col("start") <= F.col("hard")) & edge
-    return rows.withColumn("fine", fine).filter("not fine")
+def layout_fault(data: bytes, spans: list[dict], hard: int) -> str | None:
+    """What is wrong with saved units of data, their coverage first; the preferred layout is not asked for."""
+    at = 0
+    for u in spans:
+        if u["start"] != at or not at < u["end"] <= len(data):
+            return "coverage"
+        at = u["end"]
+    if at != len(data):
+        return "coverage"
+    ends = line_ends(data)
+    for u in spans:
+        s, e = u["start"], u["end"]
+        if e - s > hard:
+            return "unit_size"
+        if e < len(data) and data[e] & 0xC0 == 0x80:
+            return "character"
+        facts = _line_facts(ends, s, e)
+        if (u["line_start"], u["line_end"]) != facts[:2]:
+            return "line_range"
+        if (u["starts_at_line_boundary"], u["ends_at_line_boundary"]) != facts[2:]:
+            return "flags"
+    return None
+
+
+def inspected(artifacts: DataFrame, hard: int) -> DataFrame:
+    """artifacts (with digest, bytes, content and units) with fault: null where bytes and saved units hold together."""
+    bound = F.when(F.col("content").isNull(), "missing").when(F.octet_length("content") != F.col("bytes"), "size").when(E.digest(F.col("content")) != F.col("digest"), "digest")
+    checked = artifacts.withColumn("fault", bound)
+
+    def run(batches):
+        for batch in batches:
+            faults = batch.column("fault").to_pylist()
+            contents, spans = batch.column("content"), batch.column("units")
+            for i, found in enumerate(faults):
+                if found is None:
+                    faults[i] = layout_fault(contents[i].as_buffer().to_pybytes(), spans[i].as_py() or [], hard)
+            yield batch.set_column(batch.schema.get_field_index("fault"), "fault", pa.array(faults, pa.string()))
+
+    return checked.mapInArrow(run, checked.schema)
+
+
+def accepted(artifacts: DataFrame, expected: DataFrame, hard: int) -> DataFrame:
+    """inspected(), and bound to what is expected of them: source_id, digest, bytes."""
+    wanted = expected.select("source_id", F.col("digest").alias("wanted_digest"), F.col("bytes").alias("wanted_bytes"))
+    other = F.col("wanted_digest").isNull() | (F.col("wanted_digest") != F.col("digest")) | (F.col("wanted_bytes") != F.col("bytes"))
+    held = inspected(artifacts, hard).join(wanted, "source_id", "left")
+    return held.withColumn("fault", F.when(other, "binding").otherwise(F.col("fault"))).drop("wanted_digest", "wanted_bytes")

@@ -73,17 +73,24 @@ def scores_from_postings(index: DataFrame, terms: list[str], n: int, avgdl: floa
     else:
         known = F.create_map(*(F.lit(x) for t, c in counts.items() for x in (t, float(c))))
         joined = held.withColumn("df", F.element_at(known, F.col("term")))
+    if "source_id" in keys:  # one shuffle for the sums and for ranked()'s windows by source; a source's bytes are bounded
+        joined = joined.repartition("source_id")
     score = _bm25(F.col("tf").cast("double"), F.col("df"), F.lit(float(n)), F.col("dl").cast("double"), F.lit(float(avgdl)))
     # Rounded, so that the order of the terms in a sum never decides between equal units.
     return joined.groupBy(*keys).agg(F.round(F.sum(score), 9).alias("score"))
 
 
-def ranked(scored: DataFrame, limit: int, per_source: int = MAX_UNITS_PER_SOURCE, point: str = "unit") -> DataFrame:
-    """The best units by weighted score, ties by source and unit, at most `per_source` of one source."""
-    weighted = scored.withColumn("score", (F.col("score") * class_weight(F.col("source_class"))))
+def best(scored: DataFrame, limit: int, per_source: int = MAX_UNITS_PER_SOURCE, point: str = "unit") -> DataFrame:
+    """The best units by weighted score, ties by source and unit, at most `per_source` of one source, in order."""
+    weighted = scored.withColumn("score", F.col("score") * class_weight(F.col("source_class")))
     own = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), point))
-    best = weighted.withColumn("own", own).filter(F.col("own") <= per_source).drop("own").orderBy(F.desc("score"), "source_id", point).limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source_id", point)))  # at most 64 rows
+    return weighted.withColumn("own", own).filter(F.col("own") <= per_source).drop("own").orderBy(F.desc("score"), "source_id", point).limit(limit)
+
+
+def ranked(scored: DataFrame, limit: int, per_source: int = MAX_UNITS_PER_SOURCE, point: str = "unit") -> DataFrame:
+    """best() with rank."""
+    order = Window.orderBy(F.desc("score"), "source_id", point)
+    return best(scored, limit, per_source, point).withColumn("rank", F.row_number().over(order))  # at most 64 rows
 
 
 def excerpt(data: bytes, terms: list[str]) -> tuple[int, int]:

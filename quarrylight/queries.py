@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylight.engine import Engine
 from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
-from quarrylight.operators import exact, inventory, objects, prepare, ranked
+from quarrylight.operators import exact, inventory, objects, prepare, ranked, results
 from quarrylight.operators.windows import Window
 from quarrylight.plans.generation import faults, with_points
 from quarrylight.sources import tables
@@ -211,20 +211,47 @@ own as (select *, row_number() over (partition by source_id order by score desc,
 best as (select source_id, unit, score from own where k <= 2 order by score desc, source_id, unit limit 64)"""
 
 
-def unit_scores(spark, sf_dir):
-    rows = prepare.unit_rows(units(spark, sf_dir), "source_class").withColumn("text", F.decode("body", "UTF-8"))
-    return ranked.scores(rows.select("source_id", "source_class", "unit", "start", "end", "line_start", "line_end", "body", "text"), TERMS).withColumn("score", F.round("score", 9))
+VIEW_BEST = UNIT_BM25.replace("order by score desc, source_id, unit limit 64", "order by score desc, sha256(path), unit limit 64")
+VIEW_BEST = VIEW_BEST.replace("from own where k <= 2", "from own join sources using (source_id) where k <= 2")
 
 
-@query(f"with {UNIT_BM25} select source_id, unit, round(score, 6) as score, row_number() over (order by score desc, source_id, unit)::int as rank from best")
+def _best(spark, sf_dir, source_class=None):
+    """The served generation and its 64 best units by the stored postings, with their spans."""
+    view = engine(spark, sf_dir).pin()
+    index = view.postings if source_class is None else view.postings.filter(F.col("source_class") == source_class)
+    counts = {r["term"]: r["df"] for r in view.terms.filter(F.col("term").isin(TERMS)).collect()}  # a row a query term
+    keys = ("source_id", "unit", "source_class")
+    scored = ranked.scores_from_postings(index, list(counts), view.current["points"], view.current["tokens"] / view.current["points"], *keys, counts=counts)
+    best = ranked.ranked(scored, 64)
+    return view, view.units.drop("source_class").join(F.broadcast(best), ["source_id", "unit"])  # at most 64 rows
+
+
+@query(f"with {VIEW_BEST} select path, unit, round(score, 6) as score, row_number() over (order by score desc, sha256(path), unit)::int as rank from best join sources using (source_id)")
 def ranked_diverse(spark, sf_dir):
-    return ranked.ranked(unit_scores(spark, sf_dir), 64).select("source_id", "unit", F.round("score", 6).alias("score"), "rank")
+    return _best(spark, sf_dir)[1].select("path", "unit", F.round("score", 6).alias("score"), "rank")
+
+
+CLASS_BEST = VIEW_BEST.replace("from own join sources using (source_id) where k <= 2", "from own join sources using (source_id) where k <= 2 and source_class = 'documentation'")
+
+
+@query(f"with {CLASS_BEST} select path, unit, round(score, 6) as score, row_number() over (order by score desc, sha256(path), unit)::int as rank from best join sources using (source_id)")
+def ranked_class(spark, sf_dir):
+    """The hits of one source class; the terms' frequencies are those of all classes."""
+    return _best(spark, sf_dir, "documentation")[1].select("path", "unit", F.round("score", 6).alias("score"), "rank")
+
 
+def _bodies(spark, sf_dir):
+    """The best units with the bytes that the object store holds for them."""
+    view, best = _best(spark, sf_dir)
+    held = view.objects.join(F.broadcast(best.drop("text")), "digest")  # at most 64 rows
+    return held.withColumn("body", F.expr("substring(content, cast(start as int) + 1, cast(end - start as int))")).drop("content")
 
-@query(f"""with {UNIT_BM25} select source_id, unit, u.start, u."end", u.line_start, u.line_end, sha256(encode(body)) as body_digest from best join units u using (source_id, unit) join bodies using (source_id, unit)""")
+
+@query(f"""with {VIEW_BEST} select path, unit, u.start, u."end", u.line_start, u.line_end, sha256(encode(body)) as body_digest
+from best join units u using (source_id, unit) join bodies using (source_id, unit) join sources using (source_id)""")
 def evidence_join(spark, sf_dir):
-    best = ranked.ranked(unit_scores(spark, sf_dir), 64)
-    return best.select("source_id", "unit", "start", "end", "line_start", "line_end", E.digest(F.col("body")).alias("body_digest"))
+    best = _bodies(spark, sf_dir)
+    return best.select("path", "unit", "start", "end", "line_start", "line_end", E.digest(F.col("body")).alias("body_digest"))
 
 
 EXCERPTS = f"""
@@ -238,13 +265,12 @@ shown as (
          list_max(list_filter([least(n, s + 512) - i for i in range(4)], lambda p: p >= n or substr(h, (2 * p + 1)::bigint, 1) not in ('8', '9', 'A', 'B')))::bigint as excerpt_end from begun)"""
 
 
-@query(f"with {UNIT_BM25}, {EXCERPTS} select * from shown")
+@query(f"with {VIEW_BEST}, {EXCERPTS} select path, unit, excerpt_start, excerpt_end from shown join sources using (source_id)")
 def excerpts(spark, sf_dir):
     """Spans shown of all hits' units: whole short ones, else around the first of the longest terms found."""
-    best = ranked.ranked(unit_scores(spark, sf_dir), 64)
     terms = E.excerpt_terms(QUERY)
     span = F.udf(lambda body: ranked.excerpt(bytes(body), terms), "struct<excerpt_start:long,excerpt_end:long>")
-    return best.select("source_id", "unit", span("body").alias("span")).select("source_id", "unit", "span.*")
+    return _bodies(spark, sf_dir).select("path", "unit", span("body").alias("span")).select("path", "unit", "span.*")
 
 
 @query(f"with recursive {UNITS} select source_id, unit, lower('0000000000000001' || lpad(hex(row_number() over (order by source_id, unit) - 1), 16, '0')) as point_id from units")
@@ -360,6 +386,81 @@ def exact_missing_summary(spark, sf_dir):
     return exact.summary(d, ABSENT)
 
 
+@query(f"with {SOURCES} select path, source_class from sources order by path limit 100 offset 100")
+def inventory_page(spark, sf_dir):
+    """The second page of 100 of the inventory, from behind the first page's last row."""
+    d = docs(spark, sf_dir).select("path", "source_class")
+    last = inventory.page(d, 100, key="path").agg(F.max("path")).first()[0]
+    return inventory.page(d, 100, last, key="path")
+
+
+@query("""select sha256(encode(text)) as digest, case when doc_id % 3 = 0 then 'prepared' else 'source' end as kind, strlen(text)::bigint * 20000 as bytes from documents
+where doc_id % 5 <> 0 and doc_id % 7 <> 0 and strlen(text)::bigint * 20000 <= case when doc_id % 3 = 0 then 67108864 else 8388608 end""")
+def sweep_candidates(spark, sf_dir):
+    """Entries of an object folder that a sweep may touch: some names are cut, some have other letters or bytes behind."""
+    d, kind = docs(spark, sf_dir), F.when(F.col("source_id") % 3 == 0, "prepared").otherwise("source")
+    name = E.object_name(kind, E.digest(F.col("content")))
+    name = F.when(F.col("source_id") % 5 == 0, F.concat(name, F.lit("\n"))).when(F.col("source_id") % 7 == 0, F.upper(name)).otherwise(name)
+    return objects.candidates(d.select(name.alias("name"), (F.octet_length("content").cast("long") * 20000).alias("bytes")))
+
+
+@query(f"""with {SOURCES},
+named as (select source_id, case when source_id % 11 = 0 then path[2:] when source_id % 50 = 1 then path || repeat('x', 70000) when source_id % 17 = 0 then 'file:' || path else path end as p from sources)
+select source_id, case when source_id % 11 = 0 or strlen(p) > 65536 then 'unavailable' else 'available' end as status, case when not (source_id % 11 = 0 or strlen(p) > 65536) then p end as saved_path_hint,
+  case when source_id % 11 = 0 then 'invalid_locator' when strlen(p) > 65536 then 'output_limit' end as reason, 'not_checked' as live_status from named""")
+def source_infos(spark, sf_dir):
+    """Saved locators as they are shown: relative paths and paths of more than 64 KiB are not."""
+    path, i = F.col("path"), F.col("source_id")
+    path = F.when(i % 11 == 0, F.substring(path, 2, 1 << 20)).when(i % 50 == 1, F.concat(path, F.repeat(F.lit("x"), 70000))).when(i % 17 == 0, F.concat(F.lit("file:"), path)).otherwise(path)
+    shown = docs(spark, sf_dir).select("source_id", path.alias("path"))
+    return shown.select("source_id", results.source_info(F.col("path")).alias("info")).select("source_id", "info.*")
+
+
+@query(f"""with parts as (select doc_id as source_id, string_split(text, '{LITERAL}') as p from documents where contains(text, '{LITERAL}')),
+flat as (select source_id, unnest(list_transform(range(1, len(p)), lambda i: strlen(array_to_string(p[1:i], '{LITERAL}'))))::bigint as start from parts),
+first as (select *, row_number() over (order by source_id, start)::int - 1 as position from flat qualify position < 64),
+sized as (select *, sum(strlen('{{"source_id":' || source_id || ',"start":' || start || '}}') + 1) over (order by position) as s from first)
+select position, source_id, start from sized where s - 1 + 2 <= 1000""")
+def output_fit(spark, sf_dir):
+    """As many whole items as 1000 bytes of JSON hold."""
+    items = [{"source_id": r["source_id"], "start": r["start"]} for r in exact.items(docs(spark, sf_dir), LITERAL, 64).collect()]
+    rows = [(i, x["source_id"], x["start"]) for i, x in enumerate(items[: results.fitting(items, 1000)])]
+    return spark.createDataFrame(rows, "position int, source_id long, start long")
+
+
+@query(f"""with {SOURCES},
+kept as (select * from sources where source_id % 3 <> 0),
+gone as (select distinct text from sources where text not in (select text from kept))
+select (select count(*) from kept) as sources, (select count(distinct text) from kept) as marked, (select count(distinct text) from kept) as verified, (select count(*) from gone) as deleted,
+  (select sum({OCCURS.format(LITERAL)}) from kept)::bigint as matches, (select count(*) from sources where source_id % 3 = 0) as changed""")
+def sweep_after_removal(spark, sf_dir):
+    """A root that lost a third of its sources: the next generation, and the objects left after a sweep."""
+    folder, d = _shared(spark), docs(spark, sf_dir)
+    made = Engine(spark, f"{folder}/store").initialize()
+    made.settings(PREFERRED, HARD)
+    made.index_rows(d.select("path", "content"))
+    changed = made.index_rows(d.filter("source_id % 3 <> 0").select("path", "content"))["changed"]
+    swept = made.collect_objects(grace_s=0)
+    row = (made.open_verified().sources.count(), swept["marked"], swept["verified"], swept["deleted"], made.exact(LITERAL)["matches"], changed)
+    made.root.delete_path(folder)
+    return spark.createDataFrame([row], "sources long, marked long, verified long, deleted long, matches long, changed long")
+
+
+@query(f"""with {SOURCES},
+one as (select path, 2::bigint as row_revision, sha256(encode('other bytes')) as digest from sources where source_id = (select min(source_id) from sources))
+select path, 1::bigint as row_revision, sha256(encode(text)) as digest from sources where path not in (select path from one) union all select * from one""")
+def inventory_upsert(spark, sf_dir):
+    """One row set to other bytes by compare-and-set, after a stale expectation was refused."""
+    d = docs(spark, sf_dir)
+    path = d.orderBy("source_id").first()["path"]
+    saved = d.select("path", F.lit(1).cast("long").alias("row_revision"), E.digest(F.col("content")).alias("digest"), F.octet_length("content").cast("long").alias("bytes"))
+    other = spark.range(1).select(E.digest(F.encode(F.lit("other bytes"), "UTF-8"))).first()[0]
+    try:
+        inventory.upsert(saved, path, 7, other, 11)
+    except EngineError as e:
+        return inventory.upsert(saved, path, 1, other, 11)[0].drop("bytes") if e.code == "SOURCE_STALE" else None
+
+
 @query("select count(*) as n, sum(strlen(text))::bigint as bytes from documents")
 def inventory_totals(spark, sf_dir):
     n, size = inventory.totals(docs(spark, sf_dir).select("path", F.octet_length("content").cast("long").alias("bytes")))
@@ -378,15 +479,24 @@ def verified_reads(spark, sf_dir):
 
 
 @query(f"""with recursive {UNITS},
-moved as (select source_id, unit, start, case when source_id % 10 = 0 and unit = 0 and "end" > 1 then "end" - 1 else "end" end as e, h from units where not (source_id % 13 = 0 and unit = 1)),
-chained as (select *, coalesce(lag(e) over (partition by source_id order by unit), 0) as before, max(e) over (partition by source_id) as last from moved)
-select source_id, unit from chained where start <> before or last <> length(h) // 2 or e <= start or e - start > {HARD}""")
+counted as (select source_id, count(*) as n, max("end") filter (unit = 0) as first_end from units group by source_id)
+select source_id, case when source_id % 23 = 0 then 'digest' when source_id % 13 = 0 and n > 1 or source_id % 10 = 0 and first_end > 1 then 'coverage'
+  when source_id % 17 = 0 then 'line_range' when source_id % 19 = 0 then 'flags' end as fault
+from counted where source_id % 23 = 0 or source_id % 13 = 0 and n > 1 or source_id % 10 = 0 and first_end > 1 or source_id % 17 = 0 or source_id % 19 = 0""")
 def saved_layouts(spark, sf_dir):
-    """Saved units that don't chain or cover: some moved by a byte, some left out."""
-    rows = units(spark, sf_dir).filter("gap is null").select("source_id", "content", F.posexplode("units").alias("unit", "u"))
-    end = F.when((F.col("source_id") % 10 == 0) & (F.col("unit") == 0) & (F.col("u.end") > 1), F.col("u.end") - 1).otherwise(F.col("u.end"))
-    saved = rows.filter("not (source_id % 13 = 0 and unit = 1)").select("source_id", F.col("unit").cast("long").alias("unit"), "u.start", end.alias("end"), "content", F.lit(HARD).alias("hard"))
-    return prepare.accepted(saved).select("source_id", "unit")
+    """Saved units that don't hold with their bytes: some moved by a byte, some left out, some with other lines or flags."""
+    rows = units(spark, sf_dir).filter("gap is null and size(units) > 0")
+    rows = rows.withColumn("digest", F.when(F.col("source_id") % 23 == 0, E.digest(F.lit(""))).otherwise(E.digest(F.col("content"))))
+    rows = rows.withColumn("bytes", F.octet_length("content").cast("long"))
+    first = F.col("units")[0]
+    changed = (
+        F.when((F.col("source_id") % 13 == 0) & (F.size("units") > 1), F.expr("filter(units, (u, i) -> i <> 1)"))
+        .when((F.col("source_id") % 10 == 0) & (first["end"] > 1), F.expr("transform(units, (u, i) -> named_struct('start', u.start, 'end', u.end - if(i = 0, 1, 0), 'line_start', u.line_start, 'line_end', u.line_end, 'starts_at_line_boundary', u.starts_at_line_boundary, 'ends_at_line_boundary', u.ends_at_line_boundary))"))
+        .when(F.col("source_id") % 17 == 0, F.expr("transform(units, u -> named_struct('start', u.start, 'end', u.end, 'line_start', u.line_start, 'line_end', u.line_end + 1, 'starts_at_line_boundary', u.starts_at_line_boundary, 'ends_at_line_boundary', u.ends_at_line_boundary))"))
+        .when(F.col("source_id") % 19 == 0, F.expr("transform(units, u -> named_struct('start', u.start, 'end', u.end, 'line_start', u.line_start, 'line_end', u.line_end, 'starts_at_line_boundary', not u.starts_at_line_boundary, 'ends_at_line_boundary', u.ends_at_line_boundary))"))
+        .otherwise(F.col("units"))
+    )
+    return prepare.inspected(rows.withColumn("units", changed), HARD).filter("fault is not null").select("source_id", "fault")
 
 
 @query(f"""with recursive {UNITS},
@@ -495,9 +605,6 @@ def query_summary(spark, sf_dir):
     return spark.createDataFrame([row], "published_sources long, published_preparation_gaps long, selected_sources long, selected_preparation_gaps long, known_control_lag boolean")
 
 
-VIEW_BEST = UNIT_BM25.replace("order by score desc, source_id, unit limit 64", "order by score desc, sha256(path), unit limit 64").replace("from own where k <= 2", "from own join sources using (source_id) where k <= 2")
-
-
 @query(f"""with {VIEW_BEST}, {EXCERPTS}
 select path, unit, round(score, 6) as score, row_number() over (order by score desc, sha256(path), unit)::int as rank, u.start + excerpt_start as excerpt_start, u.start + excerpt_end as excerpt_end, 'hit' as kind
 from best join shown using (source_id, unit) join units u using (source_id, unit) join sources using (source_id)""")

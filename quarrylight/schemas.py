@@ -7,6 +7,7 @@ MAX_LINES = MAX_UNITS = 1_000_000
 PREFERRED_UNIT_BYTES, MAX_UNIT_BYTES = 16_384, 65_536
 MAX_QUERY_BYTES, MAX_ITEMS, EXCERPT_BYTES, EXCERPT_BEFORE = 4096, 64, 512, 128
 PAGE_ITEMS, EXPANSION_BYTES, WINDOW_TTL_S, FRAME_BYTES = 16, 65_536, 120, 8 << 20
+MAX_LOCATOR_BYTES = 65_536
 MAX_UNITS_PER_SOURCE, MAX_RETIRED = 2, 8
 CLASS_WEIGHTS = {"primary": 1.0, "documentation": 0.65, "vendor": 0.35}
 BM25_K, BM25_B = 1.2, 0.75

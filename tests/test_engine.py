@@ -2,6 +2,8 @@
 
 import os
 import random
+import threading
+import time
 
 import duckdb
 import pytest
@@ -11,8 +13,8 @@ from quarrylight import queries
 from quarrylight.engine import Engine
 from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
-from quarrylight.operators import exact, inventory, objects, prepare, ranked
-from quarrylight.operators.windows import Window
+from quarrylight.operators import exact, inventory, objects, prepare, ranked, results
+from quarrylight.operators.windows import Window, check_page
 from quarrylight.sources import files
 from quarrylight.streaming.watch import watch
 
@@ -67,9 +69,30 @@ def test_gaps(spark):
 
 
 def test_saved_layout_is_accepted(spark):
-    rows = [(1, 0, 0, 5), (1, 1, 5, 12), (2, 0, 0, 4), (2, 1, 5, 12), (3, 0, 0, 12)]
-    frame = spark.createDataFrame([(*r, bytearray(b"abcdefghijkl"), 8) for r in rows], "source_id int, unit long, start long, end long, content binary, hard int")
-    assert {r.source_id for r in prepare.accepted(frame).collect()} == {2, 3}
+    frame = spark.createDataFrame([(1, bytearray(LAYOUT))], "source_id int, content binary")
+    made = prepare.prepare(frame, 5, 9).withColumn("digest", E.digest(F.col("content"))).withColumn("bytes", F.octet_length("content").cast("long"))
+    assert prepare.inspected(made, 9).first().fault is None and prepare.inspected(made, 6).first().fault == "unit_size"
+    assert prepare.accepted(made, made, 9).first().fault is None
+    assert prepare.accepted(made, made.withColumn("bytes", F.lit(1).cast("long")), 9).first().fault == "binding"
+    assert prepare.accepted(made, made.filter("false"), 9).first().fault == "binding"
+    assert prepare.inspected(made.withColumn("bytes", F.lit(1).cast("long")), 9).first().fault == "size"
+    assert prepare.inspected(made.withColumn("content", F.lit(None).cast("binary")), 9).first().fault == "missing"
+    spans = [u.asDict() for u in made.first().units]
+    assert prepare.layout_fault(LAYOUT, spans, 9) is None and prepare.layout_fault(b"", [], 9) is None
+    odd = "long_é".encode()
+    whole = {"start": 0, "end": 6, "line_start": 0, "line_end": 1, "starts_at_line_boundary": True, "ends_at_line_boundary": False}
+    rest = {"start": 6, "end": 7, "line_start": 0, "line_end": 1, "starts_at_line_boundary": False, "ends_at_line_boundary": True}
+    assert prepare.layout_fault(odd, [whole, rest], 9) == "character" and prepare.layout_fault(odd, [], 9) == "coverage"
+    assert prepare.layout_fault(odd, [{**whole, "end": 9}], 9) == "coverage"
+    for k in range(len(spans)):
+        for key, fault in (("line_start", "line_range"), ("line_end", "line_range"), ("starts_at_line_boundary", "flags"), ("ends_at_line_boundary", "flags")):
+            bad = [{**u, key: (not u[key]) if fault == "flags" else u[key] + 1} if i == k else u for i, u in enumerate(spans)]
+            assert prepare.layout_fault(LAYOUT, bad, 9) == fault
+    r = random.Random(2)
+    for _ in range(300):
+        data = "".join(r.choice("aβ漢\U0001f600\r\n ") for _ in range(r.randrange(40))).encode()
+        keys = ("start", "end", "line_start", "line_end", "starts_at_line_boundary", "ends_at_line_boundary")
+        assert prepare.layout_fault(data, [dict(zip(keys, u)) for u in prepare.units(data, 4, 9)], 9) is None
 
 
 def test_classes(spark):
@@ -134,7 +157,7 @@ def test_ranked_excerpt():
 
 
 def test_excerpts_of_all_hits(spark, sf_dir):
-    rows = ranked.ranked(queries.unit_scores(spark, sf_dir), 64).select("source_id", "unit", "body").collect()
+    rows = queries._bodies(spark, sf_dir).select("path", "unit", "body").collect()
     want = {}
     for r in rows:
         text = bytes(r["body"]).decode()
@@ -144,8 +167,8 @@ def test_excerpts_of_all_hits(spark, sf_dir):
             start = min(max(0, places[0][0] - (512 - places[0][1]) // 2), len(data) - 512)
         bounds = [len(text[:i].encode()) for i in range(len(text) + 1)]
         start = min(b for b in bounds if b >= start)
-        want[r["source_id"], r["unit"]] = (start, max(b for b in bounds if b <= start + 512))
-    got = {(r["source_id"], r["unit"]): (r["excerpt_start"], r["excerpt_end"]) for r in queries.excerpts(spark, sf_dir).collect()}
+        want[r["path"], r["unit"]] = (start, max(b for b in bounds if b <= start + 512))
+    got = {(r["path"], r["unit"]): (r["excerpt_start"], r["excerpt_end"]) for r in queries.excerpts(spark, sf_dir).collect()}
     assert got == want and len(got) == 64 and any(len(r["body"]) > 512 for r in rows)
 
 
@@ -188,6 +211,120 @@ def test_window():
         w.page()
 
 
+def test_output_fit():
+    items = [{"source_id": k, "text": "é" * 10} for k in range(5)]
+    whole = results.size(items)
+    assert [results.fitting(items, n) for n in (0, 2, whole - 1, whole)] == [0, 0, 4, 5] and results.fitting([], 2) == 0
+    shown = {"status": "available", "saved_path_hint": "/" + "p" * 300, "reason": None, "live_status": "not_checked"}
+    answer = {"items": [{**i, "source_info": shown} for i in items], "stop": "complete", "matches": 5}
+    assert results.fit(answer) == answer
+    small = results.fit(answer, 1200, keep_items=True)
+    assert len(small["items"]) == 5 and small["stop"] == "complete" and small["matches"] == 5
+    assert {i["source_info"]["reason"] for i in small["items"]} == {"output_limit"} and answer["items"][0]["source_info"] is shown
+    cut = results.fit(answer, 1200)
+    assert 0 < len(cut["items"]) < 5 and cut["stop"] == "output_limit" and results.size(cut) <= 1200
+
+
+def test_source_info(spark):
+    paths = {"/a/b": "available", "file:/a": "available", "s3a://b/k": "available", "a/b": "invalid_locator", "": "invalid_locator", "/a\0": "invalid_locator", None: "invalid_locator", "/" + "x" * 65_536: "output_limit"}
+    frame = spark.createDataFrame([(p,) for p in paths], "path string").select("path", results.source_info(F.col("path")).alias("i"))
+    got = {r.path: r.i for r in frame.collect()}
+    assert {p: i.reason or i.status for p, i in got.items()} == paths and all((i.saved_path_hint is None) == (i.status == "unavailable") for i in got.values())
+
+
+def test_pages_are_checked():
+    items = [{"kind": "match", "source_id": "a", "start": k, "end": k + 1} for k in range(3)] + [{"kind": "gap", "source_id": "b", "start": None}]
+    w = Window(items, 1, None)
+    page = w.page(3)
+    check_page(page, [], 3)
+    w.ack(0, 3)
+    check_page(w.page(3), items[:3], 3)
+    for change in ({"generation": 0}, {"first": 1}, {"next": 2}, {"retained": 65}, {"done": True}, {"items": items[:2]}, {"stop": "output_limit"}, {"items": [items[1], items[0], items[2]]}, {"items": [items[0], items[0], items[2]]}):
+        with pytest.raises(EngineError):
+            check_page(page | change, [], 3)
+    hits = [{"kind": "hit", "source_id": "a", "unit": k, "rank": k + 1} for k in range(3)]
+    page = Window(hits, 1, None).page(3)
+    check_page(page, [], 3)
+    for bad in ([hits[1], hits[0], hits[2]], [hits[0], {**hits[0], "rank": 2}, hits[2]]):
+        with pytest.raises(EngineError):
+            check_page(page | {"items": bad}, [], 3)
+    small = Window(items, 1, None, frame=results.size(items[:2]))
+    page = small.page(3)
+    assert (page["next"], page["stop"], page["done"]) == (2, "output_limit", False)
+    check_page(page, [], 3)
+    with pytest.raises(EngineError):
+        Window(items, 1, None, frame=5).page(3)
+
+
+def test_session(spark, sf_dir):
+    engine, now = queries.engine(spark, sf_dir), [0.0]
+    session = engine.session(ttl_s=10, clock=lambda: now[0])
+
+    def refused(code, work):
+        with pytest.raises(EngineError) as e:
+            work()
+        assert e.value.code == code
+
+    refused("WINDOW_NOT_OPEN", lambda: session.next(1))
+    assert session.open(2, literal="tion ", limit=20)["retained"] == 20
+    refused("SESSION_REQUEST_ID_INVALID", lambda: session.next(2))
+    refused("WINDOW_ALREADY_OPEN", lambda: session.open(3, literal="x"))
+    first = session.next(4, 16)
+    session.cancel(4)  # over already
+    refused("SESSION_NO_ACTIVE_REQUEST", lambda: session.cancel(9))
+    assert len(first["items"]) == 16 and session.next(5, 16)["done"] and session.expand(6, 0, 0, 0)["before"][1] == ""
+    # A cancel from another thread ends the running request; the window stays.
+    started, errors = threading.Event(), []
+    held = session.window.page
+    session.window.page = lambda size: (started.set(), spark.range(1 << 40).selectExpr("sum(hash(id))").collect())
+
+    def run():
+        try:
+            session.next(7)
+        except EngineError as e:
+            errors.append(e.code)
+
+    thread = threading.Thread(target=run)
+    thread.start()
+    started.wait(30)
+    refused("SESSION_REQUEST_IN_FLIGHT", lambda: session.next(8))
+    refused("QUERY_RESPONSE_MISMATCH", lambda: session.cancel(99))
+    time.sleep(1)
+    session.cancel(7)
+    thread.join(60)
+    session.window.page = held
+    assert errors == ["QUERY_CANCELLED"] and session.next(8)["done"]
+    now[0] = 11
+    refused("WINDOW_EXPIRED", lambda: session.next(9))
+    session.close(10)
+    refused("WINDOW_CLOSED", lambda: session.next(11))
+
+
+def test_damaged_preparations_are_not_published(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "root")).initialize()
+    rows = spark.createDataFrame([("/a", bytearray(b"one\ntwo")), ("/b", bytearray(b"three"))], "path string, content binary")
+    engine.index_rows(rows)
+    m = engine.root.manifest()
+    folder = engine.root.at("preparations", f"snapshot={m['snapshot']}")
+    spark.read.parquet(folder).withColumn("units", F.expr("transform(units, u -> named_struct('start', u.start, 'end', u.end, 'line_start', u.line_start, 'line_end', u.line_end + 1, 'starts_at_line_boundary', u.starts_at_line_boundary, 'ends_at_line_boundary', u.ends_at_line_boundary))")).write.parquet(str(tmp_path / "bad"))
+    engine.root.delete("preparations", f"snapshot={m['snapshot']}")
+    spark.read.parquet(str(tmp_path / "bad")).write.parquet(folder)
+    engine.root.write_manifest(m | {"wanted_revision": m["wanted_revision"] + 1}, m)
+    with pytest.raises(EngineError) as e:
+        engine.publish()
+    assert e.value.code == "PUBLICATION_GRAPH_INVALID" and engine.exact("three")["matches"] == 1
+
+
+def test_class_lane_and_locators(spark, sf_dir):
+    engine = queries.engine(spark, sf_dir)
+    every, docs = engine.search("the token", 64), engine.search("the token", 64, "documentation")
+    assert {h["source_class"] for h in docs} == {"documentation"} and [h["rank"] for h in docs] == list(range(1, len(docs) + 1))
+    both = {(h["path"], h["unit"]): h["score"] for h in every}
+    assert all(abs(both.get((h["path"], h["unit"]), h["score"]) - h["score"]) < 1e-9 for h in docs)
+    found = engine.exact("tion ", limit=3, source_info=True)
+    assert all(i["source_info"]["saved_path_hint"].startswith("/corpus/") and i["source_info"]["live_status"] == "not_checked" for i in found["items"])
+
+
 def test_engine_end_to_end(spark, tmp_path):
     tree = tmp_path / "tree"
     for name, body in {"a.txt": b"alpha AlphaWord after\nneedle here\n", "vendor/v.txt": b"needle needle", "doc.md": b"needle in docs", "bin": b"\0\1", "skip.log": b"needle", "keep.log": b"alpha_suffix", "sub/deep.tmp": b"needle", ".gitignore": b"*.log\n!keep.log\nsub/*.tmp\n", ".git/x": b"needle"}.items():
