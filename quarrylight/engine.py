@@ -330,7 +330,7 @@ class Engine:
         return m["current"]
 
     def import_archive(self, archive: str) -> dict:
-        """Verify an archive, then make it this root's content."""
+        """Verify an archive, make it this root's content, and compare what is served here with it."""
         other = Engine(self.spark, archive)
         if self.root.state() != "absent":
             raise EngineError("ROOT_ALREADY_INITIALIZED")
@@ -338,7 +338,12 @@ class Engine:
         refs = view.sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct()
         if not objects.read(refs, other._objects(other.root.manifest())).filter("status <> 'ok'").isEmpty():
             raise EngineError("ARCHIVE_OBJECT_MISSING")
-        return other.export(self.root.path)
+        current = other.export(self.root.path)
+        copied, names = self.open_verified(), ("source_id", "path", "row_revision", "digest", "bytes", "state", "units")
+        there, here = view.sources.select(*names), copied.sources.select(*names)
+        if copied.units.count() != current["points"] or not there.exceptAll(here).union(here.exceptAll(there)).isEmpty():
+            raise EngineError("ARCHIVE_INVALID")
+        return current
 
 
 class View:
