@@ -223,7 +223,9 @@ def _best(spark, sf_dir, source_class=None):
     keys = ("source_id", "unit", "source_class")
     scored = ranked.scores_from_postings(index, list(counts), view.current["points"], view.current["tokens"] / view.current["points"], *keys, counts=counts)
     best = ranked.ranked(scored, 64)
-    return view, view.units.drop("source_class").join(F.broadcast(best), ["source_id", "unit"])  # at most 64 rows
+    found = best.collect()  # at most 64 rows, by whose ids the scan of the units is pruned
+    held = view.units.drop("source_class").filter(F.col("source_id").isin([r["source_id"] for r in found]))
+    return view, held.join(F.broadcast(spark.createDataFrame(found, best.schema)), ["source_id", "unit"])
 
 
 @query(f"with {VIEW_BEST} select path, unit, round(score, 6) as score, row_number() over (order by score desc, sha256(path), unit)::int as rank from best join sources using (source_id)")
@@ -243,7 +245,8 @@ def ranked_class(spark, sf_dir):
 def _bodies(spark, sf_dir):
     """The best units with the bytes that the object store holds for them."""
     view, best = _best(spark, sf_dir)
-    held = view.objects.join(F.broadcast(best.drop("text")), "digest")  # at most 64 rows
+    wanted = [r["digest"] for r in best.select("digest").collect()]  # at most 64
+    held = view.objects.filter(F.col("digest").isin(wanted)).join(F.broadcast(best.drop("text")), "digest")
     return held.withColumn("body", F.expr("substring(content, cast(start as int) + 1, cast(end - start as int))")).drop("content")
 
 
