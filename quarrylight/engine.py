@@ -14,8 +14,8 @@ from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
 from quarrylight.operators import exact, inventory, objects, prepare, ranked, results
 from quarrylight.operators.windows import Session, Window
-from quarrylight.plans.generation import GENERATION_TABLES, Root, drop_generation, expired, faults, with_points
-from quarrylight.schemas import CLASS_WEIGHTS, MAX_UNIT_BYTES, PREFERRED_UNIT_BYTES
+from quarrylight.plans.generation import GENERATION_TABLES, Root, drop_generation, expired, faults, offsets
+from quarrylight.schemas import BROADCAST_KEYS, CLASS_WEIGHTS, MAX_UNIT_BYTES, PART_BYTES, PREFERRED_UNIT_BYTES
 from quarrylight.sources import files
 from quarrylight.streaming.watch import watch
 
@@ -143,23 +143,30 @@ class Engine:
                 fits = prep.filter((F.col("preferred") == s["preferred"]) & (F.col("maximum") == s["maximum"]))
             if n == 0 and saved is not None and saved.join(fits, "digest", "left_anti").isEmpty():
                 return 0
-            fresh = observed.join(changes.filter("action in ('new', 'changed')").select("path"), "path", "left_semi").select("digest", "content")
-            known = self._objects(m)
-            new = objects.stored(fresh.withColumn("content", F.col("content")), "source")
-            if known is not None:
-                new = new.join(known.select("digest"), "digest", "left_anti")
-            new.sortWithinPartitions("digest").write.mode("append").parquet(self.objects_path(m))
+            known, fresh = self._objects(m), observed.select("path", "content")
+            paths = changes.filter("action in ('new', 'changed')").select("path")
+            if saved is not None:  # else every row is new, and no bytes are dealt out to find that
+                fresh = fresh.join(paths, "path", "left_semi")
+            if saved is None or not paths.isEmpty():
+                new = objects.stored(fresh, "source")
+                if known is not None:
+                    new = new.join(known.select("digest"), "digest", "left_anti")
+                self.root.write(new.sortWithinPartitions("digest"), "objects", f"version={m['objects']}", mode="append")
             next_ = m["snapshot"] + 1
             kept = changes.filter("action <> 'removed'")
-            kept.select(E.digest(F.encode("path", "UTF-8")).alias("source_id"), "path", "row_revision", "digest", "bytes", E.source_class(F.col("path")).alias("source_class")).write.mode("overwrite").parquet(self.root.at("sources", f"snapshot={next_}"))
+            kept = kept.select(E.digest(F.encode("path", "UTF-8")).alias("source_id"), "path", "row_revision", "digest", "bytes", E.source_class(F.col("path")).alias("source_class"))
+            self.root.write(kept, "sources", f"snapshot={next_}")
             sources = self.spark.read.parquet(self.root.at("sources", f"snapshot={next_}"))
             todo = sources.select("digest").distinct() if fits is None else sources.select("digest").distinct().join(fits.select("digest"), "digest", "left_anti")
-            bytes_ = self._objects(m).select("digest", "content").join(todo, "digest", "left_semi").withColumnRenamed("digest", "source_id")
-            done = prepare.prepare(bytes_, s["preferred"], s["maximum"])
-            done = done.select(F.col("source_id").alias("digest"), F.lit(s["preferred"]).alias("preferred"), F.lit(s["maximum"]).alias("maximum"), F.when(F.col("gap").isNull(), "ready").otherwise("gap").alias("state"), "gap", "units")
-            if fits is not None:
-                done = done.unionByName(fits.join(sources.select("digest").distinct(), "digest", "left_semi"))
-            done.write.mode("overwrite").parquet(self.root.at("preparations", f"snapshot={next_}"))
+            done = None if fits is None else fits.join(sources.select("digest").distinct(), "digest", "left_semi")
+            if done is None or not todo.isEmpty():
+                bytes_ = self._objects(m).select("digest", "content")
+                if fits is not None or known is not None:  # else the store holds what is to be prepared and nothing else
+                    bytes_ = bytes_.join(todo, "digest", "left_semi")
+                made = prepare.prepare(bytes_.withColumnRenamed("digest", "source_id"), s["preferred"], s["maximum"])
+                made = made.select(F.col("source_id").alias("digest"), F.lit(s["preferred"]).alias("preferred"), F.lit(s["maximum"]).alias("maximum"), F.when(F.col("gap").isNull(), "ready").otherwise("gap").alias("state"), "gap", "units")
+                done = made if done is None else made.unionByName(done)
+            self.root.write(done, "preparations", f"snapshot={next_}")
             self.root.write_manifest(m | {"snapshot": next_, "wanted_revision": m["wanted_revision"] + 1}, m)
             return n
         finally:
@@ -188,46 +195,62 @@ class Engine:
 
     def _build(self, n: int, m: dict, sources: DataFrame, prep: DataFrame) -> dict:
         """Write and check the tables of generation n."""
-        at = lambda name: self.root.at(name, f"generation={n}")
-        captured = sources.join(prep.select("digest", "state", "gap", "units"), "digest")
-        counted = captured.withColumn("units", F.coalesce(F.size("units"), F.lit(0)).cast("long"))
+        written = lambda name: self.spark.read.parquet(self.root.at(name, f"generation={n}"))
+        write = lambda df, name: self.root.write(df, name, f"generation={n}")
+        counted = prep.select("digest", "state", "gap", F.coalesce(F.size("units"), F.lit(0)).cast("long").alias("units"))
         columns = ("source_id", "path", "source_class", "row_revision", "digest", "bytes", "state", "gap", "units")
-        counted.select(*columns).write.mode("overwrite").parquet(at("gen_sources"))
-        ready = captured.filter("state = 'ready'").select("source_id", "path", "source_class", "digest", "bytes", "units")
-        ready = ready.join(self._objects(m).select("digest", "content"), "digest")
-        # Saved units that don't fit their bytes become a gap here, by which the graph below lacks units and is refused.
-        ready = prepare.inspected(ready, m["settings"]["maximum"]).withColumnRenamed("fault", "gap")
-        rows = prepare.unit_rows(ready, "path", "source_class", "digest", "bytes").withColumn("text", F.decode("body", "UTF-8")).drop("body")
-        staged, seen = with_points(rows, n), Observation()
+        write(sources.join(counted, "digest").select(*columns), "gen_sources")
+        gen_sources = written("gen_sources")
+        placed = gen_sources.filter("state = 'ready'").select("source_id", "path", "source_class", "digest", "bytes", F.col("units").alias("n"))
+        placed = placed.join(offsets(placed.select("source_id", "n")), "source_id")
+        # Units are spans of objects; their text is not stored again.
+        rows = placed.join(prep.select("digest", F.posexplode("units").alias("unit", "u")), "digest")
+        ordinal = F.col("offset") + F.col("unit")
+        staged = rows.select("source_id", "path", "source_class", "digest", "bytes", F.col("unit").cast("long").alias("unit"), "u.*", ordinal.alias("ordinal"), E.point_id(n, ordinal).alias("point_id"))
+        seen, read = Observation(), Observation()
         facts = (F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(staged.columns)).cast("decimal(20,0)")).alias("h"))
-        staged.observe(seen, *facts).sortWithinPartitions("source_id", "unit").write.mode("overwrite").parquet(at("units"))
-        units, gen_sources = self.spark.read.parquet(at("units")), self.spark.read.parquet(at("gen_sources"))
+        write(staged.observe(seen, *facts).sortWithinPartitions("ordinal"), "units")
+        units = written("units")
         if (back := units.agg(*facts).first().asDict()) != seen.get:
             raise EngineError("PUBLICATION_READBACK_FAILED")
-        index = ranked.postings(units, "source_id", "unit", "source_class", "point_id")
-        # By term and source, so that the postings of a frequent term are in many parts.
-        index.repartitionByRange("term", "source_id").sortWithinPartitions("term", "source_id").write.mode("overwrite").parquet(at("postings"))
-        index = self.spark.read.parquet(at("postings"))
-        index.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(at("terms"))
+        held = self._objects(m).select("digest", "content")
+        size = gen_sources.agg(F.sum("bytes")).first()[0] or 0
+        parts = max(self.spark.sparkContext.defaultParallelism, size // PART_BYTES + 1)
+        ready = placed.select("digest", "source_class", "bytes", F.col("offset").alias("source_id")).join(prep.select("digest", "units"), "digest")
+        ready = ready.repartition(parts, "digest").join(held.repartition(parts, "digest").hint("merge"), "digest")
+        # Saved units that don't fit their bytes, or have none, are not read here, so that there are less than were staged.
+        ready = prepare.inspected(ready, m["settings"]["maximum"]).withColumnRenamed("fault", "gap")
+        texts = prepare.unit_rows(ready, "source_class").withColumn("text", F.decode("body", "UTF-8")).withColumnRenamed("source_id", "source")
+        # Sorted by term in each part of the texts: a term's postings are a few pages of every part, and nothing is dealt out
+        # by term. They name a source by the ordinal of its first unit, so that sources are in the order of their ids.
+        index = ranked.postings(texts.observe(read, F.count("*").alias("n")), "source", "unit", "source_class")
+        write(index.sortWithinPartitions("term"), "postings")
+        if read.get["n"] != back["n"]:
+            raise EngineError("PUBLICATION_GRAPH_INVALID")
+        index = written("postings")
+        write(index.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term"), "terms")
         if not faults(units, gen_sources).isEmpty():
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         points = back["n"]
         tokens = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()["tokens"]
-        self._canary(index, units, points, tokens)
+        self._canary(index, units, held, points, tokens)
         counts = gen_sources.agg(F.count("*").alias("s"), F.count_if(F.col("state") == "gap").alias("g")).first()
         return {"generation": n, "wanted_revision": m["wanted_revision"], "sources": counts["s"], "gaps": counts["g"], "points": points, "tokens": tokens, "snapshot": m["snapshot"]}
 
-    def _canary(self, index: DataFrame, units: DataFrame, points: int, tokens: int) -> None:
+    def _canary(self, index: DataFrame, units: DataFrame, held: DataFrame, points: int, tokens: int) -> None:
         """A posting's term must be one of its unit's and find the unit with a positive score. Without postings no unit may
         have a letter or digit."""
         row = index.head(1)
         if not row:
-            if not units.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).isEmpty():
+            texts = units.select("digest").distinct().join(held, "digest").select(F.decode("content", "UTF-8").alias("text"))
+            if not texts.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).isEmpty():
                 raise EngineError("PUBLICATION_CANARY_FAILED")
             return
-        (unit,) = units.filter(F.col("point_id") == row[0]["point_id"]).select("text").head(1) or [None]
-        found = ranked.scores_from_postings(index, [row[0]["term"]], points, tokens / points, "point_id")
-        if unit is None or row[0]["term"] not in E.query_terms(unit["text"]) or found.filter((F.col("point_id") == row[0]["point_id"]) & (F.col("score") > 0)).isEmpty():
+        term, source, ordinal = row[0]["term"], row[0]["source"], row[0]["unit"]
+        unit = (units.filter(F.col("ordinal") == source + ordinal).select("digest", "start", "end").head(1) or [None])[0]
+        body = unit and held.filter(F.col("digest") == unit["digest"]).select(F.expr(f"substring(content, {unit['start'] + 1}, {unit['end'] - unit['start']})").alias("body")).head(1)
+        found = ranked.scores_from_postings(index, [term], points, tokens / points, "source", "unit")
+        if not body or term not in E.query_terms(bytes(body[0]["body"]).decode()) or found.filter((F.col("source") == source) & (F.col("unit") == ordinal) & (F.col("score") > 0)).isEmpty():
             raise EngineError("PUBLICATION_CANARY_FAILED")
 
     # read path
@@ -292,14 +315,14 @@ class Engine:
         m = self.root.manifest()
         over, kept = expired(m, time.time(), grace_s)
         marked, held = self._marks(m, kept), self._objects(m)
-        status = {r["status"]: r["n"] for r in objects.read(marked, held).groupBy("status").agg(F.count("*").alias("n")).collect()}
+        status = {r["status"]: r["n"] for r in objects.statuses(marked, held).groupBy("status").agg(F.count("*").alias("n")).collect()}
         if set(status) - {"ok"}:
             raise EngineError("COLLECT_INTEGRITY_FAILURE", str(status))
-        gone, version = objects.unreferenced(held, marked).count(), m["objects"]
+        unmarked, version = objects.unreferenced(held.select("kind", "digest"), marked), m["objects"]
+        gone = unmarked.count()
         if gone:
             version += 1
-            next_ = self.objects_path(m | {"objects": version})
-            held.join(marked.select("kind", "digest"), ["kind", "digest"], "left_semi").sortWithinPartitions("digest").write.mode("overwrite").parquet(next_)
+            self.root.write(objects.without(held, unmarked, gone).sortWithinPartitions("digest"), "objects", f"version={version}")
         self.root.write_manifest(m | {"objects": version, "retired": kept}, m)
         if gone and version >= 2:
             self.root.delete("objects", f"version={version - 2}")
@@ -316,14 +339,16 @@ class Engine:
             raise EngineError("ARCHIVE_EXISTS")
         n, snapshot = m["current"]["generation"], m["current"]["snapshot"]
         sources = self.spark.read.parquet(self.root.at("gen_sources", f"generation={n}"))
-        held = objects.read(sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct(), self._objects(m))
-        if not held.filter("status <> 'ok'").isEmpty():
+        refs, held = sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct(), self._objects(m)
+        if not objects.statuses(refs, held).filter("status <> 'ok'").isEmpty():
             raise EngineError("ARCHIVE_OBJECT_MISSING")
-        held.select("kind", "digest", "bytes", "content", E.object_name(F.col("kind"), F.col("digest")).alias("name")).write.parquet(target.at("objects", "version=0"))
+        others = objects.unreferenced(held.select("kind", "digest"), refs)
+        kept = objects.without(held, others, others.count())
+        target.write(kept.select("kind", "digest", "bytes", "content", E.object_name(F.col("kind"), F.col("digest")).alias("name")), "objects", "version=0", mode="error")
         for name in GENERATION_TABLES:
-            self.spark.read.parquet(self.root.at(name, f"generation={n}")).write.parquet(target.at(name, f"generation={n}"))
+            target.write(self.spark.read.parquet(self.root.at(name, f"generation={n}")), name, f"generation={n}", mode="error")
         for name in TABLES:
-            self.spark.read.parquet(self.root.at(name, f"snapshot={snapshot}")).write.parquet(target.at(name, f"snapshot={snapshot}"))
+            target.write(self.spark.read.parquet(self.root.at(name, f"snapshot={snapshot}")), name, f"snapshot={snapshot}", mode="error")
         if not faults(self.spark.read.parquet(target.at("units", f"generation={n}")), sources).isEmpty():
             raise EngineError("ARCHIVE_INVALID")
         target.write_manifest(m | {"retired": [], "objects": 0, "snapshot": snapshot, "wanted_revision": m["current"]["wanted_revision"]})
@@ -336,7 +361,7 @@ class Engine:
             raise EngineError("ROOT_ALREADY_INITIALIZED")
         view = other.open_verified()
         refs = view.sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct()
-        if not objects.read(refs, other._objects(other.root.manifest())).filter("status <> 'ok'").isEmpty():
+        if not objects.statuses(refs, other._objects(other.root.manifest())).filter("status <> 'ok'").isEmpty():
             raise EngineError("ARCHIVE_OBJECT_MISSING")
         current = other.export(self.root.path)
         copied, names = self.open_verified(), ("source_id", "path", "row_revision", "digest", "bytes", "state", "units")
@@ -369,24 +394,39 @@ class View:
         return out | {"selected_sources": selected, "selected_preparation_gaps": gaps, "control": control}
 
     def exact(self, literal, mode: str = "decoded", limit: int = 10, ids=None, prefix=None, source_class=None, source_info: bool = False) -> dict:
-        """Facts over all selected sources and the first items. One pass verifies the bytes and counts; another finds the
-        items in the sources that hold the literal, if there are any. What is too large to go out loses the saved paths that
+        """Facts over all selected sources and the first items. One pass verifies the bytes and counts, object by object, so
+        that facts are joined to the sources and not bytes; another finds the first sources that hold the literal, if there
+        are any, and only those are read for items. What is too large to go out loses the saved paths that
         source_info asked for, then whole items."""
         selected = exact.select(self.sources, ids, prefix, source_class)
-        rows = selected.join(self.objects, "digest", "left").withColumn("bad", E.digest(F.col("content")) != F.col("digest"))
+        data, held = exact.check(literal, limit), self.objects
+        if not (ids is None and prefix is None and source_class is None):
+            wanted = selected.select("digest").distinct()
+            if wanted.count() <= BROADCAST_KEYS:
+                held = held.join(F.broadcast(wanted), "digest", "left_semi")
+        judged = exact.counted(held.withColumn("bad", E.digest(F.col("content")) != F.col("digest")), data)
+        rows = selected.select("source_id", "digest", "state").join(judged, "digest", "left").withColumn("there", F.coalesce("there", F.lit(False)))
         if mode == "decoded":
-            rows = rows.withColumn("content", F.when(F.col("state") == "ready", F.col("content")))
+            rows = rows.withColumn("there", F.col("there") & (F.col("state") == "ready"))
         bad, gaps = F.count_if("bad").alias("bad"), F.count_if(F.col("state") == "gap").alias("gaps")
-        facts = exact.summary(rows.select("source_id", "content", "state", "bad"), literal, limit, bad, gaps).first().asDict()
+        facts = exact.facts(rows, limit, bad, gaps).first().asDict()
         if facts.pop("bad"):
             raise EngineError("OBJECT_INTEGRITY_FAILURE")
-        found = [r.asDict() for r in exact.items(rows.select("source_id", "content"), literal, limit).collect()] if facts["items"] else []
+        found = [r.asDict() for r in self._items(rows, literal, limit).collect()] if facts["items"] else []
         if source_info and found:
             shown = self._infos({i["source_id"] for i in found})
             found = [{**i, "source_info": shown[i["source_id"]]} for i in found]
         answer = facts | {"generation": self.generation, "items": found, "summary": self._summary(facts["selected_sources"], facts.pop("gaps"))}
         return results.fit(answer, keep_items=True)
 
+    def _items(self, rows: DataFrame, literal, limit: int) -> DataFrame:
+        """The first items of rows (source_id, digest, there, hits). A source that has any has one at least, so that they
+        are in the first `limit` of these sources."""
+        first = rows.filter("not there or hits > 0").orderBy("source_id").limit(limit).select("source_id", F.when(F.col("there"), F.col("digest")).alias("digest")).collect()
+        held = self.objects.filter(F.col("digest").isin(sorted({r["digest"] for r in first if r["digest"]})))
+        named = self.engine.spark.createDataFrame(first, "source_id string, digest string")  # at most 64 rows
+        return exact.items(F.broadcast(named).join(held, "digest", "left").select("source_id", "content"), literal, limit)
+
     def _infos(self, ids: set[str]) -> dict[str, dict]:
         """The saved locators of at most 64 sources."""
         rows = self.sources.filter(F.col("source_id").isin(sorted(ids))).select("source_id", results.source_info(F.col("path")).alias("info")).collect()
@@ -398,18 +438,11 @@ class View:
         terms = ranked.check(query, limit)
         if not terms or not self.current["points"]:
             return []
-        avg = self.current["tokens"] / self.current["points"]
-        counts = {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(terms)).collect()}  # a row a query term
-        if not counts:
-            return []
-        index = self.postings if source_class is None else self.postings.filter(F.col("source_class") == source_class)
-        scored = ranked.scores_from_postings(index, list(counts), self.current["points"], avg, "source_id", "unit", "source_class", counts=counts)
-        found = ranked.best(scored, limit, point="unit").collect()  # at most 64 rows
-        best = {(r["source_id"], r["unit"]): {**r.asDict(), "rank": i} for i, r in enumerate(found, 1)}
+        best = self.best(terms, limit, source_class)
         if not best:
             return []
-        units = self.units.drop("text").filter(F.col("source_id").isin([s for s, _ in best]) & F.col("unit").isin([u for _, u in best]))
-        rows = {(r["source_id"], r["unit"]): r for r in units.collect() if (r["source_id"], r["unit"]) in best}  # two of a source at most
+        units = self.units.filter(F.col("ordinal").isin(list(best)))
+        rows = {r["ordinal"]: r for r in units.collect()}  # a row a hit
         held = self._verified(rows)
         out = []
         for key, b in sorted(best.items(), key=lambda x: x[1]["rank"]):
@@ -427,16 +460,27 @@ class View:
             out.append(item | {"kind": "hit", "excerpt": {"start": r["start"] + a, "end": r["start"] + e, "text": held[key][a:e].decode()}})
         return out[: results.fitting(out)]
 
+    def best(self, terms: list[str], limit: int, source_class: str | None = None) -> dict[int, dict]:
+        """score and rank of the best units, by their ordinals, in order."""
+        counts = {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(terms)).collect()}  # a row a query term
+        if not counts:
+            return {}
+        index = self.postings if source_class is None else self.postings.filter(F.col("source_class") == source_class)
+        avg = self.current["tokens"] / self.current["points"]
+        scored = ranked.scores_from_postings(index, list(counts), self.current["points"], avg, "source", "unit", "source_class", counts=counts)
+        found = ranked.best(scored, limit, source="source").collect()  # at most 64 rows
+        return {r["source"] + r["unit"]: {"score": r["score"], "rank": i} for i, r in enumerate(found, 1)}
+
     def _verified(self, rows: dict) -> dict:
-        """The bytes of units by key; None where the object isn't the one named. Objects that are missing have no entry."""
-        spans = [{k: r[k] for k in ("source_id", "unit", "digest", "start", "end")} for r in rows.values()]  # at most 64
-        kind = "array<struct<source_id:string,unit:long,digest:string,start:long,end:long>>"
+        """The bytes of units by ordinal; None where the object isn't the one named. Objects that are missing have no entry."""
+        spans = [{k: r[k] for k in ("ordinal", "digest", "start", "end")} for r in rows.values()]  # at most 64
+        kind = "array<struct<ordinal:long,digest:string,start:long,end:long>>"
         wanted = F.filter(F.from_json(F.lit(json.dumps(spans)), kind), lambda x: x["digest"] == F.col("digest"))
         held = self.objects.filter(F.col("digest").isin(sorted({r["digest"] for r in rows.values()})))
         held = held.select("content", (E.digest(F.col("content")) == F.col("digest")).alias("fine"), F.explode(wanted).alias("u"))
         body = F.expr("substring(content, cast(u.start as int) + 1, cast(u.end - u.start as int))")
-        got = held.select("u.source_id", "u.unit", F.when(F.col("fine"), body).alias("body")).collect()
-        return {(r["source_id"], r["unit"]): r["body"] and bytes(r["body"]) for r in got}
+        got = held.select("u.ordinal", F.when(F.col("fine"), body).alias("body")).collect()
+        return {r["ordinal"]: r["body"] and bytes(r["body"]) for r in got}
 
     def read(self, source_id: str) -> bytes:
         one = self.sources.filter(F.col("source_id") == source_id).select("digest").head(1)
@@ -459,7 +503,13 @@ class View:
         found = self.units.filter((F.col("source_id") == source_id) & (F.col("unit") == ordinal)).head(1)
         if not found:
             raise EngineError("UNIT_OUT_OF_RANGE")
-        return {"state": "ready", **found[0].asDict()}
+        body = self._verified({ordinal: found[0]})
+        if not body:
+            raise EngineError("OBJECT_MISSING")
+        (data,) = body.values()
+        if data is None:
+            raise EngineError("OBJECT_INTEGRITY_FAILURE")
+        return {"state": "ready", **found[0].asDict(), "text": data.decode()}
 
     def window(self, query: str | None = None, literal=None, limit: int = 10, mode: str = "decoded", scope: dict | None = None, **options) -> Window:
         """A retained answer of a ranked query or an exact literal; scope: the other arguments of search() or exact()."""

@@ -72,7 +72,7 @@ def occurrences(text, literal: str):
 
 def is_binary(content):
     """Any NUL; or control characters other than TAB, LF, FF and CR, at least 4 and at least one in a hundred bytes."""
-    controls = F.length(F.regexp_replace(latin1(content), r"[^\x01-\x08\x0B\x0E-\x1F]", ""))
+    controls = F.regexp_count(latin1(content), F.lit(r"[\x01-\x08\x0B\x0E-\x1F]"))
     return F.contains(content, F.lit(b"\0")) | (controls >= F.greatest(F.lit(4), F.ceil(F.length(content) / 100)))
 
 
@@ -91,16 +91,17 @@ def tokens(text):
 
     The places where an identifier splits are marked in the whole text first, so that single words, nearly
     all of them, need no work of their own."""
-    marked = F.regexp_replace(F.translate(text, "\x01", " "), CAMEL, "$1\x01$2")
+    marked = F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit(" ")), CAMEL, "$1\x01$2")
     marked = F.lower(F.regexp_replace(marked, ACRONYM, "$1\x01$2"))
-    runs = F.regexp_extract_all(marked, F.lit(r"([\p{L}\p{N}_\x01]+)"), F.lit(1))
 
     def compound(run):
         parts = F.filter(F.split(run, r"[_\x01]"), lambda p: p != "")
         return bound(parts, lambda p: F.when(F.size(p) > 1, F.concat(p, F.array(F.translate(run, "\x01", "")))).otherwise(p))
 
     simple = lambda r: ~(F.contains(r, F.lit("_")) | F.contains(r, F.lit("\x01")))
-    return F.flatten(F.transform(runs, lambda r: F.when(simple(r), F.array(r)).otherwise(compound(r))))
+    runs = lambda m: F.regexp_extract_all(m, F.lit(r"([\p{L}\p{N}_\x01]+)"), F.lit(1))
+    split = lambda m: F.flatten(F.transform(runs(m), lambda r: F.when(simple(r), F.array(r)).otherwise(compound(r))))
+    return bound(marked, lambda m: F.when(simple(m), runs(m)).otherwise(split(m)))
 
 
 def bound(value, use):

@@ -46,15 +46,24 @@ def select(sources: DataFrame, ids: list | None = None, prefix: str | None = Non
 def summary(sources: DataFrame, literal: str | bytes, limit: int = MAX_ITEMS, *also) -> DataFrame:
     """One row of facts over all sources, and of other aggregates of the same pass. content is null for a source whose
     bytes or text are missing."""
-    data = check(literal, limit)
+    return facts(counted(sources, check(literal, limit)), limit, *also)
+
+
+def counted(sources: DataFrame, data: bytes) -> DataFrame:
+    """sources with there, size and hits in place of content."""
     there = F.col("content").isNotNull()
     # Only sources that hold the literal at all pay for counting it.
     hits = F.when(there & F.contains("content", F.lit(data)), E.occurrences(E.latin1(F.col("content")), data.decode("latin-1"))).otherwise(0)
-    facts = sources.agg(
+    return sources.withColumns({"there": there, "size": F.octet_length("content").cast("long"), "hits": hits}).drop("content")
+
+
+def facts(counted: DataFrame, limit: int, *also) -> DataFrame:
+    there = F.col("there")
+    facts = counted.agg(
         F.count("*").alias("selected_sources"),
         F.count_if(there).alias("scanned_sources"),
-        F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("scanned_bytes"),
-        F.coalesce(F.sum(hits), F.lit(0)).cast("long").alias("matches"),
+        F.coalesce(F.sum(F.when(there, F.col("size"))), F.lit(0)).cast("long").alias("scanned_bytes"),
+        F.coalesce(F.sum(F.when(there, F.col("hits"))), F.lit(0)).cast("long").alias("matches"),
         *also,
     )
     facts = facts.withColumn("missing_sources", F.col("selected_sources") - F.col("scanned_sources"))

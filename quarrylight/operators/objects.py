@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
-from quarrylight.schemas import MAX_ARTIFACT_BYTES, MAX_SOURCE_BYTES
+from quarrylight.schemas import BROADCAST_KEYS, MAX_ARTIFACT_BYTES, MAX_SOURCE_BYTES
 
 #: Fixed value: the algorithm is named with every digest.
 DIGEST_ALG = "sha256"
@@ -29,6 +29,13 @@ def read(refs: DataFrame, objects: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("content").isNull(), "missing").when(fine, "ok").otherwise("integrity_failure"))
 
 
+def statuses(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """read() without the contents: objects are judged where they lie, and what is joined are facts, not bytes."""
+    facts = objects.select("kind", "digest", F.octet_length("content").cast("long").alias("held"), (E.digest(F.col("content")) == F.col("digest")).alias("fine"))
+    out = refs.join(facts, ["kind", "digest"], "left")
+    return out.withColumn("status", F.when(F.col("held").isNull(), "missing").when(F.col("fine") & (F.col("held") == F.col("bytes")), "ok").otherwise("integrity_failure")).drop("held", "fine")
+
+
 def marks(*refs: DataFrame) -> DataFrame:
     """All reachable (kind, digest, bytes); one digest with two lengths is refused."""
     every = reduce(lambda a, b: a.unionByName(b), [r.select("kind", "digest", "bytes") for r in refs]).distinct()
@@ -48,6 +55,12 @@ def unreferenced(objects: DataFrame, marked: DataFrame) -> DataFrame:
     return objects.join(marked.select("kind", "digest"), ["kind", "digest"], "left_anti")
 
 
+def without(objects: DataFrame, gone: DataFrame, n: int) -> DataFrame:
+    """objects but for the n that are gone: bytes stay where they are unless too many are gone for a broadcast."""
+    names = gone.select("kind", "digest")
+    return objects if n == 0 else objects.join(F.broadcast(names) if n <= BROADCAST_KEYS else names, ["kind", "digest"], "left_anti")
+
+
 def candidates(entries: DataFrame) -> DataFrame:
     """kind, digest, bytes of entries (name, bytes) that a sweep may touch: those with an object's own name and a size
     that its kind allows. All other entries are left alone."""

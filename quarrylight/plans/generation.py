@@ -5,6 +5,7 @@ All access goes through Hadoop's file systems, so a root may be any that Spark c
 
 from __future__ import annotations
 
+import gc
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,6 +42,13 @@ class Root:
     def delete_path(self, path: str) -> None:
         self._fs.delete(self._p(path), True)
 
+    def write(self, df: DataFrame, *names, mode: str = "overwrite") -> None:
+        """A table below the root. Its shuffle files are let go with it: the disk would hold them until the driver happens to
+        collect its garbage."""
+        df.write.mode(mode).option("compression", "zstd").parquet(self.at(*names))
+        gc.collect()
+        self._jvm.System.gc()
+
     def write_text(self, path: str, text: str) -> None:
         out = self._fs.create(self._p(path), True)
         out.write(bytearray(text.encode()))
@@ -84,17 +92,21 @@ class Root:
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._p(self.at()).toUri() if self._p(self.at()).toUri().getScheme() else self._jvm.java.net.URI("file:///"), self.spark._jsc.hadoopConfiguration()).rename(self._p(side), self._p(self.at("manifest.json")), options)
 
 
-def with_points(units: DataFrame, generation: int) -> DataFrame:
-    """Dense ordinals in (source_id, unit) order: counts of each source, then running offsets over the sources'
-    ranges, so that no step sorts all units in one task."""
-    counts = units.groupBy("source_id").agg(F.count("*").alias("n"))
+def offsets(counts: DataFrame) -> DataFrame:
+    """source_id and the ordinal of its first unit, from the sources' counts n: running offsets over the sources' ranges, so
+    that no step sorts all of them in one task."""
     parts = max(1, counts.sparkSession.sparkContext.defaultParallelism)
     dealt = counts.repartitionByRange(parts, "source_id").withColumn("part", F.spark_partition_id())
     dealt = dealt.withColumn("inside", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sums = dealt.groupBy("part").agg(F.sum("n").alias("held"))
     before = sums.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a part
-    offsets = dealt.join(F.broadcast(before), "part").select("source_id", (F.col("inside") + F.col("before")).alias("offset"))
-    out = units.join(offsets, "source_id").withColumn("ordinal", (F.col("offset") + F.col("unit")).cast("long")).drop("offset")
+    return dealt.join(F.broadcast(before), "part").select("source_id", (F.col("inside") + F.col("before")).cast("long").alias("offset"))
+
+
+def with_points(units: DataFrame, generation: int) -> DataFrame:
+    """Dense ordinals in (source_id, unit) order."""
+    counts = units.groupBy("source_id").agg(F.count("*").alias("n"))
+    out = units.join(offsets(counts), "source_id").withColumn("ordinal", (F.col("offset") + F.col("unit")).cast("long")).drop("offset")
     return out.withColumn("point_id", E.point_id(generation, F.col("ordinal")))
 
 

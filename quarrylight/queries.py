@@ -218,14 +218,9 @@ VIEW_BEST = VIEW_BEST.replace("from own where k <= 2", "from own join sources us
 def _best(spark, sf_dir, source_class=None):
     """The served generation and its 64 best units by the stored postings, with their spans."""
     view = engine(spark, sf_dir).pin()
-    index = view.postings if source_class is None else view.postings.filter(F.col("source_class") == source_class)
-    counts = {r["term"]: r["df"] for r in view.terms.filter(F.col("term").isin(TERMS)).collect()}  # a row a query term
-    keys = ("source_id", "unit", "source_class")
-    scored = ranked.scores_from_postings(index, list(counts), view.current["points"], view.current["tokens"] / view.current["points"], *keys, counts=counts)
-    best = ranked.ranked(scored, 64)
-    found = best.collect()  # at most 64 rows, by whose ids the scan of the units is pruned
-    held = view.units.drop("source_class").filter(F.col("source_id").isin([r["source_id"] for r in found]))
-    return view, held.join(F.broadcast(spark.createDataFrame(found, best.schema)), ["source_id", "unit"])
+    found = view.best(TERMS, 64, source_class)  # at most 64, by whose ordinals the scan of the units is pruned
+    rows = spark.createDataFrame([(k, b["score"], b["rank"]) for k, b in found.items()], "ordinal long, score double, rank int")
+    return view, view.units.filter(F.col("ordinal").isin(list(found))).join(F.broadcast(rows), "ordinal")
 
 
 @query(f"with {VIEW_BEST} select path, unit, round(score, 6) as score, row_number() over (order by score desc, sha256(path), unit)::int as rank from best join sources using (source_id)")
@@ -246,7 +241,7 @@ def _bodies(spark, sf_dir):
     """The best units with the bytes that the object store holds for them."""
     view, best = _best(spark, sf_dir)
     wanted = [r["digest"] for r in best.select("digest").collect()]  # at most 64
-    held = view.objects.filter(F.col("digest").isin(wanted)).join(F.broadcast(best.drop("text")), "digest")
+    held = view.objects.filter(F.col("digest").isin(wanted)).join(F.broadcast(best), "digest")
     return held.withColumn("body", F.expr("substring(content, cast(start as int) + 1, cast(end - start as int))")).drop("content")
 
 

@@ -372,6 +372,25 @@ def test_engine_end_to_end(spark, tmp_path):
         engine.search("")
 
 
+def test_a_root_takes_little_disk(spark, sf_dir):
+    """Postings without ids and units without texts: a root is about as large as its texts. A unit's text is still shown."""
+    engine = queries.engine(spark, sf_dir)
+    top = engine.root.path.removeprefix("file://")
+    view = engine.pin()
+    texts = view.sources.agg(F.sum("bytes")).first()[0]
+    held = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+    assert held < 2 * texts and "text" not in view.units.columns and "source_id" not in view.postings.columns, held / texts
+    row = view.units.filter("unit = 1").first()
+    shown = view.unit(row["source_id"], 1)
+    assert shown["text"].encode() == view.read(row["source_id"])[row["start"] : row["end"]] and shown["point_id"] == row["point_id"]
+
+
+def test_postings_of_units(spark):
+    frame = spark.createDataFrame([(1, "b a b snakeCase"), (2, ""), (3, None), (4, "a \u4f60 a\x01a")], "k int, text string")
+    got = sorted((r.k, r.term, r.tf, r.dl) for r in ranked.postings(frame, "k").collect())
+    assert got == [(1, "a", 1, 6), (1, "b", 2, 6), (1, "case", 1, 6), (1, "snake", 1, 6), (1, "snakecase", 1, 6), (4, "a", 3, 4), (4, "\u4f60", 1, 4)]
+
+
 TREE = {
     "_a/b.txt": 1, "__init__.py": 1, "_config.yml": 1, ".x": 0, ".kept": 1, ".gitignore": 0, ".ignore": 0, "a.log": 0, "keep.log": 1, "sub/.gitignore": 0, "sub/a.log": 1, "sub/x.tmp": 0, "sub/deep/y.tmp": 0, "sub/z/only.txt": 0, "other/z/only.txt": 1,
     "build/out.o": 0, "doc/build": 1, "a b.txt": 1, "#hash": 0, "sp ": 0, "x[1].c": 0, "deep/one/two/data.bin": 0, "deep/data.bin": 0, "end/a/b": 0, "both.txt": 1, "parent.bak": 0, "excluded.me": 0, ".git/info/exclude": 0, "é_ü.txt": 1,
