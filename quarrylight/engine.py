@@ -342,6 +342,7 @@ class Engine:
         refs, held = sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct(), self._objects(m)
         if not objects.statuses(refs, held).filter("status <> 'ok'").isEmpty():
             raise EngineError("ARCHIVE_OBJECT_MISSING")
+        self.root.tidy()
         others = objects.unreferenced(held.select("kind", "digest"), refs)
         kept = objects.without(held, others, others.count())
         target.write(kept.select("kind", "digest", "bytes", "content", E.object_name(F.col("kind"), F.col("digest")).alias("name")), "objects", "version=0", mode="error")
@@ -351,11 +352,13 @@ class Engine:
             target.write(self.spark.read.parquet(self.root.at(name, f"snapshot={snapshot}")), name, f"snapshot={snapshot}", mode="error")
         if not faults(self.spark.read.parquet(target.at("units", f"generation={n}")), sources).isEmpty():
             raise EngineError("ARCHIVE_INVALID")
+        self.root.tidy()
         target.write_manifest(m | {"retired": [], "objects": 0, "snapshot": snapshot, "wanted_revision": m["current"]["wanted_revision"]})
         return m["current"]
 
-    def import_archive(self, archive: str) -> dict:
-        """Verify an archive, make it this root's content, and compare what is served here with it."""
+    def import_archive(self, archive: str, take: bool = False) -> dict:
+        """Verify an archive, make it this root's content, and compare what is served here with it. take: an archive that
+        nobody needs afterwards is moved, so that it doesn't lie on the disk twice."""
         other = Engine(self.spark, archive)
         if self.root.state() != "absent":
             raise EngineError("ROOT_ALREADY_INITIALIZED")
@@ -363,8 +366,19 @@ class Engine:
         refs = view.sources.select(F.lit("source").alias("kind"), "digest", "bytes").distinct()
         if not objects.statuses(refs, other._objects(other.root.manifest())).filter("status <> 'ok'").isEmpty():
             raise EngineError("ARCHIVE_OBJECT_MISSING")
+        names = ("source_id", "path", "row_revision", "digest", "bytes", "state", "units")
+        if take:
+            facts = (F.count("*").alias("n"), F.sum(F.xxhash64(*names).cast("decimal(20,0)")).alias("h"))
+            there, current = view.sources.agg(*facts).first(), view.current
+            self.root.tidy()
+            self.root.take(archive)
+            copied = self.open_verified()
+            if copied.units.count() != current["points"] or copied.sources.agg(*facts).first() != there:
+                raise EngineError("ARCHIVE_INVALID")
+            self.root.tidy()
+            return current
         current = other.export(self.root.path)
-        copied, names = self.open_verified(), ("source_id", "path", "row_revision", "digest", "bytes", "state", "units")
+        copied = self.open_verified()
         there, here = view.sources.select(*names), copied.sources.select(*names)
         if copied.units.count() != current["points"] or not there.exceptAll(here).union(here.exceptAll(there)).isEmpty():
             raise EngineError("ARCHIVE_INVALID")

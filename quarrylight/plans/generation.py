@@ -42,10 +42,19 @@ class Root:
     def delete_path(self, path: str) -> None:
         self._fs.delete(self._p(path), True)
 
+    def take(self, other: str) -> None:
+        """Another root becomes this one, in one step."""
+        self._fs.mkdirs(self._p(self.path).getParent())
+        if not self._fs.rename(self._p(other), self._p(self.path)):
+            raise EngineError("ROOT_NOT_TAKEN")
+
     def write(self, df: DataFrame, *names, mode: str = "overwrite") -> None:
-        """A table below the root. Its shuffle files are let go with it: the disk would hold them until the driver happens to
-        collect its garbage."""
+        """A table below the root, without the shuffle files that it was made of."""
         df.write.mode(mode).option("compression", "zstd").parquet(self.at(*names))
+        self.tidy()
+
+    def tidy(self) -> None:
+        """The disk would hold the shuffle files of jobs that are over until the driver happens to collect its garbage."""
         gc.collect()
         self._jvm.System.gc()
 

@@ -619,7 +619,7 @@ def archive_round_trip(spark, sf_dir):
     first, folder = engine(spark, sf_dir), _shared(spark)
     first.export(f"{folder}/archive")
     other = Engine(spark, f"{folder}/copy")
-    other.import_archive(f"{folder}/archive")
+    other.import_archive(f"{folder}/archive", take=True)  # it would be deleted below
     view = other.open_verified()
     row = (view.sources.count(), other.exact(LITERAL)["matches"], view.objects.count())
     other.root.delete_path(folder)

@@ -385,6 +385,15 @@ def test_a_root_takes_little_disk(spark, sf_dir):
     assert shown["text"].encode() == view.read(row["source_id"])[row["start"] : row["end"]] and shown["point_id"] == row["point_id"]
 
 
+def test_an_archive_is_taken(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "root")).initialize()
+    engine.index_rows(spark.createDataFrame([("/a", bytearray(b"one needle")), ("/b", bytearray(b"two"))], "path string, content binary"))
+    engine.export(str(tmp_path / "archive"))
+    other = Engine(spark, str(tmp_path / "new" / "other"))
+    other.import_archive(str(tmp_path / "archive"), take=True)
+    assert not (tmp_path / "archive").exists() and other.open_verified().sources.count() == 2 and other.exact("needle")["matches"] == 1
+
+
 def test_postings_of_units(spark):
     frame = spark.createDataFrame([(1, "b a b snakeCase"), (2, ""), (3, None), (4, "a \u4f60 a\x01a")], "k int, text string")
     got = sorted((r.k, r.term, r.tf, r.dl) for r in ranked.postings(frame, "k").collect())
