@@ -83,8 +83,9 @@ class Engine:
 
     # write path
 
-    def index(self, path: str | None = None, kind: str = "tree") -> dict:
-        """Scan, keep bytes, prepare, publish. Saved work that still holds is reused."""
+    def index(self, path: str | None = None, kind: str = "tree", publish: bool = True) -> dict:
+        """Scan, keep bytes, prepare, publish. Saved work that still holds is reused. Without publish, what is kept is served
+        from the next publication on."""
         if path is not None:
             self.admit(path, kind)
         chosen = self.selections(path.rstrip("/") if path else None)
@@ -108,7 +109,7 @@ class Engine:
             files.stable(found, scan(1))
         finally:
             self.root.delete(scratch)
-        return self.publish() | {"changed": changed}
+        return (self.publish() if publish else {"published": False}) | {"changed": changed}
 
     def _observed(self, found: DataFrame) -> DataFrame:
         read = files.contents(found)
@@ -207,7 +208,7 @@ class Engine:
         rows = placed.join(prep.select("digest", F.posexplode("units").alias("unit", "u")), "digest")
         ordinal = F.col("offset") + F.col("unit")
         staged = rows.select("source_id", "path", "source_class", "digest", "bytes", F.col("unit").cast("long").alias("unit"), "u.*", ordinal.alias("ordinal"), E.point_id(n, ordinal).alias("point_id"))
-        seen, read = Observation(), Observation()
+        seen = Observation()
         facts = (F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(staged.columns)).cast("decimal(20,0)")).alias("h"))
         write(staged.observe(seen, *facts).sortWithinPartitions("ordinal"), "units")
         units = written("units")
@@ -215,17 +216,23 @@ class Engine:
             raise EngineError("PUBLICATION_READBACK_FAILED")
         held = self._objects(m).select("digest", "content")
         size = gen_sources.agg(F.sum("bytes")).first()[0] or 0
-        parts = max(self.spark.sparkContext.defaultParallelism, size // PART_BYTES + 1)
-        ready = placed.select("digest", "source_class", "bytes", F.col("offset").alias("source_id")).join(prep.select("digest", "units"), "digest")
-        ready = ready.repartition(parts, "digest").join(held.repartition(parts, "digest").hint("merge"), "digest")
-        # Saved units that don't fit their bytes, or have none, are not read here, so that there are less than were staged.
-        ready = prepare.inspected(ready, m["settings"]["maximum"]).withColumnRenamed("fault", "gap")
-        texts = prepare.unit_rows(ready, "source_class").withColumn("text", F.decode("body", "UTF-8")).withColumnRenamed("source_id", "source")
-        # Sorted by term in each part of the texts: a term's postings are a few pages of every part, and nothing is dealt out
-        # by term. They name a source by the ordinal of its first unit, so that sources are in the order of their ids.
-        index = ranked.postings(texts.observe(read, F.count("*").alias("n")), "source", "unit", "source_class")
-        write(index.sortWithinPartitions("term"), "postings")
-        if read.get["n"] != back["n"]:
+        slices, texts_read = objects.slices(size), 0
+        parts = max(self.spark.sparkContext.defaultParallelism, size // len(slices) // PART_BYTES + 1)
+        firsts = units.filter("unit = 0").select("digest", "source_class", "bytes", F.col("ordinal").alias("source_id"))
+        # Bytes are dealt out to their units in slices, one after the other, so that the disk holds the shuffle files of one.
+        for inside in slices:
+            read = Observation()
+            dealt = [df.filter(inside).repartition(parts, "digest") for df in (firsts, prep.select("digest", "units"), held)]
+            ready = dealt[0].join(dealt[1], "digest").join(dealt[2].hint("merge"), "digest")
+            # Saved units that don't fit their bytes, or have none, are not read here, so that there are less than were staged.
+            ready = prepare.inspected(ready, m["settings"]["maximum"]).withColumnRenamed("fault", "gap")
+            texts = prepare.unit_rows(ready, "source_class").withColumn("text", F.decode("body", "UTF-8")).withColumnRenamed("source_id", "source")
+            # Sorted by term in each part of the texts: a term's postings are a few pages of every part, and nothing is dealt
+            # out by term. They name a source by the ordinal of its first unit, so that sources are in the order of their ids.
+            index = ranked.postings(texts.observe(read, F.count("*").alias("n")), "source", "unit", "source_class")
+            self.root.write(index.sortWithinPartitions("term"), "postings", f"generation={n}", mode="append")
+            texts_read += read.get["n"]
+        if texts_read != back["n"]:
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         index = written("postings")
         write(index.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term"), "terms")

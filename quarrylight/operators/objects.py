@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
-from quarrylight.schemas import BROADCAST_KEYS, MAX_ARTIFACT_BYTES, MAX_SOURCE_BYTES
+from quarrylight.schemas import BROADCAST_KEYS, MAX_ARTIFACT_BYTES, MAX_SLICES, MAX_SOURCE_BYTES, SLICE_BYTES
 
 #: Fixed value: the algorithm is named with every digest.
 DIGEST_ALG = "sha256"
@@ -61,6 +61,16 @@ def without(objects: DataFrame, gone: DataFrame, n: int) -> DataFrame:
     return objects if n == 0 else objects.join(F.broadcast(names) if n <= BROADCAST_KEYS else names, ["kind", "digest"], "left_anti")
 
 
+def slices(size: int) -> list[Column]:
+    """Conditions on the digest, of which every digest fulfils one: about even shares of `size` bytes. They are ranges, as
+    objects are stored in the order of their digests."""
+    n = min(MAX_SLICES, size // SLICE_BYTES + 1)
+    bounds = [f"{256 * k // n:02x}" for k in range(1, n)]
+    after = [F.lit(True), *(F.col("digest") >= b for b in bounds)]
+    before = [*(F.col("digest") < b for b in bounds), F.lit(True)]
+    return [a & b for a, b in zip(after, before)]
+
+
 def candidates(entries: DataFrame) -> DataFrame:
     """kind, digest, bytes of entries (name, bytes) that a sweep may touch: those with an object's own name and a size
     that its kind allows. All other entries are left alone."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 import gc
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +55,13 @@ class Root:
         self.tidy()
 
     def tidy(self) -> None:
-        """The disk would hold the shuffle files of jobs that are over until the driver happens to collect its garbage."""
+        """The disk would hold the shuffle files of jobs that are over until the driver happens to collect its garbage. What
+        listeners have yet to be told of a job still holds it, so they are told first."""
         gc.collect()
+        try:
+            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        except Py4JJavaError:  # they are slow; the next call comes soon
+            pass
         self._jvm.System.gc()
 
     def write_text(self, path: str, text: str) -> None:
