@@ -385,6 +385,23 @@ def test_a_root_takes_little_disk(spark, sf_dir):
     assert shown["text"].encode() == view.read(row["source_id"])[row["start"] : row["end"]] and shown["point_id"] == row["point_id"]
 
 
+def test_an_index_is_built_in_slices(spark, tmp_path, monkeypatch):
+    """Every digest is in one slice, and an index of three slices, each written by itself, is whole."""
+    monkeypatch.setattr(objects, "SLICE_BYTES", 100)
+    bodies = [b"needle %d %d" % (i, i % 3) for i in range(24)]
+    inside = objects.slices(250)
+    held = spark.createDataFrame([(b,) for b in map(bytearray, bodies)], "content binary").select(E.digest(F.col("content")).alias("digest"))
+    counts = held.agg(*(F.count_if(c).alias(f"c{i}") for i, c in enumerate(inside))).first()
+    assert len(inside) == 3 and sum(counts) == 24 and min(counts) > 0
+    engine, modes = Engine(spark, str(tmp_path / "root")).initialize(), []
+    real = engine.root.write
+    monkeypatch.setattr(engine.root, "write", lambda df, *names, mode="overwrite": modes.append((names[0], mode)) or real(df, *names, mode=mode))
+    engine.index_rows(spark.createDataFrame([(f"/{i}", bytearray(b)) for i, b in enumerate(bodies)], "path string, content binary"))
+    assert modes.count(("postings", "append")) == sum(map(len, bodies)) // 100 + 1 > 1
+    view = engine.pin()
+    assert view.postings.filter("term = 'needle'").count() == 24 and view.current["tokens"] == 72 and len(engine.search("needle", 64)) == 24
+
+
 def test_an_archive_is_taken(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "root")).initialize()
     engine.index_rows(spark.createDataFrame([("/a", bytearray(b"one needle")), ("/b", bytearray(b"two"))], "path string, content binary"))
