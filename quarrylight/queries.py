@@ -626,6 +626,10 @@ def archive_round_trip(spark, sf_dir):
     return spark.createDataFrame([row], "sources long, matches long, objects long")
 
 
+#: Trees of one digit that all texts are dealt out to.
+TREES = 4
+
+
 def _as_files(folder: str):
     """Writes each text as a file: some names start with `_`, some with a dot, some end in .log."""
 
@@ -648,16 +652,19 @@ select case when doc_id % 3 = 0 then '_' else '' end || doc_id % 10 || '/' || ca
        sha256(encode(text)) as digest, strlen(text)::bigint as bytes
 from documents where doc_id % 10 = 5 or doc_id % 7 <> 0 and doc_id % 5 <> 0""")
 def tree_sources(spark, sf_dir):
-    """All texts as a tree of files with rules: which are sources, and their bytes. The folders of the names 5 keep their .log
-    files, those whose names start with a dot too."""
-    folder = _shared(spark)
-    tree = folder.removeprefix("file://") + "/tree"
-    docs(spark, sf_dir).select("source_id", "text").mapInArrow(_as_files(tree), "n long").agg(F.sum("n")).collect()
-    made = Engine(spark, f"{folder}/store")
-    for name, rules in ((".gitignore", "*.log\n"), ("5/.ignore", "!*.log\n"), ("_5/.ignore", "!*.log\n")):
-        made.root.write_text(f"{folder}/tree/{name}", rules)
-    made.initialize()
+    """All texts as trees of files with rules: which are sources, and their bytes. The folders of the names 5 keep their .log
+    files, those whose names start with a dot too. The trees are written, kept by the engine and deleted one after the other,
+    so that the disk holds the files of one of them besides the store."""
+    folder, d = _shared(spark), docs(spark, sf_dir).select("source_id", "text")
+    made = Engine(spark, f"{folder}/store").initialize()
     made.settings(PREFERRED, HARD)
-    made.index(tree)
+    for k in range(TREES):
+        tree = folder.removeprefix("file://") + f"/tree{k}"
+        d.filter((F.floor(F.col("source_id") / 100) % TREES) == k).mapInArrow(_as_files(tree), "n long").agg(F.sum("n")).collect()
+        for name, rules in ((".gitignore", "*.log\n"), ("5/.ignore", "!*.log\n"), ("_5/.ignore", "!*.log\n")):
+            made.root.write_text(f"{folder}/tree{k}/{name}", rules)
+        made.index(tree, publish=False)
+        made.root.delete_path(f"{folder}/tree{k}")
+    made.publish()
     found = made.pin().sources
     return found.select(F.expr(f"substring(path, {len(tree) + 2})").alias("name"), "digest", "bytes")

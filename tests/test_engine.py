@@ -402,6 +402,20 @@ def test_an_index_is_built_in_slices(spark, tmp_path, monkeypatch):
     assert view.postings.filter("term = 'needle'").count() == 24 and view.current["tokens"] == 72 and len(engine.search("needle", 64)) == 24
 
 
+def test_trees_one_after_the_other(spark, tmp_path):
+    """What was kept of a tree is served although its files are gone, once it is published."""
+    engine = Engine(spark, str(tmp_path / "root")).initialize()
+    for k in range(2):
+        (tmp_path / f"tree{k}").mkdir()
+        (tmp_path / f"tree{k}" / "a.txt").write_bytes(b"needle %d" % k)
+        assert engine.index(str(tmp_path / f"tree{k}"), publish=False) == {"published": False, "changed": 1}
+        (tmp_path / f"tree{k}" / "a.txt").unlink()
+    with pytest.raises(EngineError):
+        engine.pin()
+    engine.publish()
+    assert engine.open_verified().sources.count() == 2 and engine.exact("needle")["matches"] == 2
+
+
 def test_an_archive_is_taken(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "root")).initialize()
     engine.index_rows(spark.createDataFrame([("/a", bytearray(b"one needle")), ("/b", bytearray(b"two"))], "path string, content binary"))
