@@ -221,17 +221,10 @@ class Engine:
         firsts = units.filter("unit = 0").select("digest", "source_class", "bytes", F.col("ordinal").alias("source_id"))
         # Bytes are dealt out to their units in slices, one after the other, so that the disk holds the shuffle files of one.
         for inside in slices:
-            read = Observation()
             dealt = [df.filter(inside).repartition(parts, "digest") for df in (firsts, prep.select("digest", "units"), held)]
-            ready = dealt[0].join(dealt[1], "digest").join(dealt[2].hint("merge"), "digest")
-            # Saved units that don't fit their bytes, or have none, are not read here, so that there are less than were staged.
-            ready = prepare.inspected(ready, m["settings"]["maximum"]).withColumnRenamed("fault", "gap")
-            texts = prepare.unit_rows(ready, "source_class").withColumn("text", F.decode("body", "UTF-8")).withColumnRenamed("source_id", "source")
-            # Sorted by term in each part of the texts: a term's postings are a few pages of every part, and nothing is dealt
-            # out by term. They name a source by the ordinal of its first unit, so that sources are in the order of their ids.
-            index = ranked.postings(texts.observe(read, F.count("*").alias("n")), "source", "unit", "source_class")
-            self.root.write(index.sortWithinPartitions("term"), "postings", f"generation={n}", mode="append")
-            texts_read += read.get["n"]
+            texts_read += self._index_slice(n, m, *dealt)
+            del dealt  # or the disk would hold them besides the next slice's
+            self.root.tidy()
         if texts_read != back["n"]:
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         index = written("postings")
@@ -244,6 +237,19 @@ class Engine:
         counts = gen_sources.agg(F.count("*").alias("s"), F.count_if(F.col("state") == "gap").alias("g")).first()
         return {"generation": n, "wanted_revision": m["wanted_revision"], "sources": counts["s"], "gaps": counts["g"], "points": points, "tokens": tokens, "snapshot": m["snapshot"]}
 
+    def _index_slice(self, n: int, m: dict, firsts: DataFrame, units: DataFrame, held: DataFrame) -> int:
+        """Append the postings of some digests to generation n; returns the number of units read."""
+        read = Observation()
+        ready = firsts.join(units, "digest").join(held.hint("merge"), "digest")
+        # Saved units that don't fit their bytes, or have none, are not read here, so that there are less than were staged.
+        ready = prepare.inspected(ready, m["settings"]["maximum"]).withColumnRenamed("fault", "gap")
+        texts = prepare.unit_rows(ready, "source_class").withColumn("text", F.decode("body", "UTF-8")).withColumnRenamed("source_id", "source")
+        # Sorted by term in each part of the texts: a term's postings are a few pages of every part, and nothing is dealt
+        # out by term. They name a source by the ordinal of its first unit, so that sources are in the order of their ids.
+        index = ranked.postings(texts.observe(read, F.count("*").alias("n")), "source", "unit", "source_class")
+        self.root.write(index.sortWithinPartitions("term"), "postings", f"generation={n}", mode="append")
+        return read.get["n"]
+
     def _canary(self, index: DataFrame, units: DataFrame, held: DataFrame, points: int, tokens: int) -> None:
         """A posting's term must be one of its unit's and find the unit with a positive score. Without postings no unit may
         have a letter or digit."""

@@ -4,6 +4,7 @@ import os
 import random
 import threading
 import time
+import weakref
 
 import duckdb
 import pytest
@@ -402,6 +403,28 @@ def test_an_index_is_built_in_slices(spark, tmp_path, monkeypatch):
     assert view.postings.filter("term = 'needle'").count() == 24 and view.current["tokens"] == 72 and len(engine.search("needle", 64)) == 24
 
 
+def test_a_slice_is_let_go_before_the_next(spark, tmp_path, monkeypatch):
+    """Between two slices the driver's garbage is collected once when nothing holds the last one's frames and shuffle files."""
+    monkeypatch.setattr(objects, "SLICE_BYTES", 100)
+    engine = Engine(spark, str(tmp_path / "root")).initialize()
+    write, tidy, seen = engine.root.write, engine.root.tidy, []
+
+    def watched_write(df, *names, mode="overwrite"):
+        if names[0] == "postings":
+            seen.append((weakref.ref(df), []))
+        write(df, *names, mode=mode)
+
+    def watched_tidy():
+        tidy()
+        if seen:
+            seen[-1][1].append(seen[-1][0]() is not None)
+
+    monkeypatch.setattr(engine.root, "write", watched_write)
+    monkeypatch.setattr(engine.root, "tidy", watched_tidy)
+    engine.index_rows(spark.createDataFrame([(f"/{i}", bytearray(b"needle %d" % i)) for i in range(24)], "path string, content binary"))
+    assert len(seen) > 1 and all(not all(held) for _, held in seen)
+
+
 def test_trees_one_after_the_other(spark, tmp_path):
     """What was kept of a tree is served although its files are gone, once it is published."""
     engine = Engine(spark, str(tmp_path / "root")).initialize()
