@@ -322,25 +322,29 @@ class Engine:
         return objects.marks(*refs)
 
     def collect_objects(self, grace_s: float = GRACE_S) -> dict:
-        """Verify every marked object and leave the others out of the store's next version, then delete the generations whose
-        grace is over. The manifest names the version in one step, so a crash leaves a store that can be read; the version
-        before it stays until the next sweep, for readers that have it open."""
+        """Verify every marked object, delete the generations whose grace is over, and leave the objects that nothing marks out
+        of the store's next version. The manifest names the version in one step, so a crash leaves a store that can be read;
+        the version before it stays until the next sweep, for readers that have it open."""
         m = self.root.manifest()
         over, kept = expired(m, time.time(), grace_s)
         marked, held = self._marks(m, kept), self._objects(m)
         status = {r["status"]: r["n"] for r in objects.statuses(marked, held).groupBy("status").agg(F.count("*").alias("n")).collect()}
         if set(status) - {"ok"}:
             raise EngineError("COLLECT_INTEGRITY_FAILURE", str(status))
+        if over:  # first, so that the disk doesn't hold them besides the store's next version
+            self.root.write_manifest(now := m | {"retired": kept}, m)
+            m = now
+            for n, _ in over:
+                drop_generation(self.root, n)
         unmarked, version = objects.unreferenced(held.select("kind", "digest"), marked), m["objects"]
         gone = unmarked.count()
         if gone:
             version += 1
+            self.root.tidy()
             self.root.write(objects.without(held, unmarked, gone).sortWithinPartitions("digest"), "objects", f"version={version}")
-        self.root.write_manifest(m | {"objects": version, "retired": kept}, m)
-        if gone and version >= 2:
-            self.root.delete("objects", f"version={version - 2}")
-        for n, _ in over:
-            drop_generation(self.root, n)
+            self.root.write_manifest(m | {"objects": version}, m)
+            if version >= 2:
+                self.root.delete("objects", f"version={version - 2}")
         return {"marked": sum(status.values()), "verified": status.get("ok", 0), "deleted": gone, "preserved": sum(status.values())}
 
     def export(self, out: str) -> dict:

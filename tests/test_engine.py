@@ -425,6 +425,24 @@ def test_a_slice_is_let_go_before_the_next(spark, tmp_path, monkeypatch):
     assert len(seen) > 1 and all(not all(held) for _, held in seen)
 
 
+def test_a_sweep_drops_generations_first(spark, tmp_path, monkeypatch):
+    """The disk doesn't hold a generation whose grace is over besides the store's next version."""
+    engine = Engine(spark, str(tmp_path / "root")).initialize()
+    rows = spark.createDataFrame([("/a", bytearray(b"one needle")), ("/b", bytearray(b"two"))], "path string, content binary")
+    engine.index_rows(rows)
+    engine.index_rows(rows.filter("path = '/a'"))
+    write, found = engine.root.write, {}
+
+    def watched(df, *names, mode="overwrite"):
+        found[names] = engine.root.exists("postings", "generation=1"), engine.root.manifest()["retired"]
+        write(df, *names, mode=mode)
+
+    monkeypatch.setattr(engine.root, "write", watched)
+    assert engine.collect_objects(grace_s=0) == {"marked": 1, "verified": 1, "deleted": 1, "preserved": 1}
+    assert found == {("objects", "version=1"): (False, [])}
+    assert engine.open_verified().sources.count() == 1 and engine.exact("needle")["matches"] == 1
+
+
 def test_trees_one_after_the_other(spark, tmp_path):
     """What was kept of a tree is served although its files are gone, once it is published."""
     engine = Engine(spark, str(tmp_path / "root")).initialize()
