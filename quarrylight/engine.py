@@ -229,6 +229,7 @@ class Engine:
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         index = written("postings")
         write(index.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term"), "terms")
+        self.root.tidy()  # its shuffle files would lie there while the graph is checked
         if not faults(units, gen_sources).isEmpty():
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         points = back["n"]

@@ -16,6 +16,7 @@ from quarrylight.errors import EngineError
 from quarrylight.functions import expressions as E
 from quarrylight.operators import exact, inventory, objects, prepare, ranked, results
 from quarrylight.operators.windows import Window, check_page
+from quarrylight.plans.generation import faults
 from quarrylight.sources import files
 from quarrylight.streaming.watch import watch
 
@@ -425,6 +426,17 @@ def test_a_slice_is_let_go_before_the_next(spark, tmp_path, monkeypatch):
     assert len(seen) > 1 and all(not all(held) for _, held in seen)
 
 
+def test_terms_are_let_go_before_the_graph_is_checked(spark, tmp_path, monkeypatch):
+    """write() itself can't let go of the shuffle files of the frame that its caller holds."""
+    engine, seen = Engine(spark, str(tmp_path / "root")).initialize(), []
+    write, tidy = engine.root.write, engine.root.tidy
+    monkeypatch.setattr(engine.root, "write", lambda df, *names, mode="overwrite": write(df, *names, mode=mode) or seen.append(names[0]))
+    monkeypatch.setattr(engine.root, "tidy", lambda: tidy() or seen.append("tidy"))
+    monkeypatch.setattr("quarrylight.engine.faults", lambda *a: seen.append("faults") or faults(*a))
+    engine.index_rows(spark.createDataFrame([("/a", bytearray(b"needle"))], "path string, content binary"))
+    assert seen[seen.index("terms") :][:3] == ["terms", "tidy", "faults"]
+
+
 def test_a_sweep_drops_generations_first(spark, tmp_path, monkeypatch):
     """The disk doesn't hold a generation whose grace is over besides the store's next version."""
     engine = Engine(spark, str(tmp_path / "root")).initialize()
