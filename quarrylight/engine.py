@@ -228,12 +228,12 @@ class Engine:
         if texts_read != back["n"]:
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         index = written("postings")
-        write(index.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term"), "terms")
+        write(index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).sortWithinPartitions("term"), "terms")
         self.root.tidy()  # its shuffle files would lie there while the graph is checked
         if not faults(units, gen_sources).isEmpty():
             raise EngineError("PUBLICATION_GRAPH_INVALID")
         points = back["n"]
-        tokens = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()["tokens"]
+        tokens = written("terms").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()["tokens"]
         self._canary(index, units, held, points, tokens)
         counts = gen_sources.agg(F.count("*").alias("s"), F.count_if(F.col("state") == "gap").alias("g")).first()
         return {"generation": n, "wanted_revision": m["wanted_revision"], "sources": counts["s"], "gaps": counts["g"], "points": points, "tokens": tokens, "snapshot": m["snapshot"]}

@@ -582,7 +582,8 @@ def published_units(spark, sf_dir):
 
 @query(f"with {UNIT_BM25} select term, count(distinct (source_id, unit)) as df, count(*) as tf from toks group by term")
 def published_postings(spark, sf_dir):
-    return engine(spark, sf_dir).pin().postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """The sums of each term's postings, which the generation keeps with the term."""
+    return engine(spark, sf_dir).pin().terms.select("term", "df", "tf")
 
 
 @query(f"with {SOURCES} {FACTS.format(m=OCCURS.format(LITERAL))} where starts_with(path, '{PREFIX}/') and source_class = 'vendor'")

@@ -437,6 +437,16 @@ def test_terms_are_let_go_before_the_graph_is_checked(spark, tmp_path, monkeypat
     assert seen[seen.index("terms") :][:3] == ["terms", "tidy", "faults"]
 
 
+def test_terms_hold_the_sums_of_their_postings(spark, tmp_path):
+    """So that nobody has to shuffle all postings for them; the tokens of a generation are their sum."""
+    engine = Engine(spark, str(tmp_path / "root")).initialize()
+    engine.index_rows(spark.createDataFrame([("/a", bytearray(b"one two two")), ("/b", bytearray(b"two")), ("/c", bytearray(b""))], "path string, content binary"))
+    view = engine.pin()
+    assert sorted(map(tuple, view.terms.select("term", "df", "tf").collect())) == [("one", 1, 1), ("two", 2, 3)] and view.current["tokens"] == 4
+    engine.index_rows(spark.createDataFrame([("/c", bytearray(b""))], "path string, content binary"))
+    assert engine.pin().terms.count() == 0 and engine.pin().current["tokens"] == 0
+
+
 def test_a_sweep_drops_generations_first(spark, tmp_path, monkeypatch):
     """The disk doesn't hold a generation whose grace is over besides the store's next version."""
     engine = Engine(spark, str(tmp_path / "root")).initialize()
