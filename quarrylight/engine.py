@@ -217,12 +217,13 @@ class Engine:
         held = self._objects(m).select("digest", "content")
         size = gen_sources.agg(F.sum("bytes")).first()[0] or 0
         slices, texts_read = objects.slices(size), 0
-        parts = max(self.spark.sparkContext.defaultParallelism, size // len(slices) // PART_BYTES + 1)
+        cores = self.spark.sparkContext.defaultParallelism
+        parts = (size // len(slices) // PART_BYTES // cores + 1) * cores  # no core waits for a last few
         firsts = units.filter("unit = 0").select("digest", "source_class", "bytes", F.col("ordinal").alias("source_id"))
         # Bytes are dealt out to their units in slices, one after the other, so that the disk holds the shuffle files of one.
         for inside in slices:
             dealt = [df.filter(inside).repartition(parts, "digest") for df in (firsts, prep.select("digest", "units"), held)]
-            texts_read += self._index_slice(n, m, *dealt)
+            texts_read += self._index_slice(n, m, parts, *dealt)
             del dealt  # or the disk would hold them besides the next slice's
             self.root.tidy()
         if texts_read != back["n"]:
@@ -238,10 +239,11 @@ class Engine:
         counts = gen_sources.agg(F.count("*").alias("s"), F.count_if(F.col("state") == "gap").alias("g")).first()
         return {"generation": n, "wanted_revision": m["wanted_revision"], "sources": counts["s"], "gaps": counts["g"], "points": points, "tokens": tokens, "snapshot": m["snapshot"]}
 
-    def _index_slice(self, n: int, m: dict, firsts: DataFrame, units: DataFrame, held: DataFrame) -> int:
-        """Append the postings of some digests to generation n; returns the number of units read."""
+    def _index_slice(self, n: int, m: dict, parts: int, firsts: DataFrame, units: DataFrame, held: DataFrame) -> int:
+        """Append the postings of some digests to generation n, in `parts` files at most; returns the number of units read."""
         read = Observation()
-        ready = firsts.join(units, "digest").join(held.hint("merge"), "digest")
+        # Joins deal out to the session's shuffle partitions, if those are more; each file would hold its terms once more.
+        ready = firsts.join(units, "digest").join(held.hint("merge"), "digest").coalesce(parts)
         # Saved units that don't fit their bytes, or have none, are not read here, so that there are less than were staged.
         ready = prepare.inspected(ready, m["settings"]["maximum"]).withColumnRenamed("fault", "gap")
         texts = prepare.unit_rows(ready, "source_class").withColumn("text", F.decode("body", "UTF-8")).withColumnRenamed("source_id", "source")

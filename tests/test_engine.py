@@ -447,6 +447,19 @@ def test_terms_hold_the_sums_of_their_postings(spark, tmp_path):
     assert engine.pin().terms.count() == 0 and engine.pin().current["tokens"] == 0
 
 
+def test_a_slice_has_few_files(spark, tmp_path):
+    """Postings are sorted in each file, which holds its terms; many small ones, one a shuffle partition, hold them more often."""
+    engine = Engine(spark, str(tmp_path / "root")).initialize()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        engine.index_rows(spark.createDataFrame([(f"/{i}", bytearray(b"needle %d" % i)) for i in range(200)], "path string, content binary"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    view = engine.pin()
+    assert view.postings.count() == 400 and len(view.postings.inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
 def test_a_sweep_drops_generations_first(spark, tmp_path, monkeypatch):
     """The disk doesn't hold a generation whose grace is over besides the store's next version."""
     engine = Engine(spark, str(tmp_path / "root")).initialize()
